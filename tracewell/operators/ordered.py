@@ -42,6 +42,30 @@ def join_facts(df: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "l
     return df.join(renamed, condition, how).drop(*[f"_on_{c}" for c in on])
 
 
+def attach_facts(df: DataFrame, facts: DataFrame, on: Sequence[str], salts: int = 64, how: str = "inner") -> DataFrame:
+    """Join group facts to rows when a group may be most of the table.
+
+    Each fact is copied to ``salts`` sub-keys and rows choose one by hash, so a
+    hot group (or, with ``on`` empty, the whole table) is spread over ``salts``
+    tasks even where the facts are too many to broadcast.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int"))
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return join_facts(salted, copies, [*on, "_salt"], how).drop("_salt")
+
+
+def side_by_side(frames: Sequence[DataFrame], key: Sequence[str] = ()) -> DataFrame:
+    """One row per key from several one-row-per-key frames with different columns.
+
+    A union and one aggregate: without keys this puts single rows next to each
+    other with no join at all.
+    """
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.groupBy(*key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns if c not in key])
+
+
 def ranged(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Sort ``df`` by key and order over many partitions and fix the result.
 
@@ -164,6 +188,8 @@ _RUNNING = {
         lambda c, o: F.max_by(c, F.when(c.isNotNull(), o)),
         lambda a, b: F.coalesce(b, a),
     ),
+    # not running: the sum over the whole key, for shares and rates
+    "total": (F.sum, lambda c, o: F.sum(c), lambda a, b: a),
 }
 
 
@@ -178,7 +204,7 @@ def running(
 ) -> DataFrame:
     """Running aggregates along ``order``, exact across chunks.
 
-    ``aggs`` maps a new column to ``(sum|max|min|last, column)``.  Chunks must
+    ``aggs`` maps a new column to ``(sum|max|min|last|total, column)``.  Chunks must
     follow the order.  ``descending`` runs from the end; ``ties`` lets rows with
     equal order values see each other, which needs them in one chunk.
     """
@@ -194,17 +220,22 @@ def running(
     summaries, carried, here = [], [], {}
     for name, (kind, col) in aggs.items():
         run, summary, _ = _RUNNING[kind]
-        here[f"_here_{name}"] = run(F.col(col)).over(inside)
+        if kind != "total":
+            here[f"_here_{name}"] = run(F.col(col)).over(inside)
         if kind == "last" and descending:
             value = F.min_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(*order)))
         else:
             value = summary(F.col(col), position)
         summaries.append(value.alias(f"_all_{name}"))
-        carried.append(run(F.col(f"_all_{name}")).over(before).alias(f"_carry_{name}"))
+        span = Window.partitionBy(*key) if kind == "total" else before
+        carried.append(run(F.col(f"_all_{name}")).over(span).alias(f"_carry_{name}"))
     carry = df.groupBy(*key, chunk).agg(*summaries).select(*key, chunk, *carried)
     joined = join_facts(df.withColumns(here), carry, [*key, chunk], "left")
     out = joined.withColumns(
-        {n: _RUNNING[k][2](F.col(f"_carry_{n}"), F.col(f"_here_{n}")) for n, (k, _) in aggs.items()}
+        {
+            n: _RUNNING[k][2](F.col(f"_carry_{n}"), F.col(f"_here_{n}") if k != "total" else None)
+            for n, (k, _) in aggs.items()
+        }
     )
     return out.drop(*[f"_here_{n}" for n in aggs], *[f"_carry_{n}" for n in aggs])
 

@@ -129,19 +129,33 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str =
     return argmax_row(df, size, order, keys)
 
 
-def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows chosen by a seeded hash of their ids: repeatable, without replacement.
+SAMPLE_CELLS = 1 << 12  # cells of the unit interval that a sample is cut at
 
-    Only ids are ranked (a top-n, no full sort); the rows follow by a semi join.
-    """
-    chosen = df.select(*ids).orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(n)
-    return df.join(chosen, list(ids), "left_semi")
+
+def hash_fraction(ids: Sequence[str], seed: int = 42) -> Column:
+    """A repeatable number in [0, 1) per row."""
+    return F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def rank_sample_n(df: DataFrame, n: int, rank: Column, ids: Sequence[str]) -> DataFrame:
-    """Like ``sample_n`` with a given ranking expression, e.g. an arithmetic hash."""
-    chosen = df.select(*ids, rank.alias("_r")).orderBy("_r", *ids).limit(n).drop("_r")
-    return df.join(chosen, list(ids), "left_semi")
+def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42, fraction: Column | None = None) -> DataFrame:
+    """Exactly n rows (all if there are fewer): those with the smallest hash fraction.
+
+    Rows are counted per cell of the fraction (at most ``SAMPLE_CELLS`` counts).
+    Cells that fit are taken whole, and only the one cell where n is reached is
+    ranked, so nothing larger than 1/``SAMPLE_CELLS`` of the ids is ever sorted.
+    """
+    u = hash_fraction(ids, seed) if fraction is None else fraction
+    coded = df.withColumn("_u", u).withColumn("_cell", F.floor(F.col("_u") * SAMPLE_CELLS))
+    counts = coded.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n)
+    # fixed size: at most SAMPLE_CELLS rows of three numbers
+    kept = coded.join(F.broadcast(cells), "_cell")
+    whole = kept.where(F.col("_before") + F.col("_n") <= n)
+    edge = kept.where(F.col("_before") + F.col("_n") > n)
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_u", *ids))
+    edge = edge.withColumn("_place", place).where(F.col("_place") <= F.lit(n) - F.col("_before")).drop("_place")
+    return whole.unionByName(edge).drop("_u", "_cell", "_n", "_before")
 
 
 def new_files(listing: DataFrame, log: DataFrame, name: str = "path", size: str = "length",
