@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.operators.evaluate import average_precision, curve, flag, prf, confusion
 from tracewell.operators.ordered import attach_facts, order_statistics
@@ -74,7 +75,7 @@ class LinearModel:
 
 
 def _rows(fn):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
             yield pd.Series(list(fn(np.stack(x.to_numpy()).astype(float))), index=x.index) if len(x) else x
@@ -83,7 +84,7 @@ def _rows(fn):
 
 
 def _scores(fn):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
             if len(x) == 0:

@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.operators.windows import collect_windows
 
 DB_FLOOR = 1e-12  # fixed value added before the logarithm
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _power(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for x in batches:
         if len(x) == 0:
