@@ -227,6 +227,8 @@ def remove_response(samples: DataFrame, channels: DataFrame, key: Sequence[str],
     halo = int(math.ceil(16 * sr / pre_filt[0]))
     facts = samples.groupBy(*key).agg((F.max(index) + 1).alias("_len")).join(channels, list(on), "inner")
     spread = spread_facts(facts, "_len", chunk)
+    # fresh column identities: both sides of the co-group come from the same samples
+    spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])
     chunked = with_halo(samples.select(*columns), index, halo, halo, chunk)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
