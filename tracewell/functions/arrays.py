@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewell.operators.windows import array_mean, array_std
+from tracewell.operators.windows import array_mean, array_std, let
 
 
 def moments(x: Column) -> dict[str, Column]:
@@ -27,10 +27,14 @@ def argsort(x: Column) -> Column:
 
 def percentile_of(x: Column, q: float) -> Column:
     """Linear interpolation between order statistics."""
-    ordered, at = F.array_sort(x), F.lit(float(q)) * (F.size(x) - 1)
+    at = F.lit(float(q)) * (F.size(x) - 1)
     low = F.floor(at).cast("int")
-    a, b = F.get(ordered, low), F.coalesce(F.get(ordered, low + 1), F.get(ordered, low))
-    return a + (b - a) * (at - low)
+
+    def between(ordered: Column) -> Column:
+        a, b = F.get(ordered, low), F.coalesce(F.get(ordered, low + 1), F.get(ordered, low))
+        return a + (b - a) * (at - low)
+
+    return let(F.array_sort(x), between)
 
 
 def pad_to(x: Column, n: int) -> Column:

@@ -200,8 +200,8 @@ def cf_grid(samples: DataFrame, key: Sequence[str], settings: Sequence[dict], fl
             F.when(lta > floor, sta / lta).otherwise(0.0).alias("cf"),
         )
 
-    return sums.select(*key, index, F.explode(F.array(*[cell(s) for s in settings])).alias("_s")).select(
-        *key, index, "_s.setting", "_s.on", "_s.cf"
+    return sums.select(*key, "_chunk", index, F.explode(F.array(*[cell(s) for s in settings])).alias("_s")).select(
+        *key, "_chunk", index, "_s.setting", "_s.on", "_s.cf"
     )
 
 

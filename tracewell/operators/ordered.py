@@ -70,7 +70,7 @@ def ranged(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame
     """Sort ``df`` by key and order over many partitions and fix the result.
 
     Adds ``_part`` (partition number) and ``_mid`` (increasing along the order).
-    The rows are checkpointed because both numbers depend on sampled range
+    The rows are written out because both numbers depend on sampled range
     bounds, which must not change between two uses.
     """
     cols = [*key, *order]
@@ -137,10 +137,12 @@ def moving_sums(df: DataFrame, window, value: str, frames: Mapping[str, tuple[in
     left the frame leaves no rounding error behind.
     """
     long_frames = {n: f for n, f in frames.items() if f[1] - f[0] + 1 > DIRECT_FRAME}
-    for name, (lo, hi) in frames.items():
-        if name not in long_frames:
-            total = F.sum(value).over(window.rowsBetween(lo, hi))
-            df = df.withColumn(name, F.coalesce(total, F.lit(0.0)))
+    short = {
+        name: F.coalesce(F.sum(value).over(window.rowsBetween(lo, hi)), F.lit(0.0))
+        for name, (lo, hi) in frames.items() if name not in long_frames
+    }
+    if short:
+        df = df.withColumns(short)
     if not long_frames:
         return df
     # a frame lo..hi is the trailing part lo..min(hi, 0) plus the leading part 1..hi
@@ -201,19 +203,24 @@ def running(
     aggs: Mapping[str, tuple[str, str]],
     descending: bool = False,
     ties: bool = False,
+    exclusive: bool = False,
 ) -> DataFrame:
     """Running aggregates along ``order``, exact across chunks.
 
     ``aggs`` maps a new column to ``(sum|max|min|last|total, column)``.  Chunks must
     follow the order.  ``descending`` runs from the end; ``ties`` lets rows with
-    equal order values see each other, which needs them in one chunk.
+    equal order values see each other, which needs them in one chunk;
+    ``exclusive`` leaves the current row out.
+
+    ``df`` is read twice (rows and chunk summaries), so it should come from a
+    checkpoint or from ``lay_out_chunks``, whose shuffle both readings share.
     """
     direction = F.desc if descending else F.asc
     inside = Window.partitionBy(*key, chunk).orderBy(*[direction(c) for c in order])
     inside = (
         inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
         if ties
-        else inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        else inside.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     )
     before = Window.partitionBy(*key).orderBy(direction(chunk)).rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order) if not descending else None

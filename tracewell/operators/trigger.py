@@ -61,6 +61,7 @@ def sta_lta(
     ratio: float = 0.8,
     quiet: float = 0.8,
     chunk: int = CHUNK,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Characteristic function ``cf`` per sample (key, i, v, cf).
 
@@ -114,11 +115,11 @@ def sta_lta(
         "delayed": F.when(i >= n_sta + n_lta - 1, positive).otherwise(0.0),
         "recursive": F.when(i >= n_lta, positive).otherwise(0.0),
     }[mode]
-    out = means.where("_own").select(*key, index, value, cf.alias("cf"))
+    out = means.where("_own").select(*key, *(["_chunk"] if keep_chunk else []), index, value, cf.alias("cf"))
     if mode == "centred":
         long_enough = samples.where(i == n_lta - 1).select(*key).distinct()
         lengths = samples.groupBy(*key).agg((F.max(index) + 1).alias("_len")).join(long_enough, list(key), "left_semi")
-        out = attach_trace_facts(out, lengths, key, "_len", index, chunk).drop("_len", "_chunk")
+        out = attach_trace_facts(out, lengths, key, "_len", index, chunk).drop("_len", *([] if keep_chunk else ["_chunk"]))
     return out
 
 
@@ -163,50 +164,45 @@ def trigger(
     ``on`` and then below ``off``.  A stretch still on at the end of the trace is
     closed at its length, or dropped with ``close_open=False``.
 
-    Only rows where the mark (on/off) differs from the previous mark of the chunk
-    go on, and chunks exchange one summary row each, so no task sees a whole trace.
+    Inside a chunk only the rows where the mark (on/off) changes go on, with the
+    last row of the chunk; chunks then exchange one summary row each, so no task
+    sees a whole trace.  A ``_chunk`` column from ``sta_lta(keep_chunk=True)``
+    saves the shuffle into chunks.
     """
     value = F.col("cf")
     above, below = (value >= on, value <= off) if inclusive else (value > on, value < off)
     if not isinstance(on, Column) and not isinstance(off, Column) and (on < off or (inclusive and on == off)):
         raise ValueError("on must not be below off (and not equal to it when inclusive)")
-    marks = (
-        cf.select(*key, F.col(index).alias("_i"), F.when(above, 1).when(below, 0).alias("_mark"))
-        .where(F.col("_mark").isNotNull())
-        .withColumn("_chunk", chunk_of("_i", chunk))
-    )
+    where = F.col("_chunk") if "_chunk" in cf.columns else chunk_of(index, chunk)
+    marks = cf.select(*key, where.alias("_chunk"), F.col(index).alias("_i"), F.when(above, 1).when(below, 0).alias("_mark"))
     inside = Window.partitionBy(*key, "_chunk").orderBy("_i")
-    edges = (
-        marks.withColumn("_prev", F.lag("_mark").over(inside))
-        .where(F.col("_prev").isNull() | (F.col("_prev") != F.col("_mark")))
-        .repartition(*key, "_chunk")
-    )
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
+    marked = marks.withColumns({
+        "_prev": F.last("_mark", ignorenulls=True).over(so_far), "_tail": F.lead("_i").over(inside).isNull()
+    })
+    changed = F.col("_mark").isNotNull() & (F.col("_prev").isNull() | (F.col("_prev") != F.col("_mark")))
+    # few rows are left; this shuffle of them is shared by the summary and the pairing
+    edges = marked.withColumn("_edge", changed).where("_edge OR _tail").repartition(*key, "_chunk")
     summary = edges.groupBy(*key, "_chunk").agg(
-        F.max_by("_mark", "_i").alias("_last"), F.min(F.when(F.col("_mark") == 0, F.col("_i"))).alias("_first_off")
+        F.max_by("_mark", F.when(F.col("_edge"), F.col("_i"))).alias("_last"),
+        F.min(F.when(F.col("_edge") & (F.col("_mark") == 0), F.col("_i"))).alias("_first_off"),
+        (F.max("_i") + 1).alias("_end"),
     )
     earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*key).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    off_later = F.last("_first_off", ignorenulls=True).over(later)
     carry = summary.select(
         *key,
         "_chunk",
-        F.last("_last").over(earlier).alias("_before"),
-        F.last("_first_off", ignorenulls=True).over(later).alias("_off_later"),
+        F.last("_last", ignorenulls=True).over(earlier).alias("_before"),
+        (F.coalesce(off_later, F.max("_end").over(Window.partitionBy(*key))) if close_open else off_later).alias("_off_later"),
     )
-    paired = edges.withColumn("_next", F.lead("_i").over(inside)).where("_mark = 1")
+    paired = edges.where("_edge").withColumn("_next", F.lead("_i").over(inside)).where("_mark = 1")
     started = join_facts(paired, carry, [*key, "_chunk"], "left").where(
         F.col("_prev").isNotNull() | F.col("_before").isNull() | (F.col("_before") == 0)
     )
-    found = started.select(*key, "_chunk", F.col("_i").alias("on_i"), F.coalesce("_next", "_off_later").alias("off_i"))
-    if close_open:
-        # only stretches without an end need the length of their trace: one per trace at most
-        ends = cf.groupBy(*key).agg((F.max(index) + 1).alias("_len"))
-        still_open = join_facts(found.where("off_i IS NULL"), ends, list(key), "inner").withColumn("off_i", F.col("_len"))
-        found = found.where("off_i IS NOT NULL").select(*key, "on_i", "off_i").unionByName(
-            still_open.select(*key, "on_i", "off_i")
-        )
-    else:
-        found = found.where("off_i IS NOT NULL").select(*key, "on_i", "off_i")
-    return found.where(F.col("off_i") - F.col("on_i") >= min_n)
+    found = started.select(*key, F.col("_i").alias("on_i"), F.coalesce("_next", "_off_later").alias("off_i"))
+    return found.where(F.col("off_i").isNotNull() & (F.col("off_i") - F.col("on_i") >= min_n))
 
 
 def to_seconds(detections: DataFrame, sr: float) -> DataFrame:
@@ -225,15 +221,10 @@ def extend_merge(
     # equal starts: only the longest matters
     wide = wide.groupBy(*key, "on_i").agg(F.max("off_i").alias("off_i")).withColumn("_chunk", chunk_of("on_i", chunk))
     wide = lay_out_chunks(wide, key)
-    reach = running(wide, key, "_chunk", ["on_i"], {"_reach": ("max", "off_i")})
-    inside = Window.partitionBy(*key, "_chunk").orderBy("on_i")
-    earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = reach.groupBy(*key, "_chunk").agg(F.max("_reach").alias("_m"))
-    carry = carry.select(*key, "_chunk", F.max("_m").over(earlier).alias("_before"))
-    marked = join_facts(reach.withColumn("_prev", F.lag("_reach").over(inside)), carry, [*key, "_chunk"], "left")
-    marked = marked.withColumn("_prev", F.coalesce("_prev", "_before"))
+    marked = running(wide, key, "_chunk", ["on_i"], {"_prev": ("max", "off_i")}, exclusive=True)
     starts = marked.withColumn("_start", F.when(F.col("_prev").isNull() | (F.col("_prev") < F.col("on_i")), F.col("on_i")))
-    islands = running(starts.select(*key, "_chunk", "on_i", "off_i", "_start"), key, "_chunk", ["on_i"], {"_island": ("last", "_start")})
+    starts = lay_out_chunks(starts.select(*key, "_chunk", "on_i", "off_i", "_start"), key)
+    islands = running(starts, key, "_chunk", ["on_i"], {"_island": ("last", "_start")})
     return islands.groupBy(*key, F.col("_island").alias("on_i")).agg(F.max("off_i").alias("off_i"))
 
 

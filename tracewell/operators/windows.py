@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,14 +70,26 @@ def pad_crop(traces: DataFrame, n: int, data: str = "data") -> DataFrame:
     return traces.withColumn("x", F.slice(F.concat(F.col(data), F.array_repeat(F.lit(0.0), n)), 1, n))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    The optimizer copies an expression into the lambda that uses it, where it would
+    be computed again for every element; a lambda parameter is not copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def array_sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, e: a + e)
+
+
 def array_mean(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, e: a + e) / F.size(x)
+    return array_sum(x) / F.size(x)
 
 
 def array_std(x: Column) -> Column:
     """Population standard deviation of an array, two passes."""
-    mean = array_mean(x)
-    return F.sqrt(F.aggregate(F.transform(x, lambda e: (e - mean) * (e - mean)), F.lit(0.0), lambda a, e: a + e) / F.size(x))
+    return let(array_mean(x), lambda m: F.sqrt(array_sum(F.transform(x, lambda e: (e - m) * (e - m))) / F.size(x)))
 
 
 def zscore(windows: DataFrame, eps: float = 1e-12, flat: str = "drop", x: str = "x") -> DataFrame:
@@ -85,18 +97,16 @@ def zscore(windows: DataFrame, eps: float = 1e-12, flat: str = "drop", x: str =
     dropped, kept as they are, or set to zeros."""
     if flat not in ("drop", "keep", "zero"):
         raise ValueError("flat must be drop, keep or zero")
-    facts = windows.withColumn("_x", F.transform(x, lambda e: e.cast("double")))
-    facts = facts.withColumn("_mean", array_mean(F.col("_x")))
-    squares = F.transform("_x", lambda e: (e - F.col("_mean")) * (e - F.col("_mean")))
-    facts = facts.withColumn("_std", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, e: a + e) / F.size("_x")))
-    steady = F.col("_std") <= eps
-    scaled = F.transform("_x", lambda e: (e - F.col("_mean")) / F.col("_std"))
-    if flat == "drop":
-        facts = facts.where(~steady)
-        out = scaled
-    else:
-        out = F.when(steady, F.col("_x") if flat == "keep" else F.transform("_x", lambda e: F.lit(0.0))).otherwise(scaled)
-    return facts.withColumn(x, out).drop("_x", "_mean", "_std")
+
+    def scaled(v: Column) -> Column:
+        steady = {"drop": F.lit(None).cast("array<double>"), "keep": v, "zero": F.transform(v, lambda e: F.lit(0.0))}[flat]
+        return let(
+            F.struct(array_mean(v).alias("m"), array_std(v).alias("s")),
+            lambda f: F.when(f["s"] <= eps, steady).otherwise(F.transform(v, lambda e: (e - f["m"]) / f["s"])),
+        )
+
+    out = windows.withColumn(x, let(F.col(x).cast("array<double>"), scaled))
+    return out.where(F.col(x).isNotNull()) if flat == "drop" else out
 
 
 def zscore_trace(samples: DataFrame, key: Sequence[str], eps: float = 1e-6, flat: str = "zero",

@@ -17,7 +17,7 @@ def trigger_report(samples: DataFrame, truth: DataFrame, key: Sequence[str], n_s
                    min_n: int, tol: float, sr: float = 1.0, detrend: bool = True, chunk: int = CHUNK) -> DataFrame:
     """Where did the trigger fire on each trace, and does each alarm meet a labelled event?"""
     rows = conditioning.detrend(samples, key, chunk=chunk) if detrend else samples
-    cf = trigger.sta_lta(rows, key, n_sta, n_lta, chunk=chunk)
+    cf = trigger.sta_lta(rows, key, n_sta, n_lta, chunk=chunk, keep_chunk=True)
     found = trigger.to_seconds(trigger.trigger(cf, key, on, off, min_n, chunk=chunk), sr)
     hit, _ = match_detections(found, truth, key, tol, width=chunk / sr)
     return hit.select(*key, "on_i", "off_i", "hit")

@@ -83,7 +83,7 @@ SELECT n_alarms, n_hits, n_truth, n_found, round(n_hits / n_alarms, 8) AS precis
   round(2 * (n_found / n_truth) / (1 + n_found / n_truth), 8) AS f1_no_false_alarms FROM c""")
 def g15_trigger(spark, d):
     s = event_samples(spark, d, extra=("event_type",))
-    det = to_seconds(trigger(sta_lta(s, U, 3, 10), U, 1.8, 0.8, 2), 1.0)
+    det = to_seconds(trigger(sta_lta(s, U, 3, 10, keep_chunk=True), U, 1.8, 0.8, 2), 1.0)
     truth = s.where("event_type = 'error'").select("user_id", F.col("i").alias("t"))
     out = E.trigger_quality(*match_detections(det, truth, U, 2.0))
     return rounded(out, "precision", "recall", "f1", "f1_no_false_alarms", digits=8)

@@ -101,7 +101,7 @@ SELECT user_id, on_i, off_i, EXISTS (SELECT 1 FROM t WHERE t.user_id = det.user_
   AND (abs(on_i - t.t) <= 2 OR (on_i <= t.t AND t.t <= off_i))) AS hit FROM det""")
 def c08(spark, d):
     s = event_samples(spark, d, extra=("event_type",))
-    det = to_seconds(trigger(sta_lta(s, ["user_id"], 3, 10), ["user_id"], 1.8, 0.8, 2), 1.0)
+    det = to_seconds(trigger(sta_lta(s, ["user_id"], 3, 10, keep_chunk=True), ["user_id"], 1.8, 0.8, 2), 1.0)
     truth = s.where("event_type = 'error'").select("user_id", F.col("i").alias("t"))
     return match_detections(det, truth, ["user_id"], 2.0)[0].select("user_id", "on_i", "off_i", "hit")
 
@@ -112,7 +112,7 @@ SELECT user_id, t, EXISTS (SELECT 1 FROM det WHERE t.user_id = det.user_id
   AND (abs(on_i - t.t) <= 2 OR (on_i <= t.t AND t.t <= off_i))) AS found FROM t""")
 def c08_found(spark, d):
     s = event_samples(spark, d, extra=("event_type",))
-    det = to_seconds(trigger(sta_lta(s, ["user_id"], 3, 10), ["user_id"], 1.8, 0.8, 2), 1.0)
+    det = to_seconds(trigger(sta_lta(s, ["user_id"], 3, 10, keep_chunk=True), ["user_id"], 1.8, 0.8, 2), 1.0)
     truth = s.where("event_type = 'error'").select("user_id", F.col("i").alias("t"))
     return match_detections(det, truth, ["user_id"], 2.0)[1].select("user_id", "t", "found")
 

@@ -124,14 +124,14 @@ def e10(spark, d):
 
 @query("E11_hysteresis_trigger", f"WITH {DETECTIONS} SELECT user_id, on_i, off_i FROM det")
 def e11(spark, d):
-    cf = T.sta_lta(event_samples(spark, d), U, 3, 10)
+    cf = T.sta_lta(event_samples(spark, d), U, 3, 10, keep_chunk=True)
     return T.trigger(cf, U, 1.8, 0.8, 2).select("user_id", "on_i", "off_i")
 
 
 @query("E11_drop_open_events", f"""WITH {DETECTIONS}
 SELECT user_id, on_i, off_i FROM det WHERE off_i < (SELECT max(i) + 1 FROM s WHERE s.user_id = det.user_id)""")
 def e11_drop(spark, d):
-    cf = T.sta_lta(event_samples(spark, d), U, 3, 10)
+    cf = T.sta_lta(event_samples(spark, d), U, 3, 10, keep_chunk=True)
     return T.trigger(cf, U, 1.8, 0.8, 2, close_open=False).select("user_id", "on_i", "off_i")
 
 
@@ -140,7 +140,7 @@ INCLUSIVE = (DETECTIONS.replace("cf > 1.8", "cf >= 2.0").replace("cf < 0.8", "cf
 
 @query("E12_hysteresis_inclusive", f"WITH {INCLUSIVE} SELECT user_id, on_i, off_i FROM det")
 def e12(spark, d):
-    cf = T.sta_lta(event_samples(spark, d), U, 3, 10)
+    cf = T.sta_lta(event_samples(spark, d), U, 3, 10, keep_chunk=True)
     return T.trigger(cf, U, 2.0, 1.0, 0, inclusive=True).select("user_id", "on_i", "off_i")
 
 
@@ -172,7 +172,7 @@ m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNB
 g AS (SELECT *, sum(CASE WHEN pb IS NULL OR pb < a THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT user_id, min(a) AS on_i, max(b) AS off_i FROM g GROUP BY user_id, g""")
 def e19(spark, d):
-    cf = T.sta_lta(event_samples(spark, d), U, 3, 10)
+    cf = T.sta_lta(event_samples(spark, d), U, 3, 10, keep_chunk=True)
     return T.extend_merge(T.trigger(cf, U, 1.8, 0.8, 2), U, 2, 3).select("user_id", "on_i", "off_i")
 
 
