@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.ordered import CHUNK, attach_trace_facts, join_facts, lay_out_chunks, spread_facts, with_halo
+from tracewell.operators.ordered import CHUNK, attach_trace_facts, join_facts, spread_facts, with_halo
+from tracewell.session import cut_lineage
 
 PRE_FILTER = (0.5, 1.0, 18.0, 20.0)  # fixed corner frequencies in Hz
 WATER_LEVEL_DB = 60.0
@@ -110,11 +111,15 @@ def spectral(v: np.ndarray, sr: float, gain: Callable[[np.ndarray], np.ndarray])
     return np.fft.irfft(np.fft.rfft(v, size) * gain(np.fft.rfftfreq(size, 1 / sr)), size)[: len(v)]
 
 
+def band_halo(sr: float, lo: float, order: int) -> int:
+    return int(math.ceil(order * 12 * sr / lo))
+
+
 def bandpass(samples: DataFrame, key: Sequence[str], sr: float, lo: float = BAND[0], hi: float = BAND[1],
              order: int = 4, zero_phase: bool = True, value: str = "v", index: str = "i", chunk: int = CHUNK) -> DataFrame:
     """Butterworth band-pass.  The halo covers the impulse response, which decays
     with the lower corner frequency, so chunk borders do not show."""
-    halo = int(math.ceil(order * 12 * sr / lo))
+    halo = band_halo(sr, lo, order)
 
     def gain(freq):
         amplitude = butter_gain(freq, lo, hi, sr, order)
@@ -215,17 +220,22 @@ def inverse_response(freq, zeros, poles, factor, sensitivity, output, corners, w
 
 def remove_response(samples: DataFrame, channels: DataFrame, key: Sequence[str], on: Sequence[str], sr: float,
                     output: str = "VEL", pre_filt: Sequence[float] = PRE_FILTER, water_level: float = WATER_LEVEL_DB,
-                    value: str = "v", index: str = "i", chunk: int = CHUNK) -> DataFrame:
+                    value: str = "v", index: str = "i", chunk: int = CHUNK, band: tuple[float, float] | None = None,
+                    order: int = 4, lengths: DataFrame | None = None) -> DataFrame:
     """Spectral division by the poles-and-zeros response of the channel.
 
     ``channels``: one row per ``on`` with zeros_re/zeros_im/poles_re/poles_im
     arrays, norm_factor and sensitivity.  Traces without a row are dropped.  The
-    response travels once per chunk (co-grouped), not once per sample.
+    response travels once per chunk (co-grouped), not once per sample.  ``band``
+    adds the zero-phase band-pass to the same pass; ``lengths`` (key, _len) saves
+    counting the samples again.
     """
     columns = [*key, index, value]
     schema = samples.select(*key, F.col(index).cast("bigint").alias(index), F.col(value).cast("double").alias(value)).schema
-    halo = int(math.ceil(16 * sr / pre_filt[0]))
-    facts = samples.groupBy(*key).agg((F.max(index) + 1).alias("_len")).join(channels, list(on), "inner")
+    halo = int(math.ceil(16 * sr / pre_filt[0])) + (band_halo(sr, band[0], order) if band else 0)
+    if lengths is None:
+        lengths = samples.groupBy(*key).agg((F.max(index) + 1).alias("_len"))
+    facts = lengths.join(channels, list(on), "inner")
     spread = spread_facts(facts, "_len", chunk)
     # fresh column identities: both sides of the co-group come from the same samples
     spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])
@@ -238,8 +248,12 @@ def remove_response(samples: DataFrame, channels: DataFrame, key: Sequence[str],
         left = left.sort_values(index)
         zeros = np.asarray(r["zeros_re"], float) + 1j * np.asarray(r["zeros_im"], float)
         poles = np.asarray(r["poles_re"], float) + 1j * np.asarray(r["poles_im"], float)
-        gain = lambda f: inverse_response(f, zeros, poles, float(r["norm_factor"]), float(r["sensitivity"]), output,
-                                          pre_filt, water_level)
+
+        def gain(f):
+            inverse = inverse_response(f, zeros, poles, float(r["norm_factor"]), float(r["sensitivity"]), output,
+                                       pre_filt, water_level)
+            return inverse * butter_gain(f, *band, sr, order) ** 2 if band else inverse
+
         out = spectral(left[value].to_numpy(dtype=float), sr, gain)
         return left.assign(**{value: out}).loc[left["_own"], columns]
 
@@ -249,14 +263,19 @@ def remove_response(samples: DataFrame, channels: DataFrame, key: Sequence[str],
 def condition(samples: DataFrame, key: Sequence[str], sr: float, target: float = 40.0, channels: DataFrame | None = None,
               on: Sequence[str] | None = None, p: float = 0.05, band: tuple[float, float] | None = BAND,
               resample_first: bool = True, value: str = "v", index: str = "i", chunk: int = CHUNK) -> DataFrame:
-    """Resample, detrend, demean, taper, remove response, band-pass, in that order."""
+    """Resample, detrend, demean, taper, remove response, band-pass, in that order.
+
+    Resampled samples are read twice (trend, then values), so they are written
+    once.  Response and band-pass share one pass over the chunks.
+    """
     out = samples.select(*key, index, value)
-    if resample_first:
-        out = resample(out, key, sr, target, value=value, index=index, chunk=chunk)
+    if resample_first and sr != target:
+        out = cut_lineage(resample(out, key, sr, target, value=value, index=index, chunk=chunk))
     rate = target if resample_first else sr
+    lengths = out.groupBy(*key).agg((F.max(index) + 1).alias("_len"))
     out = detrend_taper(out, key, p, value, index, chunk)
     if channels is not None:
-        out = remove_response(out, channels, key, on or key, rate, value=value, index=index, chunk=chunk)
-    if band is not None:
+        out = remove_response(out, channels, key, on or key, rate, value=value, index=index, chunk=chunk, band=band, lengths=lengths)
+    elif band is not None:
         out = bandpass(out, key, rate, *band, value=value, index=index, chunk=chunk)
     return out if resample_first else resample(out, key, sr, target, value=value, index=index, chunk=chunk)
