@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tracewell.operators.evaluate import average_precision, curve, flag, prf, confusion
 from tracewell.operators.ordered import attach_facts, order_statistics
+from tracewell.operators.windows import pinned
 
 SLOT = 4096  # gradient entries per row when partitions hand in their sums
 
@@ -54,15 +55,15 @@ class LinearModel:
 
     def encode(self, windows: DataFrame, x: str = "x", name: str = "code") -> DataFrame:
         mean, c = self.mean, self.components
-        return windows.withColumn(name, _rows(lambda m: (m - mean) @ c)(F.col(x).cast("array<double>")))
+        return _applied(windows, name, _rows(lambda m: (m - mean) @ c), x)
 
     def reconstruct(self, windows: DataFrame, x: str = "x", name: str = "recon") -> DataFrame:
         mean, c = self.mean, self.components
-        return windows.withColumn(name, _rows(lambda m: mean + ((m - mean) @ c) @ c.T)(F.col(x).cast("array<double>")))
+        return _applied(windows, name, _rows(lambda m: mean + ((m - mean) @ c) @ c.T), x)
 
     def errors(self, windows: DataFrame, x: str = "x", name: str = "err") -> DataFrame:
         mean, c = self.mean, self.components
-        return windows.withColumn(name, _scores(lambda m: mean + ((m - mean) @ c) @ c.T)(F.col(x).cast("array<double>")))
+        return _applied(windows, name, _scores(lambda m: mean + ((m - mean) @ c) @ c.T), x)
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, float(self.mean[i]), [float(v) for v in self.components[i]]) for i in range(len(self.mean))]
@@ -74,6 +75,10 @@ class LinearModel:
         return LinearModel(np.array([r["mean"] for r in rows]), np.array([r["components"] for r in rows]))
 
 
+def _applied(windows, name, udf, x):
+    return pinned(windows, "_in", F.col(x).cast("array<double>")).withColumn(name, udf("_in")).drop("_in")
+
+
 def _rows(fn):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -118,7 +123,7 @@ class DenseModel:
 
     def errors(self, windows: DataFrame, x: str = "x", name: str = "err") -> DataFrame:
         w, b, out = self.weights, self.biases, self.out
-        return windows.withColumn(name, _scores(lambda m: _forward(w, b, m, out)[-1])(F.col(x).cast("array<double>")))
+        return _applied(windows, name, _scores(lambda m: _forward(w, b, m, out)[-1]), x)
 
     def n_params(self) -> int:
         return int(sum(w.size for w in self.weights) + sum(b.size for b in self.biases))

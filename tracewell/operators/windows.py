@@ -79,6 +79,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a finished column in front of a Python function.
+
+    A one-element explode is a step of its own, so the optimizer neither moves the
+    expression into the function call nor computes it twice.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def array_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, e: a + e)
 

@@ -1,5 +1,10 @@
-"""Live features in event time.  All of them keep bounded state: rows older than the
-watermark are dropped, and a window is emitted once, when the watermark passes it."""
+"""Live features in event time.
+
+All of them keep bounded state.  A window is emitted once, when the watermark passes
+its end.  Late rows: the watermark is the latest event time minus the allowed delay;
+a row of a closed window is dropped if the batch before its own had already moved the
+watermark past that window.
+"""
 
 from __future__ import annotations
 
