@@ -115,7 +115,7 @@ def d11(spark, d):
 
 
 @query("D12_time_span", """
-SELECT event_type, CAST(min(ts) AS VARCHAR) AS first, CAST(max(ts) AS VARCHAR) AS last, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS span_s FROM events GROUP BY 1""")
+SELECT event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS span_s FROM events GROUP BY 1""")
 def d12(spark, d):
     out = S.span(table(spark, d, "events"), "ts", "ts", ["event_type"])
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")

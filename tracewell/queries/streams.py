@@ -48,7 +48,7 @@ WITH l AS (SELECT event_type, ts, value AS v, CASE WHEN ts - lag(ts) OVER (PARTI
 r AS (SELECT *, sum(s) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM l),
 g AS (SELECT event_type, min(ts) AS w0, max(ts) + INTERVAL 30 MINUTE AS w1, count(*) AS n, max(v) AS peak FROM r GROUP BY event_type, g)
 SELECT event_type, strftime(w0, {STAMP}) AS t_on, strftime(w1, {STAMP}) AS t_off, n, peak FROM g
-WHERE w1 <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+WHERE w1 <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE value > 40)""")
 def h04(spark, d):
     out = features.run_to_table(features.stream_sessions(live_events(spark, d), ["event_type"], 40.0, "30 minutes", "10 minutes", value="v"))
     return out.select("event_type", text("t_on"), text("t_off"), "n", "peak")

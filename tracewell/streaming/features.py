@@ -45,8 +45,11 @@ def stream_energy(sdf: DataFrame, key: Sequence[str], length: str, watermark: st
 
 def stream_sessions(sdf: DataFrame, key: Sequence[str], on: float, gap: str, watermark: str, value: str = "cf",
                     ts: str = "ts") -> DataFrame:
-    """Events as sessions: rows above ``on`` less than ``gap`` apart belong together."""
-    loud = sdf.withWatermark(ts, watermark).where(F.col(value) > on)
+    """Events as sessions: rows above ``on`` less than ``gap`` apart belong together.
+
+    Only rows above ``on`` move the watermark (a filter on the value always runs first).
+    """
+    loud = sdf.where(F.col(value) > on).withWatermark(ts, watermark)
     grouped = loud.groupBy(F.session_window(ts, gap).alias("w"), *key).agg(
         F.count(F.lit(1)).alias("n"), F.max(value).alias("peak")
     )
