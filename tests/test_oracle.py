@@ -2,6 +2,7 @@
 
 import pytest
 from oracle import ROOT, compare, connect
+from plans import findings
 
 from __spark_entry__ import entry, oracle_sql, queries
 
@@ -26,3 +27,8 @@ def test_gives_rows(spark, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan_has_no_cross_join_row_udf_or_whole_table_window(spark, name):
+    assert findings(QUERIES[name](spark, FOLDER)) == []

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tracewell.session import cut_lineage
 
-CHUNK = 1 << 17
-DIRECT_FRAME = 16
+CHUNK = 1 << 16
+DIRECT_FRAME = 4
 
 
 def join_facts(df: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -259,7 +259,7 @@ def attach_trace_facts(
 ) -> DataFrame:
     """Samples with the facts of their trace; adds ``_chunk`` and keeps it."""
     if "_chunk" not in samples.columns:
-        samples = lay_out_chunks(samples.withColumn("_chunk", chunk_of(index, chunk)), key)
+        samples = samples.withColumn("_chunk", chunk_of(index, chunk))
     return join_facts(samples, spread_facts(facts, length, chunk), [*key, "_chunk"], "inner")
 
 

@@ -181,8 +181,9 @@ def trigger(
         "_prev": F.last("_mark", ignorenulls=True).over(so_far), "_tail": F.lead("_i").over(inside).isNull()
     })
     changed = F.col("_mark").isNotNull() & (F.col("_prev").isNull() | (F.col("_prev") != F.col("_mark")))
-    # few rows are left; this shuffle of them is shared by the summary and the pairing
-    edges = marked.withColumn("_edge", changed).where("_edge OR _tail").repartition(*key, "_chunk")
+    # few rows are left; this shuffle of them is shared by the summary and the pairing, so
+    # the ratio is computed once (a repartition in the samples' own layout would be dropped)
+    edges = marked.withColumn("_edge", changed).where("_edge OR _tail").repartition("_chunk", *key)
     summary = edges.groupBy(*key, "_chunk").agg(
         F.max_by("_mark", F.when(F.col("_edge"), F.col("_i"))).alias("_last"),
         F.min(F.when(F.col("_edge") & (F.col("_mark") == 0), F.col("_i"))).alias("_first_off"),
