@@ -40,8 +40,7 @@ def bag(columns, rows):
     return sorted(columns), Counter(tuple(plain(r[j]) for j in order) for r in rows)
 
 
-def compare(spark, con, name, fn, sql, folder):
-    df = fn(spark, folder)
+def compare(con, df, sql):
     got = bag(df.columns, df.collect())
     rel = con.execute(sql)
     want = bag([c[0] for c in rel.description], rel.fetchall())
@@ -70,7 +69,7 @@ if __name__ == "__main__":
         start = time.time()
         try:
             if name in oracle:
-                problem = compare(spark, con, name, fn, oracle[name], folder)
+                problem = compare(con, fn(spark, folder), oracle[name])
             else:
                 problem = None if fn(spark, folder).collect() else "no rows"
         except Exception as e:  # report and go on

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.ordered import CHUNK, attach_trace_facts, join_facts, spread_facts, with_halo
+from tracewell.operators.ordered import CHUNK, attach_facts, attach_trace_facts, join_facts, spread_facts, with_halo
 from tracewell.session import cut_lineage
 
 PRE_FILTER = (0.5, 1.0, 18.0, 20.0)  # fixed corner frequencies in Hz
@@ -187,7 +187,7 @@ def scale_sensitivity(samples: DataFrame, channels: DataFrame, on: Sequence[str]
                       sensitivity: str = "sensitivity") -> DataFrame:
     """Counts to units by the channel's overall sensitivity; traces without one are dropped."""
     known = channels.where(F.col(sensitivity) != 0).select(*on, F.col(sensitivity).alias("_sens"))
-    return samples.join(known, list(on), "inner").withColumn(value, F.col(value) / F.col("_sens")).drop("_sens")
+    return attach_facts(samples, known, on).withColumn(value, F.col(value) / F.col("_sens")).drop("_sens")
 
 
 def response_curve(freq: np.ndarray, zeros: np.ndarray, poles: np.ndarray, factor: float, sensitivity: float,

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.ordered import attach_facts
+from tracewell.operators.ordered import attach_facts, with_salt, with_salt_copies
 
 
 def attach_station(traces: DataFrame, stations: DataFrame, on: Sequence[str] = ("net", "sta")) -> DataFrame:
-    """Inner join by exact key.  Metadata is deduplicated, so no trace is doubled."""
-    return traces.join(stations.dropDuplicates(list(on)), list(on), "inner")
+    """Inner join by exact key.  Metadata is deduplicated, so no trace is doubled; a
+    station with most of the rows is spread by salt."""
+    return attach_facts(traces, stations.dropDuplicates(list(on)), on)
 
 
 def without_station(traces: DataFrame, stations: DataFrame, on: Sequence[str] = ("net", "sta")) -> DataFrame:
@@ -22,11 +23,14 @@ def without_station(traces: DataFrame, stations: DataFrame, on: Sequence[str] =
 def attach_epoch(traces: DataFrame, epochs: DataFrame, on: Sequence[str], at: str = "t0", start: str = "start",
                  end: str = "end") -> DataFrame:
     """Metadata valid at the time of the trace: start <= t < end, open end allowed."""
+    traces = with_salt(traces)
+    epochs = with_salt_copies(epochs)
+    on = [*on, "_salt"]
     renamed = epochs.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in epochs.columns])
     condition = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     for c in on:
         condition = condition & (F.col(c) == F.col(f"_k_{c}"))
-    return traces.join(renamed, condition, "inner").drop(*[f"_k_{c}" for c in on])
+    return traces.join(renamed, condition, "inner").drop("_salt", *[f"_k_{c}" for c in on])
 
 
 def attach_contains(

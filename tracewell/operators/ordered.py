@@ -42,16 +42,27 @@ def join_facts(df: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "l
     return df.join(renamed, condition, how).drop(*[f"_on_{c}" for c in on])
 
 
-def attach_facts(df: DataFrame, facts: DataFrame, on: Sequence[str], salts: int = 64, how: str = "inner") -> DataFrame:
+SALTS = 64
+
+
+def with_salt(df: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Rows with ``_salt``, a hash of the row."""
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int"))
+
+
+def with_salt_copies(facts: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Each fact once per salt."""
+    return facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def attach_facts(df: DataFrame, facts: DataFrame, on: Sequence[str], salts: int = SALTS, how: str = "inner") -> DataFrame:
     """Join group facts to rows when a group may be most of the table.
 
     Each fact is copied to ``salts`` sub-keys and rows choose one by hash, so a
     hot group (or, with ``on`` empty, the whole table) is spread over ``salts``
     tasks even where the facts are too many to broadcast.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int"))
-    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return join_facts(salted, copies, [*on, "_salt"], how).drop("_salt")
+    return join_facts(with_salt(df, salts), with_salt_copies(facts, salts), [*on, "_salt"], how).drop("_salt")
 
 
 def side_by_side(frames: Sequence[DataFrame], key: Sequence[str] = ()) -> DataFrame:

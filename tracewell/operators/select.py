@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.ordered import CHUNK, chunk_of, join_facts, lay_out_chunks, ranged, running
+from tracewell.operators.ordered import CHUNK, attach_facts, chunk_of, lay_out_chunks, ranged, running
 
 LOW_RATIO, HIGH_RATIO = 2.0, 10.0  # fixed class limits of the variance ratio
 MAGNITUDE_EDGES = (2.5, 3.0, 3.5, 4.0, 5.0, 10.0)  # fixed half-open magnitude buckets
@@ -172,7 +172,7 @@ def new_files(listing: DataFrame, log: DataFrame, name: str = "path", size: str
 def exists_flag(df: DataFrame, other: DataFrame, on: Sequence[str], name: str) -> DataFrame:
     """``name`` is true where ``other`` has a row with the same key."""
     present = other.select(*on).distinct().withColumn(name, F.lit(True))
-    return join_facts(df, present, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return attach_facts(df, present, on, how="left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def best_so_far(df: DataFrame, key: Sequence[str], order: str, value: str, chunk: int = CHUNK) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import conditioning, evaluate, joins, model, select, splits, trigger, variance, windows
 from tracewell.operators.drift import ks_two_sample
 from tracewell.operators.intervals import match_detections
-from tracewell.operators.ordered import CHUNK
+from tracewell.operators.ordered import CHUNK, attach_facts
 
 
 def trigger_report(samples: DataFrame, truth: DataFrame, key: Sequence[str], n_sta: int, n_lta: int, on: float, off: float,
@@ -52,14 +52,14 @@ def build_dataset(samples: DataFrame, stations: DataFrame, key: Sequence[str], s
     known = joins.attach_station(samples, stations.select(station), [station])
     clean = conditioning.condition(known, key, sr, target or sr, band=band, chunk=chunk)
     marks = known.groupBy(*key).agg(F.max(anomalous.cast("int")).alias("label"), F.first(station).alias("net_sta"), F.min(ts).alias("t0"))
-    loud = clean.join(marks.where("label = 1").select(*key), list(key), "left_semi")
-    quiet = clean.join(marks.where("label = 0").select(*key), list(key), "left_semi")
+    labelled = attach_facts(clean, marks.select(*key, "label"), key)
+    loud, quiet = (labelled.where(F.col("label") == mark).drop("label") for mark in (1, 0))
     middle = windows.central_samples(loud, key, n, chunk=chunk).groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("x")
     ).withColumn("k", F.lit(0).cast("bigint"))
     everything = windows.collect_windows(quiet, key, n, step)
     both = windows.zscore(everything.unionByName(middle.select(*everything.columns)))
-    both = both.join(marks, list(key))
+    both = attach_facts(both, marks, key)
     if sample is not None:
         normal = select.sample_n(both.where("label = 0"), sample, [*key, "k"], seed)
         both = normal.unionByName(both.where("label = 1"))
