@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import conditioning as C
 from tracewell.operators import spectra as S
 from tracewell.operators import windows as W
-from tracewell.queries.registry import TYPE_SAMPLES, USER_SAMPLES, event_samples, query, r6, supplier_samples, table
+from tracewell.queries.registry import SUPPLIER_SAMPLES, TYPE_SAMPLES, USER_SAMPLES, event_samples, query, r6, supplier_samples, table
 
 EMB = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
 
@@ -125,9 +125,14 @@ def f12(spark, d):
     return C.resample_mean(event_samples(spark, d), ["user_id"], 4).select("user_id", "i", r6("v").alias("v"))
 
 
-@query("F12_resample_general")
+@query("F12_resample_general", f"""WITH {SUPPLIER_SAMPLES},
+n AS (SELECT l_suppkey, CAST(floor((max(i) + 1) * CAST(0.4 AS DOUBLE)) AS BIGINT) AS n FROM s GROUP BY 1),
+j AS (SELECT l_suppkey, j, j / CAST(0.4 AS DOUBLE) AS at FROM (SELECT l_suppkey, unnest(generate_series(0, n - 1)) AS j FROM n)),
+d AS (SELECT j.l_suppkey, j.j, (j.at - s.i) * CAST(0.4 AS DOUBLE) AS d, s.v FROM j JOIN s ON s.l_suppkey = j.l_suppkey AND s.i > j.at - 81 AND s.i < j.at + 81)
+SELECT l_suppkey, j AS i, round(sum(v * 0.4 * (CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) END) * (0.5 + 0.5 * cos(pi() * d / 32))), 6) AS v
+FROM d WHERE abs(d) < 32 GROUP BY 1, 2""")
 def f12_general(spark, d):
-    return C.resample(supplier_samples(spark, d), ["l_suppkey"], 100.0, 40.0)
+    return C.resample(supplier_samples(spark, d), ["l_suppkey"], 100.0, 40.0).withColumn("v", r6("v"))
 
 
 @query("F13_sensitivity", f"""WITH {USER_SAMPLES}

@@ -13,7 +13,7 @@ from tracewell.queries.evaluation import model_windows, scores
 from tracewell.queries.registry import query, r6, table
 from tracewell.schemas import INVENTORY
 from tracewell.session import ensure_checkpoint_dir
-from tracewell.sources import catalog, files, tables
+from tracewell.sources import catalog, files, stations, tables
 
 
 def scratch(spark, name):
@@ -38,6 +38,29 @@ def a03(spark, d):
     return tables.read_samples(spark, f"{d}/events.parquet", schema, suffix="or", channel="event_type").select("user_id", "event_id", "value")
 
 
+@query("A04_read_station_metadata", """
+SELECT 'N' || s_nationkey AS net, 'S' || s_suppkey AS sta, 'BHZ' AS cha, s_acctbal AS sensitivity, CAST(2 AS INTEGER) AS n_stages,
+  CAST(-5.0 AS DOUBLE) AS pole_re, CAST(1 + s_nationkey AS DOUBLE) AS norm_factor FROM supplier""")
+def a04(spark, d):
+    """Station XML documents written from the suppliers, then read back."""
+    named = lambda **fields: F.struct(*[v.alias(f"fsx:{k}") for k, v in fields.items()])
+    pole = named(Real=F.lit(-5.0), Imaginary=F.lit(3.0))
+    sensor = F.struct(F.lit(1).alias("_number"), named(NormalizationFactor=(1 + F.col("s_nationkey")).cast("double"), Pole=F.array(pole)).alias("fsx:PolesZeros"),
+                      named(Value=F.lit(100.0)).alias("fsx:StageGain"))
+    logger = F.struct(F.lit(2).alias("_number"), F.lit(None).cast("struct<`fsx:NormalizationFactor`:double,`fsx:Pole`:array<struct<`fsx:Real`:double,`fsx:Imaginary`:double>>>").alias("fsx:PolesZeros"), named(Value=F.lit(2.0)).alias("fsx:StageGain"))
+    response = named(InstrumentSensitivity=named(Value=F.col("s_acctbal")), Stage=F.array(sensor, logger))
+    channel = F.struct(F.lit("BHZ").alias("_code"), F.lit("").alias("_locationCode"), F.lit("2000-01-01T00:00:00Z").alias("_startDate"),
+                       F.lit(40.0).alias("fsx:SampleRate"), response.alias("fsx:Response"))
+    station = F.struct(F.concat(F.lit("S"), "s_suppkey").alias("_code"), F.lit(1.5).alias("fsx:Latitude"), F.array(channel).alias("fsx:Channel"))
+    path = scratch(spark, "stations")
+    networks = table(spark, d, "supplier").select(F.concat(F.lit("N"), "s_nationkey").alias("_code"), F.array(station).alias("fsx:Station"))
+    root = 'fsx:FDSNStationXML xmlns:fsx="http://www.fdsn.org/xml/station/1"'
+    networks.write.format("xml").option("rootTag", root).option("rowTag", "fsx:Network").option("validateName", False).save(path)
+    _, channels, stages = stations.read_stations(spark, path)
+    responses = stations.sensor_responses(stages).select("net", "sta", "cha", F.get("poles_re", F.lit(0)).alias("pole_re"), "norm_factor")
+    return channels.select("net", "sta", "cha", "sensitivity", "n_stages").join(responses, ["net", "sta", "cha"])
+
+
 @query("A05_read_catalog", """
 SELECT o_orderkey AS line_no, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'few_tokens' WHEN o_orderkey % 83 = 0 THEN 'bad_number'
   WHEN o_custkey % 500 < 250 THEN 'low_magnitude' WHEN o_orderkey % 89 = 0 THEN 'bad_date' ELSE 'ok' END AS status,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import model as M
 from tracewell.queries.evaluation import model_windows
+from tracewell.queries.joins import DETECTIONS
 from tracewell.queries.registry import query, r6
 from tracewell.streaming import features
 from tracewell.streaming.trigger import stream_trigger
@@ -54,13 +55,15 @@ def h04(spark, d):
     return out.select("event_type", text("t_on"), text("t_off"), "n", "peak")
 
 
-@query("H03_stream_trigger")
+@query("H03_stream_trigger", f"""WITH {DETECTIONS}
+SELECT user_id, on_i, off_i, 'below' AS closed_by FROM det WHERE off_i < (SELECT max(i) + 1 FROM s WHERE s.user_id = det.user_id)""")
 def h03(spark, d):
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         # no event is closed by silence here, so the rows are the batch detections that end
-        return features.run_to_table(stream_trigger(live_events(spark, d), ["user_id"], 3, 10, 1.8, 0.8, 2, "10 minutes", 10**12))
+        out = features.run_to_table(stream_trigger(live_events(spark, d), ["user_id"], 3, 10, 1.8, 0.8, 2, "10 minutes", 10**12))
+        return out.select("user_id", "on_i", "off_i", "closed_by")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
 
