@@ -58,21 +58,37 @@ def label_overlap(
     return reached.withColumn("label", label).drop("_reach")
 
 
-def match_detections(
+def _reach_of(detections_on: str, detections_off: str, tol: float) -> tuple[Column, Column]:
+    """|t_on - t| <= tol or t_on <= t <= t_off, as one interval of t."""
+    return F.col(detections_on) - tol, F.greatest(F.col(detections_on) + tol, F.col(detections_off))
+
+
+def truths_found(
     detections: DataFrame, truth: DataFrame, key: Sequence[str], tol: float = 15.0,
     on: str = "t_on", off: str = "t_off", at: str = "t", width: float = CHUNK,
-) -> tuple[DataFrame, DataFrame]:
-    """Detections with ``hit`` and truths with ``found``.
-
-    A detection hits a truth at t when |t_on - t| <= tol or t_on <= t <= t_off,
-    that is when t lies in [t_on - tol, max(t_on + tol, t_off)].
-    """
-    low = F.col(on) - tol
-    high = F.greatest(F.col(on) + tol, F.col(off))
+) -> DataFrame:
+    """Truths with ``found``: some detection starts within ``tol`` of it or spans it."""
+    low, high = _reach_of(on, off, tol)
     found = furthest_end(truth, detections, key, at, low, high, False, width, "_reach")
-    found = found.withColumn("found", F.coalesce(F.col("_reach") >= F.col(at), F.lit(False))).drop("_reach")
-    # a detection is hit when the latest truth at or before its high end is not before its low end
+    return found.withColumn("found", F.coalesce(F.col("_reach") >= F.col(at), F.lit(False))).drop("_reach")
+
+
+def detections_hit(
+    detections: DataFrame, truth: DataFrame, key: Sequence[str], tol: float = 15.0,
+    on: str = "t_on", off: str = "t_off", at: str = "t", width: float = CHUNK,
+) -> DataFrame:
+    """Detections with ``hit``: the latest truth at or before the high end of the
+    detection is not before its low end."""
+    low, high = _reach_of(on, off, tol)
     moments = truth.select(*key, F.col(at).alias("_s"), F.col(at).alias("_t"))
     hit = furthest_end(detections.withColumn("_high", high), moments, key, "_high", "_s", "_t", False, width, "_reach")
-    hit = hit.withColumn("hit", F.coalesce(F.col("_reach") >= low, F.lit(False))).drop("_reach", "_high")
-    return hit, found
+    return hit.withColumn("hit", F.coalesce(F.col("_reach") >= low, F.lit(False))).drop("_reach", "_high")
+
+
+def match_detections(
+    detections: DataFrame, truth: DataFrame, key: Sequence[str], tol: float = 15.0,
+    on: str = "t_on", off: str = "t_off", at: str = "t", width: float = CHUNK,
+) -> tuple[DataFrame, DataFrame]:
+    """Detections with ``hit`` and truths with ``found``."""
+    args = (detections, truth, key, tol, on, off, at, width)
+    return detections_hit(*args), truths_found(*args)

@@ -22,7 +22,10 @@ from pyspark.sql import types as T
 from tracewell.operators.evaluate import average_precision, curve, flag, prf, confusion
 from tracewell.operators.ordered import attach_facts, order_statistics
 from tracewell.operators.windows import pinned
+from tracewell.session import cut_lineage
 
+MAX_STEPS = 64  # optimizer steps per epoch at most; beyond that the steps grow
+FILES_PER_STEP = 32
 SLOT = 4096  # gradient entries per row when partitions hand in their sums
 
 
@@ -180,14 +183,17 @@ def _unflatten(flat, shapes):
 
 def fit_dense_ae(train: DataFrame, val: DataFrame, layers: Sequence[int] = (400, 256, 128, 64, 32), epochs: int = 50,
                  lr: float = 1e-3, batch: int = 64, patience: int = 10, plateau: int = 7, dropout: float = 0.0,
-                 out: str = "linear", seed: int = 42, x: str = "x", batch_col: str = "_b") -> DenseModel:
+                 out: str = "linear", seed: int = 42, x: str = "x") -> DenseModel:
     """Data-parallel training with Adam.
 
     The rows are hashed once into steps of about ``batch`` rows times the number of
-    partitions; in each step the weights go out, partitions return gradient sums in
-    slots of ``SLOT`` numbers, and Spark adds the slots up.  What reaches the driver
-    is one gradient, whatever the number of rows.  Early stopping, halving of the
-    rate on a plateau, and the best weights by validation loss are kept.
+    partitions and written by step, so that a step reads only its own rows and an
+    epoch reads each row once.  In each step the weights go out, partitions return
+    gradient sums in slots of ``SLOT`` numbers, and Spark adds the slots up.  What
+    reaches the driver is one gradient, whatever the number of rows.
+
+    Training stops early after ``patience`` epochs without a better validation loss,
+    the rate is halved every ``plateau`` such epochs, and the best weights are kept.
     """
     rng = np.random.default_rng(seed)
     sizes = [*layers, *reversed(layers[:-1])]
@@ -195,43 +201,43 @@ def fit_dense_ae(train: DataFrame, val: DataFrame, layers: Sequence[int] = (400,
     weights = [rng.uniform(-1, 1, s) * np.sqrt(6 / sum(s)) for s in shapes]
     flat = np.concatenate([v for w in weights for v in (w.ravel(), np.zeros(w.shape[1]))])
     spark = train.sparkSession
-    rows = train.select(F.col(x).cast("array<double>").alias("x"), F.xxhash64(x).alias("_h")).persist()
-    held = val.select(F.col(x).cast("array<double>").alias("x")).persist()
-    try:
-        n = rows.count()
-        parts = max(1, rows.rdd.getNumPartitions())
-        steps = max(1, round(n / (batch * parts)))
-        m1, m2, t = np.zeros_like(flat), np.zeros_like(flat), 0
-        best, best_loss, since, history = flat.copy(), np.inf, 0, []
-        for epoch in range(1, epochs + 1):
-            loss = 0.0
-            for step in range(steps):
-                rows_now = rows.where(F.pmod(F.col("_h") + epoch * 7919, F.lit(steps)) == step) if steps > 1 else rows
-                sent = spark.sparkContext.broadcast(flat)
-                g, step_loss, count = _summed_gradient(rows_now, sent, shapes, out, dropout, seed + epoch * 1000 + step)
-                sent.unpersist()
-                if count == 0:
-                    continue
-                loss += step_loss
-                t += 1
-                g /= count
-                m1 = 0.9 * m1 + 0.1 * g
-                m2 = 0.999 * m2 + 0.001 * g * g
-                flat = flat - lr * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-            w, b = _unflatten(flat, shapes)
-            val_loss = DenseModel(w, b, out).errors(held).agg(F.avg("err")).first()[0]
-            history.append({"epoch": epoch, "loss": loss / max(n, 1), "val_loss": float(val_loss), "lr": lr})
-            if val_loss < best_loss:
-                best, best_loss, since = flat.copy(), val_loss, 0
-            else:
-                since += 1
-                if since % plateau == 0:
-                    lr /= 2
-                if since >= patience:
-                    break
-    finally:
-        rows.unpersist()
-        held.unpersist()
+    # the hash covers all columns: with an id, copies of one window are spread too
+    rows = train.select(F.col(x).cast("array<double>").alias("x"), F.xxhash64(*train.columns).alias("_h"))
+    held = cut_lineage(val.select(F.col(x).cast("array<double>").alias("x")))
+    n, parts = rows.count(), spark.sparkContext.defaultParallelism
+    steps = min(MAX_STEPS, max(1, round(n / (batch * parts))))
+    hashed = rows.withColumn("_step", F.pmod("_h", F.lit(steps)).cast("int"))
+    # up to FILES_PER_STEP files per step, so that its rows are read by many tasks
+    spread = hashed.withColumn("_file", F.pmod(F.shiftright("_h", 20), F.lit(min(parts, FILES_PER_STEP))))
+    table = cut_lineage(spread.repartition("_step", "_file").drop("_h", "_file"), partition_by=["_step"])
+    m1, m2, t = np.zeros_like(flat), np.zeros_like(flat), 0
+    best, best_loss, since, history = flat.copy(), np.inf, 0, []
+    for epoch in range(1, epochs + 1):
+        loss = 0.0
+        for step in rng.permutation(steps):
+            rows_now = table.where(F.col("_step") == int(step))
+            sent = spark.sparkContext.broadcast(flat)
+            g, step_loss, count = _summed_gradient(rows_now, sent, shapes, out, dropout, int(seed + epoch * 1000 + step))
+            sent.unpersist()
+            if count == 0:
+                continue
+            loss += step_loss
+            t += 1
+            g /= count
+            m1 = 0.9 * m1 + 0.1 * g
+            m2 = 0.999 * m2 + 0.001 * g * g
+            flat = flat - lr * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        w, b = _unflatten(flat, shapes)
+        val_loss = DenseModel(w, b, out).errors(held).agg(F.avg("err")).first()[0]
+        history.append({"epoch": epoch, "loss": loss / max(n, 1), "val_loss": float(val_loss), "lr": lr})
+        if val_loss < best_loss:
+            best, best_loss, since = flat.copy(), val_loss, 0
+        else:
+            since += 1
+            if since % plateau == 0:
+                lr /= 2
+            if since >= patience:
+                break
     return DenseModel(*_unflatten(best, shapes), out, history)
 
 
@@ -281,17 +287,17 @@ def search(train: DataFrame, val: DataFrame, ks: Sequence[int], percentiles: Seq
             part = spark.createDataFrame([(*g, None, None, None, None, None) for g in grid],
                                          "k int, percentile double, precision double, recall double, f1 double, ap double, thr double")
         else:
-            part = _scored_grid(model, normal, val, k, percentiles, label, x)
+            part = _scored_grid(model, normal, val, k, percentiles, label, ids, x)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scored_grid(model, normal, val, k, percentiles, label, x):
+def _scored_grid(model, normal, val, k, percentiles, label, ids, x):
     names = {f"p{j}": p / 100 for j, p in enumerate(percentiles)}
     train_err = model.errors(normal.select(x), x).select("err")
     limits = order_statistics(train_err, [], "err", names)
     options = F.array(*[F.struct(F.lit(float(p)).alias("percentile"), F.col(f"p{j}").alias("thr")) for j, p in enumerate(percentiles)])
-    val_err = model.errors(val.select(x, label), x).select("err", label)
+    val_err = model.errors(val.select(*ids, x, label), x).select(*ids, "err", label)
     rows = attach_facts(val_err, limits.select(options.alias("_o")), []).withColumn("_o", F.explode("_o"))
     rows = rows.select("err", label, "_o.percentile", "_o.thr")
     cells = prf(confusion(flag(rows, F.col("thr")), ["percentile", "thr"], label=label))

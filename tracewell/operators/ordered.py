@@ -46,7 +46,10 @@ SALTS = 64
 
 
 def with_salt(df: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Rows with ``_salt``, a hash of the row."""
+    """Rows with ``_salt``, a hash of the row: the same after a task is run again.
+
+    Rows must differ, by an id or after a count of equal ones, to be spread.
+    """
     return df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int"))
 
 

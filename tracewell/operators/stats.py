@@ -115,11 +115,13 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
 def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers: the last values within 1.5 IQR of the box."""
     quartiles = order_statistics(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    joined = attach_facts(df.select(*by, F.col(col).cast("double").alias("_v")), quartiles, list(by))
+    # equal values are one row with a count
+    values = df.groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).where("_v IS NOT NULL")
+    joined = attach_facts(values, quartiles, list(by))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low = F.min(F.when(F.col("_v") >= F.col("q1") - reach, F.col("_v")))
     high = F.max(F.when(F.col("_v") <= F.col("q3") + reach, F.col("_v")))
-    outside = F.sum(F.when(F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach), 0).otherwise(1))
+    outside = F.sum(F.when(F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach), 0).otherwise(F.col("_c")))
     return joined.groupBy(*by, "q1", "median", "q3").agg(
         low.alias("whisker_low"), high.alias("whisker_high"), outside.alias("n_outside")
     )

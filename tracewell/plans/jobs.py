@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import conditioning, evaluate, joins, model, select, splits, trigger, variance, windows
 from tracewell.operators.drift import ks_two_sample
-from tracewell.operators.intervals import match_detections
+from tracewell.operators.intervals import detections_hit
 from tracewell.operators.ordered import CHUNK, attach_facts
 
 
@@ -19,8 +19,7 @@ def trigger_report(samples: DataFrame, truth: DataFrame, key: Sequence[str], n_s
     rows = conditioning.detrend(samples, key, chunk=chunk) if detrend else samples
     cf = trigger.sta_lta(rows, key, n_sta, n_lta, chunk=chunk, keep_chunk=True)
     found = trigger.to_seconds(trigger.trigger(cf, key, on, off, min_n, chunk=chunk), sr)
-    hit, _ = match_detections(found, truth, key, tol, width=chunk / sr)
-    return hit.select(*key, "on_i", "off_i", "hit")
+    return detections_hit(found, truth, key, tol, width=chunk / sr).select(*key, "on_i", "off_i", "hit")
 
 
 def file_inventory(samples: DataFrame, file: str, sr: float, stations: DataFrame, net: str = "net", sta: str = "sta",

@@ -260,7 +260,7 @@ def g10(spark, d):
 @query("G11_search")
 def g11(spark, d):
     w = model_windows(spark, d).withColumn("u", (F.col("vec_id") * 7919 + 42) % 10)
-    return M.search(w.where("u < 7"), w.where("u >= 7"), [2, 8, 16], [90.0, 95.0, 99.0])
+    return M.search(w.where("u < 7"), w.where("u >= 7"), [2, 8, 16], [90.0, 95.0, 99.0], ids=["vec_id"])
 
 
 @query("G26_refit_on_drift")

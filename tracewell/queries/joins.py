@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import joins, select
-from tracewell.operators.intervals import label_overlap, match_detections
+from tracewell.operators.intervals import detections_hit, label_overlap, truths_found
 from tracewell.operators.trigger import sta_lta, to_seconds, trigger
 from tracewell.queries.registry import USER_SAMPLES, event_samples, query, table
 
@@ -103,7 +103,7 @@ def c08(spark, d):
     s = event_samples(spark, d, extra=("event_type",))
     det = to_seconds(trigger(sta_lta(s, ["user_id"], 3, 10, keep_chunk=True), ["user_id"], 1.8, 0.8, 2), 1.0)
     truth = s.where("event_type = 'error'").select("user_id", F.col("i").alias("t"))
-    return match_detections(det, truth, ["user_id"], 2.0)[0].select("user_id", "on_i", "off_i", "hit")
+    return detections_hit(det, truth, ["user_id"], 2.0).select("user_id", "on_i", "off_i", "hit")
 
 
 @query("C08_truth_found", f"""WITH {DETECTIONS},
@@ -114,7 +114,7 @@ def c08_found(spark, d):
     s = event_samples(spark, d, extra=("event_type",))
     det = to_seconds(trigger(sta_lta(s, ["user_id"], 3, 10, keep_chunk=True), ["user_id"], 1.8, 0.8, 2), 1.0)
     truth = s.where("event_type = 'error'").select("user_id", F.col("i").alias("t"))
-    return match_detections(det, truth, ["user_id"], 2.0)[1].select("user_id", "t", "found")
+    return truths_found(det, truth, ["user_id"], 2.0).select("user_id", "t", "found")
 
 
 @query("C10_coverage_gaps", """
