@@ -57,14 +57,14 @@ def test_scan_files(spark, xml_dir):
 
 
 def test_catalog(spark, tmp_path):
-    good = "2016/01/31 00:12:57.59 le l {mag} l 33.5 -117.25 {depth} A 37509232 {rest}"
+    good = "2016/01/31 00:12:57.59 le l {mag} l 33.5 -117.25 {depth} A 90000001 {rest}"
     lines = ["# header", "", "  ", good.format(mag="3.0", depth="10.5", rest="10 0.2"), good.format(mag="2.49", depth="1", rest="1 2"),
              good.format(mag="2.50", depth="1", rest=""), good.format(mag="x", depth="1", rest="1"),
              "2016/01/31 00:12:57.59 le l 3.0 l 33.5 -117.25 1 A", good.replace("2016/01/31", "24/13/40").format(mag="3", depth="2", rest="1 2")]
     (tmp_path / "c.txt").write_text("\n".join(lines))
     events, rejects = catalog.read_catalog(spark, str(tmp_path / "c.txt"))
     got = events.orderBy("mag").collect()
-    assert [(r.mag, r.evid, r.ano, r.doy, r.depth) for r in got] == [(2.5, "37509232", 2016, 31, 1.0), (3.0, "37509232", 2016, 31, 10.5)]
+    assert [(r.mag, r.evid, r.ano, r.doy, r.depth) for r in got] == [(2.5, "90000001", 2016, 31, 1.0), (3.0, "90000001", 2016, 31, 10.5)]
     assert sorted(r.status for r in rejects.collect()) == ["bad_date", "bad_number", "few_tokens", "low_magnitude"]
 
 
@@ -80,9 +80,9 @@ def test_inventory_classes(spark):
 
 
 def test_paths(spark):
-    df = spark.createDataFrame([("C:\\x\\data\\scedc-pds\\e\\12.ms",), ("/y/z.tar.gz",)], "p string")
-    got = df.select(files.base_name("p").alias("b"), files.stem("p").alias("s"), files.rebase_path("p", "scedc-pds", "/mnt/").alias("r")).collect()
-    assert tuple(got[0]) == ("12.ms", "12", "/mnt/scedc-pds/e/12.ms") and tuple(got[1]) == ("z.tar.gz", "z.tar", "/y/z.tar.gz")
+    df = spark.createDataFrame([("C:\\x\\data\\archive\\e\\12.ms",), ("/y/z.tar.gz",)], "p string")
+    got = df.select(files.base_name("p").alias("b"), files.stem("p").alias("s"), files.rebase_path("p", "archive", "/mnt/").alias("r")).collect()
+    assert tuple(got[0]) == ("12.ms", "12", "/mnt/archive/e/12.ms") and tuple(got[1]) == ("z.tar.gz", "z.tar", "/y/z.tar.gz")
 
 
 def test_windows_fallback_and_pruning(spark, tmp_path):

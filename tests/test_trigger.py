@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators.ordered import add_index, order_statistics
+from tracewell.operators.ordered import add_index, order_statistics, ranged
 from tracewell.operators.trigger import autocorrelation, coincidence, extend_merge, sta_lta, trigger
 
 RNG = np.random.default_rng(5)
@@ -160,3 +160,21 @@ def test_autocorrelation(samples):
     for k in (1, 3):
         r = got[(got.trace == "a") & (got.lag == k)].r.iloc[0]
         assert abs(r - np.corrcoef(x[k:], x[:-k])[0, 1]) < 1e-9
+
+
+def test_hot_trace_is_spread_over_partitions(spark):
+    """A trace with most of the rows, many of them at the same instant, is not one task."""
+    df = spark.range(120_000).select(
+        F.when(F.col("id") % 10 < 7, F.lit(-1)).otherwise(F.col("id") % 50).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("ts"), "id",
+    )
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        sizes = [r["count"] for r in ranged(df, ["k"], ["ts", "id"]).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.set(name, old)
+    assert len(sizes) == 4 and max(sizes) < 1.5 * 120_000 / 4
+    hot = add_index(df, ["k"], ["ts", "id"]).where("k = -1").agg(F.count("i"), F.countDistinct("i"), F.max("i")).first()
+    assert tuple(hot) == (84_000, 84_000, 83_999)
