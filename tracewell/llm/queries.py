@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm import extraction, toxicity
 from tracewell.llm.common import read
 from tracewell.llm.exact import exact_duplicates
+from tracewell.llm.maxent import language_model
 from tracewell.llm.mixing import mix
+from tracewell.llm.pii import personal_data
 from tracewell.llm.simhash import near_duplicates
 from tracewell.llm.tokens import read_tokens, write_tokens
 from tracewell.llm.winnowing import contamination
@@ -38,6 +41,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mix(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_html")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, folder, "labels")))
+
+
 @query("op5_tokens")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -46,6 +61,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(files, counts).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op6_pii")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(read(spark, folder, "documents"))
+
+
 @query(
     "op7_decontamination",
     r"""WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),
@@ -77,3 +97,8 @@ FROM n WINDOW w AS (PARTITION BY t)""",
 )
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(read(spark, folder, "documents"))
+
+
+@query("op10_maxent")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model(read(spark, folder, "documents"))
