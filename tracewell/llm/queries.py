@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import extraction, toxicity
+from tracewell.llm import extraction, suffixes, toxicity
 from tracewell.llm.common import read
 from tracewell.llm.exact import exact_duplicates
 from tracewell.llm.maxent import language_model
@@ -102,3 +102,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_maxent")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return language_model(read(spark, folder, "documents"))
+
+
+@query("op8_suffixes")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(read(spark, folder, "documents")))
