@@ -1,8 +1,56 @@
-"""Placeholder until the stages are written below."""
+"""From raw documents to token files in five stages, each over all that the one before has kept.
 
-STAGES = []
-ORACLE_SQL = None
+toxicity -> near duplicates -> benchmark passages -> mix of sources -> token files.
+Every stage but the last returns rows of ``documents``; the mix repeats a row as
+often as it is taken.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
+
+from tracewell.llm import mixing, simhash, tokens, toxicity, winnowing
+from tracewell.llm.common import cut_lineage, read
+
+# near copies keep most pairs of words; see the README for what was measured
+NEAR_WORDS = 2
+NEAR_ERRORS = 6
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs, words=NEAR_WORDS, errors=NEAR_ERRORS)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return winnowing.without_benchmark(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_files(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_copies", drop_near_copies),
+    ("benchmark", drop_benchmark),
+    ("mix", mix_sources),
+    ("tokens", write_ids),
+]
+ORACLE_SQL = None  # the stages are tested against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.session import cut_lineage
 
-__all__ = ["cut_lineage", "read", "text_of", "utf8", "spread", "ascii_lower", "residue"]
+__all__ = ["ascii_lower", "cut_lineage", "read", "residue", "row_key", "slices", "text_of", "utf8", "with_key"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,9 +42,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 23)
             yield batch.slice(start)
 
 
-def spread(df: DataFrame, seed: int = 0) -> Column:
-    """A hash of the whole row as a reproducible random number."""
-    return F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed))
+def row_key(doc_id: str, text: str) -> Column:
+    """One number for an id and a text; null counts as empty text."""
+    return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
+
+
+def with_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.withColumn("_key", row_key(doc_id, text))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut_lineage
+from tracewell.llm.common import cut_lineage, row_key, with_key
 from tracewell.operators.ordered import add_index, join_facts
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,7 +60,7 @@ def _unit(*parts: Column) -> Column:
 
 
 def _doc(x: Column, fraction: Column) -> Column:
-    return F.struct(x["size"].alias("size"), x["i"].alias("i"), x["doc_id"].alias("doc_id"), x["whole"].alias("whole"), fraction.alias("x"))
+    return F.struct(x["size"].alias("size"), x["i"].alias("i"), x["doc_id"].alias("doc_id"), x["key"].alias("key"), x["whole"].alias("whole"), fraction.alias("x"))
 
 
 def _settle(items: Column, seed: int, level: int) -> Column:
@@ -86,7 +86,7 @@ def _settle(items: Column, seed: int, level: int) -> Column:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: int = 3, cycle: tuple[int, ...] = CYCLE, seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): one row for every row of ``docs``.
+    """(doc_id, key, source, size, source_size, target, copies, taken): one row for every row of ``docs``.
 
     size is the number of words (null text: 0); copies, at most ``limit``, says how
     often the mix takes the document.  The words taken of a source differ from its
@@ -98,9 +98,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)).alias("h"),
+        row_key(doc_id, text).alias("key"),
     )
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows.withColumn("h", F.xxhash64("key", F.lit(seed))))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     facts = cut_lineage(targets(cut_lineage(sizes), limit, cycle))
     most = facts.agg(F.max("n")).first()[0] or 0
@@ -109,23 +109,32 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     now = join_facts(add_index(rows, ["source"], ["h", "doc_id", "size"]).drop("h"), facts.select("source", "whole", "x"), ["source"], "inner")
     open_ = (F.col("size") > 0) & (F.col("x") > 0)
     now = cut_lineage(now)
-    out = [now.where(~open_).select("doc_id", "source", "size", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))]
+    out = [now.where(~open_).select("doc_id", "key", "source", "size", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))]
     now, level = now.where(open_), 0
     while True:
         blocks = now.groupBy("source", F.floor(F.col("i") / BLOCK).alias("block")).agg(
-            F.sort_array(F.collect_list(F.struct("size", "i", "doc_id", "whole", "x")), asc=False).alias("items")
+            F.sort_array(F.collect_list(F.struct("size", "i", "doc_id", "key", "whole", "x")), asc=False).alias("items")
         )
         settled = cut_lineage(blocks.select("source", "block", _settle(F.col("items"), seed, level).alias("s")))
         done = settled.select("source", F.explode("s.done").alias("d"))
-        out.append(done.select("d.doc_id", "source", "d.size", (F.col("d.whole") + F.col("d.x").cast("int")).alias("copies")))
+        out.append(done.select("d.doc_id", "d.key", "source", "d.size", (F.col("d.whole") + F.col("d.x").cast("int")).alias("copies")))
         most = -(-most // BLOCK)
-        left = settled.select("source", F.col("block").alias("i"), "s.left.doc_id", "s.left.size", "s.left.whole", "s.left.x", F.col("s.left.i").alias("own"))
+        left = settled.select("source", F.col("block").alias("i"), "s.left.doc_id", "s.left.key", "s.left.size", "s.left.whole", "s.left.x")
         if most <= 1:
-            out.append(left.select("doc_id", "source", "size", (F.col("whole") + (F.col("x") >= 0.5).cast("int")).alias("copies")))
+            out.append(left.select("doc_id", "key", "source", "size", (F.col("whole") + (F.col("x") >= 0.5).cast("int")).alias("copies")))
             break
-        now, level = left.drop("own"), level + 1
+        now, level = left, level + 1
     union = out[0]
     for part in out[1:]:
         union = union.unionByName(part)
     named = join_facts(union, facts.select("source", "source_size", "target"), ["source"], "inner")
-    return named.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return named.select("doc_id", "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    copies = mix(docs, doc_id, text, source, limit, seed=seed).groupBy(F.col("key").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
+    copies = cut_lineage(copies.where("_copies > 0"))
+    # rows that repeat in full share their copies
+    once = with_key(docs, doc_id, text).join(copies, "_key").dropDuplicates(["_key"])
+    return once.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_key", "_copies")

@@ -14,7 +14,7 @@ from tracewell.llm.maxent import language_model
 from tracewell.llm.mixing import mix
 from tracewell.llm.pii import personal_data
 from tracewell.llm.simhash import near_duplicates
-from tracewell.llm.tokens import read_tokens, write_tokens
+from tracewell.llm.tokens import token_files
 from tracewell.llm.winnowing import contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,8 +57,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    files, counts = write_tokens(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(files, counts).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query("op6_pii")

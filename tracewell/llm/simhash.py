@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut_lineage, slices, text_of, utf8
+from tracewell.llm.common import cut_lineage, row_key, slices, text_of, utf8, with_key
 from tracewell.llm.components import components
 
 PARTS = 8
@@ -61,15 +61,15 @@ def fingerprint(data: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp holds the 64 bits as a signed long."""
-    source = text_of(docs, doc_id, text)
+    """(doc_id, key, fp): one row per row of ``docs``; key is ``row_key``, fp holds the 64 bits as a signed long."""
+    source = text_of(docs, doc_id, text).withColumn("key", row_key("doc_id", "text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fp = np.array([fingerprint(x, words) for x in utf8(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return source.mapInArrow(kernel, f"doc_id {dict(source.dtypes)['doc_id']}, fp long")
+    return source.mapInArrow(kernel, f"doc_id {dict(source.dtypes)['doc_id']}, key long, fp long")
 
 
 def budget(depth: int, errors: int) -> int:
@@ -239,6 +239,15 @@ def _members(turned: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     )
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, errors: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, fp) of the rows and (fp, root) of the fingerprints."""
+    marked = cut_lineage(fingerprints(docs, doc_id, text, words))
+    fps = cut_lineage(marked.select("fp").distinct())
+    groups = components(links(fps, errors, leaf))
+    named = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return marked, cut_lineage(named)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, errors: int = 4, leaf: int = 20_000) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -248,10 +257,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     any other.  Null ids don't count for the smallest, unless there is no other;
     rows with the same id are separate rows.  An empty table gives an empty one.
     """
-    marked = cut_lineage(fingerprints(docs, doc_id, text, words))
-    fps = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    groups = components(links(fps.select("fp"), errors, leaf))
-    named = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_fp = named.select("fp", "root").join(first, "root").select("fp", "component_id")
+    marked, named = _grouped(docs, doc_id, text, words, errors, leaf)
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("id")).join(named, "fp")
+    lowest = first.groupBy("root").agg(F.min("id").alias("component_id"))
+    by_fp = first.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, errors: int = 4, leaf: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each group the row with the smallest id stays.
+
+    Ids that are null come last; rows that repeat in full become one.
+    """
+    marked, named = _grouped(docs, doc_id, text, words, errors, leaf)
+    lowest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")
+    by_fp = marked.groupBy("fp").agg(lowest).join(named, "fp")
+    chosen = by_fp.groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.key").alias("_key"))
+    return with_key(docs, doc_id, text).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -182,3 +182,8 @@ def read_tokens(files: DataFrame, counts: bytes) -> DataFrame:
     place = files.select("part", "seg", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("own")).join(parts, "part")
     place = place.select("part", "seg", (F.col("own") + F.col("base")).alias("base"))
     return docs.join(place, ["part", "seg"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids")
+
+
+def token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write ``docs`` as token blocks and read them back: (doc_id, start, n_tokens, ids_crc32, ids)."""
+    return read_tokens(*write_tokens(docs, path, doc_id, text))

@@ -219,6 +219,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 _TABLES: dict[int, tuple[Model, np.ndarray]] = {}
 
 
+def _with_table(model: Model) -> tuple[Model, np.ndarray]:
+    """The model with its table, which a worker builds once."""
+    if id(model) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[id(model)] = (model, model.table())
+    return _TABLES[id(model)]
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, held_out, score, predicted): one row for every row of ``docs``.
 
@@ -230,11 +238,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     names = ["doc_id", *keep, "held_out"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        if id(own) not in _TABLES:
-            _TABLES.clear()
-            _TABLES[id(own)] = (own, own.table())
-        table = _TABLES[id(own)][1]
+        own, table = _with_table(shared.value)
         for batch in slices(batches, "_body"):
             scores = np.array([own.score(words(x), table) for x in batch.column("_body").to_pylist()])
             yield pa.RecordBatch.from_arrays(
@@ -243,3 +247,16 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "_body")
     return source.mapInArrow(kernel, f"{schema}, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table = _with_table(shared.value)
+        for batch in slices(batches, text):
+            keep = [own.score(words(x or ""), table) < 0.5 for x in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(kernel, docs.schema)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ascii_lower, cut_lineage
+from tracewell.llm.common import ascii_lower, cut_lineage, row_key, with_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -71,7 +71,7 @@ def _met_windows(words: Column, met: Column, n: int, window: int) -> Column:
 def contamination(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, item_ids, contaminated): one row for every row of ``docs``.
+    """(doc_id, key, n_words, n_hit, item_ids, contaminated): one row for every row of ``docs``; key is ``row_key``.
 
     n_hit counts the words inside any occurrence of a benchmark window; item_ids
     holds the ids, as text and sorted, of items with such a window.  A null text,
@@ -91,27 +91,34 @@ def contamination(
         wanted = part if wanted is None else wanted.unionByName(part)
     wanted = cut_lineage(wanted.distinct())
 
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
     spoken = _let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(*[_tagged(_prints(w, n, window), n) for n in lengths]).alias("prints")))
     picks = cut_lineage(source.select("doc_id", "key", spoken.alias("s")).select("doc_id", "key", "s.n_words", "s.prints"))
     met = (
-        picks.select("doc_id", "key", F.explode("prints").alias("p")).select("doc_id", "key", "p.len", "p.h")
+        picks.select("key", F.explode("prints").alias("p")).select("key", "p.len", "p.h")
         .join(wanted.select("len", "h").distinct(), ["len", "h"])
-        .groupBy("doc_id", "key").agg(F.collect_set(F.struct("len", "h")).alias("met"))
+        .groupBy("key").agg(F.collect_set(F.struct("len", "h")).alias("met"))
     )
-    met = cut_lineage(met.withColumnRenamed("doc_id", "doc").withColumnRenamed("key", "of"))
-    near = source.join(met, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("of"))).select("doc_id", "key", "met", "text").distinct()
+    met = cut_lineage(met.withColumnRenamed("key", "of"))
+    near = source.join(met, F.col("key") == F.col("of")).select("key", "met", "text").distinct()
     places = _let(words_of(F.col("text")), lambda w: F.concat(*[_met_windows(w, F.col("met"), n, window) for n in lengths]))
-    placed = near.select("doc_id", "key", places.alias("places"))
-    hits = placed.select("doc_id", "key", F.explode("places").alias("p")).select("doc_id", "key", "p.len", "p.at", "p.win").join(wanted.select("len", "win", "item"), ["len", "win"])
+    placed = near.select("key", places.alias("places"))
+    hits = placed.select("key", F.explode("places").alias("p")).select("key", "p.len", "p.at", "p.win").join(wanted.select("len", "win", "item"), ["len", "win"])
     spans = F.array_sort(F.collect_set(F.struct("at", "len")))
-    found = hits.groupBy("doc_id", "key").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("item_ids"))
+    found = hits.groupBy("key").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("item_ids"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda a, s: F.struct(F.greatest(a["end"], s["at"] + s["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["at"] + s["len"] - F.greatest(a["end"], s["at"]))).alias("n")),
         lambda a: a["n"],
     )
-    found = found.select(F.col("doc_id").alias("doc"), F.col("key").alias("of"), covered.cast("long").alias("n_hit"), "item_ids")
-    rows = picks.select("doc_id", "key", "n_words").join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("of")), "left")
+    found = found.select(F.col("key").alias("of"), covered.cast("long").alias("n_hit"), "item_ids")
+    rows = picks.select("doc_id", "key", "n_words").join(found, F.col("key") == F.col("of"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    return rows.select("doc_id", "key", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n_hit > 0).alias("contaminated"))
+
+
+def without_benchmark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
+    marked = contamination(docs, items, doc_id, text, window=window)
+    bad = cut_lineage(marked.where("contaminated").select(F.col("key").alias("_key")).distinct())
+    return with_key(docs, doc_id, text).join(bad, "_key", "left_anti").drop("_key")
