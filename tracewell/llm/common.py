@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.session import cut_lineage
 
-__all__ = ["ascii_lower", "cut_lineage", "read", "residue", "row_key", "slices", "text_of", "utf8", "with_key"]
+__all__ = ["ascii_lower", "cut_lineage", "matching", "read", "residue", "row_key", "slices", "text_of", "unused", "utf8"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,8 +47,19 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
 
 
-def with_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.withColumn("_key", row_key(doc_id, text))
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer if ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def matching(docs: DataFrame, keys: DataFrame, how: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Semi or anti join of ``docs`` with ``keys.key`` on ``row_key``; semi leaves rows that repeat in full once."""
+    name = unused(docs, "row_key")
+    rows = docs.withColumn(name, row_key(doc_id, text)).join(keys.select(F.col("key").alias(name)), name, how)
+    return (rows.dropDuplicates([name]) if how == "left_semi" else rows).drop(name)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -118,9 +118,9 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Texts are equal when their bytes are after every run of white space became
     one space; null counts as empty.  Of equal texts the row with the smallest
-    doc_id stays.  If rows repeat with the same smallest doc_id, exactly one of
-    them is kept; a null id is smaller than none (it stays only when no other id
-    is there, then keep_id is null).  ``owner_rows`` bounds what an owner and a
+    doc_id stays.  Rows with the same
+    text and the same smallest doc_id all count as kept: kept says that the id
+    stays.  A null id stays only when its text has no other id; then keep_id is null.  ``owner_rows`` bounds what an owner and a
     shard hold.
     """
     source = text_of(docs, doc_id, text)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut_lineage, row_key, with_key
+from tracewell.llm.common import cut_lineage, row_key, unused
 from tracewell.operators.ordered import add_index, join_facts
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,8 +133,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: int = 3, seed: int = 42) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    copies = mix(docs, doc_id, text, source, limit, seed=seed).groupBy(F.col("key").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
-    copies = cut_lineage(copies.where("_copies > 0"))
+    key, times = unused(docs, "row_key"), unused(docs, "times")
+    copies = mix(docs, doc_id, text, source, limit, seed=seed).groupBy(F.col("key").alias(key)).agg(F.sum("copies").cast("int").alias(times))
+    copies = cut_lineage(copies.where(F.col(times) > 0))
     # rows that repeat in full share their copies
-    once = with_key(docs, doc_id, text).join(copies, "_key").dropDuplicates(["_key"])
-    return once.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_key", "_copies")
+    once = docs.withColumn(key, row_key(doc_id, text)).join(copies, key).dropDuplicates([key])
+    return once.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times)

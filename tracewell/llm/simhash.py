@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut_lineage, row_key, slices, text_of, utf8, with_key
+from tracewell.llm.common import cut_lineage, matching, row_key, slices, text_of, utf8
 from tracewell.llm.components import components
 
 PARTS = 8
@@ -272,5 +272,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     marked, named = _grouped(docs, doc_id, text, words, errors, leaf)
     lowest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")
     by_fp = marked.groupBy("fp").agg(lowest).join(named, "fp")
-    chosen = by_fp.groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.key").alias("_key"))
-    return with_key(docs, doc_id, text).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    chosen = by_fp.groupBy("root").agg(F.min("x").alias("x")).select("x.key")
+    return matching(docs, chosen, "left_semi", doc_id, text)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ascii_lower, cut_lineage, row_key, with_key
+from tracewell.llm.common import ascii_lower, cut_lineage, matching, row_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -120,5 +120,4 @@ def contamination(
 def without_benchmark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark window occurs."""
     marked = contamination(docs, items, doc_id, text, window=window)
-    bad = cut_lineage(marked.where("contaminated").select(F.col("key").alias("_key")).distinct())
-    return with_key(docs, doc_id, text).join(bad, "_key", "left_anti").drop("_key")
+    return matching(docs, cut_lineage(marked.where("contaminated").select("key").distinct()), "left_anti", doc_id, text)
