@@ -45,20 +45,54 @@ def test_ring_equals_whole_trace():
     np.testing.assert_allclose(np.concatenate(got), whole)
 
 
-def test_stream_trigger_equals_batch(spark, traces):
-    batch, folder = traces
+def run_trigger(spark, folder, *args, **kw):
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         live = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-        got = features.run_to_table(stream_trigger(live, ["t"], 3, 10, 1.8, 0.8, 2, "1 second", 10**10)).collect()
+        return features.run_to_table(stream_trigger(live, ["t"], 3, 10, 1.8, 0.8, 2, *args, **kw)).collect()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    want = trigger(sta_lta(batch, ["t"], 3, 10), ["t"], 1.8, 0.8, 2, close_open=False).collect()
+
+
+def test_stream_trigger_equals_batch(spark, traces):
+    """Open events are closed by silence, so all detections of the batch come out."""
+    batch, folder = traces
+    end = spark.createDataFrame([("z", START + datetime.timedelta(seconds=400), 0, 0.0)], SCHEMA)
+    end.coalesce(1).write.mode("append").parquet(folder)
+    got = [r for r in run_trigger(spark, folder, "1 second", 60_000, bucket_ms=5_000) if r.t != "z"]
+    want = trigger(sta_lta(batch, ["t"], 3, 10), ["t"], 1.8, 0.8, 2).collect()
     assert len(want) > 5
     assert sorted((r.t, r.on_i, r.off_i) for r in got) == sorted((r.t, r.on_i, r.off_i) for r in want)
     for r in got:
-        assert (r.t_on - START).total_seconds() == r.on_i and r.closed_by == "below"
+        assert (r.t_on - START).total_seconds() == r.on_i and r.closed_by == ("below" if r.off_i < 240 else "silence")
+
+
+def test_rows_inside_the_watermark_keep_their_place(spark, tmp_path):
+    """Rows up to 50 s behind the newest row, spread over micro-batches, with a watermark of one minute."""
+    rng = np.random.default_rng(5)
+    rows = [("a", i, float(v)) for i, v in enumerate(rng.normal(size=600) * (1 + 4 * (np.arange(600) % 60 > 48)))]
+    pdf = pd.DataFrame(rows, columns=["t", "i", "v"])
+    pdf["ts"] = [START + datetime.timedelta(seconds=int(i)) for i in pdf.i]
+    come = (pdf.i + rng.integers(0, 50, len(pdf))) // 100
+    for b in sorted(set(come)):
+        spark.createDataFrame(pdf[come == b][["t", "ts", "i", "v"]], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+    end = spark.createDataFrame([("z", START + datetime.timedelta(seconds=2000), 0, 0.0)], SCHEMA)
+    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+    got = run_trigger(spark, str(tmp_path / "l"), "1 minute", 60_000, bucket_ms=10_000)
+    batch = spark.createDataFrame(pdf[["t", "ts", "i", "v"]], SCHEMA)
+    want = trigger(sta_lta(batch, ["t"], 3, 10), ["t"], 1.8, 0.8, 2).collect()
+    assert len(want) > 5 and sorted((r.on_i, r.off_i) for r in got) == sorted((r.on_i, r.off_i) for r in want)
+
+
+def test_silence_ends_an_event_inside_a_trace(spark, tmp_path):
+    values = [1.0] * 20 + [9.0] * 3 + [9.0] * 3 + [0.1] * 20
+    at = [i if i < 23 else i + 300 for i in range(len(values))]
+    pdf = pd.DataFrame({"t": "a", "ts": [START + datetime.timedelta(seconds=x) for x in at], "i": range(len(values)), "v": values})
+    spark.createDataFrame(pdf, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "l"))
+    got = run_trigger(spark, str(tmp_path / "l"), "1 second", 60_000, bucket_ms=1_000)
+    assert [(r.on_i, r.off_i, r.closed_by) for r in sorted(got)][0] == (0, 23, "silence")
+    assert sorted(got)[1].on_i == 23
 
 
 def test_windows_close_at_the_watermark(spark, traces):

@@ -55,14 +55,29 @@ def h04(spark, d):
     return out.select("event_type", text("t_on"), text("t_off"), "n", "peak")
 
 
-@query("H03_stream_trigger", f"""WITH {DETECTIONS}
-SELECT user_id, on_i, off_i, 'below' AS closed_by FROM det WHERE off_i < (SELECT max(i) + 1 FROM s WHERE s.user_id = det.user_id)""")
+# rows of buckets that the watermark has passed; an event ends at a row below, or before 12 silent hours
+LIVE = DETECTIONS.replace("st AS (", f"""w AS (SELECT time_bucket(INTERVAL 1 MINUTE, max(ts) - INTERVAL 10 MINUTE) AS until FROM events),
+q AS (SELECT user_id, i, ts, sum(CASE WHEN gap >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS part FROM (
+  SELECT user_id, i, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY i) AS gap FROM s WHERE ts < (SELECT until FROM w))),
+cp AS (SELECT cf.user_id, cf.i, cf.cf, q.part FROM cf JOIN q ON cf.user_id = q.user_id AND cf.i = q.i),
+st AS (""").replace("SELECT user_id, i, coalesce(last_value", "SELECT user_id, part, i, coalesce(last_value").replace(
+    "OVER (PARTITION BY user_id ORDER BY i), 0) AS on_ FROM cf)", "OVER (PARTITION BY user_id, part ORDER BY i), 0) AS on_ FROM cp)"
+).replace("lag(on_, 1, 0) OVER (PARTITION BY user_id ORDER BY i)", "lag(on_, 1, 0) OVER (PARTITION BY user_id, part ORDER BY i)").replace(
+    "sum(e) OVER (PARTITION BY user_id ORDER BY i) AS r", "sum(e) OVER (PARTITION BY user_id, part ORDER BY i) AS r"
+).replace("det AS (SELECT user_id, min(i)", "det AS (SELECT user_id, part, min(i)").replace("GROUP BY user_id, r HAVING", "GROUP BY user_id, part, r HAVING")
+
+
+@query("H03_stream_trigger", f"""WITH {LIVE},
+e AS (SELECT user_id, part, max(i) + 1 AS n, max(ts) AS last_ts FROM q GROUP BY user_id, part),
+f AS (SELECT user_id, max(part) AS part FROM q GROUP BY user_id)
+SELECT user_id, on_i, off_i, CASE WHEN off_i < n THEN 'below' ELSE 'silence' END AS closed_by FROM det JOIN e USING (user_id, part)
+WHERE off_i < n OR part < (SELECT part FROM f WHERE f.user_id = det.user_id) OR last_ts + INTERVAL 12 HOUR < (SELECT until FROM w)""")
 def h03(spark, d):
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
-        # no event is closed by silence here, so the rows are the batch detections that end
-        out = features.run_to_table(stream_trigger(live_events(spark, d), ["user_id"], 3, 10, 1.8, 0.8, 2, "10 minutes", 10**12))
+        live = stream_trigger(live_events(spark, d), ["user_id"], 3, 10, 1.8, 0.8, 2, "10 minutes", 12 * 3_600_000)
+        out = features.run_to_table(live)
         return out.select("user_id", "on_i", "off_i", "closed_by")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)

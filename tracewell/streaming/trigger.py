@@ -1,9 +1,15 @@
 """Online STA/LTA with a hysteresis trigger, one state per trace.
 
-State: the energies of the last n_lta rows, the position, and the open event.
-Contract: rows of a batch are put in time order; rows at or before the last row
-already used are late and dropped.  An event that is still open when its trace
-has been silent for ``silence_ms`` of event time is closed at the last row.
+Rows wait in the state, in buckets of event time, until the watermark has passed
+their bucket; then the bucket is put in time order and used.  So rows may arrive
+in any order within the watermark, and positions are those of the whole trace.
+Rows of a bucket that was used are behind the watermark and are dropped; they are
+the only ones.  The state holds the waiting buckets, the energies of the last
+n_lta rows, the position and the open event.
+
+An open event ends where the ratio falls below ``off``, or after its last row when
+the next row is ``silence_ms`` or more later, or when the watermark says that no
+such row can come.
 """
 
 from __future__ import annotations
@@ -18,26 +24,41 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("ring", T.ArrayType(T.DoubleType())), T.StructField("open_i", T.LongType()),
-    T.StructField("open_us", T.LongType()), T.StructField("last_us", T.LongType()), T.StructField("timer", T.LongType()),
+    T.StructField("open_us", T.LongType()), T.StructField("last_us", T.LongType()), T.StructField("used_ms", T.LongType()),
 ])
+BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
+WAITING = T.StructType([T.StructField("us", T.ArrayType(T.LongType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+
+def trailing_sums(x: np.ndarray, n: int) -> np.ndarray:
+    """Sums of each value and the n - 1 before it, for positions n - 1 and later, from sums of 1, 2, 4, ... values."""
+    total, at, power, size = None, 0, x, 1
+    while size <= n:
+        if n & size:
+            end = len(x) - n + 1
+            part = power[n - at - size:n - at - size + end]
+            total = part if total is None else total + part
+            at += size
+        power, size = power[:-size] + power[size:] if len(power) > size else power[:0], 2 * size
+    return total
 
 
 def ratio_from_ring(ring: np.ndarray, energy: np.ndarray, n_sta: int, n_lta: int, floor: float) -> np.ndarray:
     """Causal ratio for new energies, given the previous ones (zeros before the start)."""
     full = np.concatenate([np.zeros(max(0, n_lta - 1 - len(ring))), ring[-(n_lta - 1):] if n_lta > 1 else ring[:0], energy])
-    view = np.lib.stride_tricks.sliding_window_view(full, n_lta)
-    sta, lta = view[:, -n_sta:].sum(axis=1) / n_sta, view.sum(axis=1) / n_lta
+    sta, lta = trailing_sums(full[n_lta - n_sta:], n_sta) / n_sta, trailing_sums(full, n_lta) / n_lta
     return np.where(lta > floor, sta / np.where(lta > floor, lta, 1.0), 0.0)
 
 
 class _Trigger(StatefulProcessor):
-    def __init__(self, key, n_sta, n_lta, on, off, min_n, floor, value, ts, silence_ms):
+    def __init__(self, key, n_sta, n_lta, on, off, min_n, floor, value, ts, silence_ms, bucket_ms):
         self.key, self.n_sta, self.n_lta, self.on, self.off = key, n_sta, n_lta, on, off
-        self.min_n, self.floor, self.value, self.ts, self.silence_ms = min_n, floor, value, ts, silence_ms
+        self.min_n, self.floor, self.value, self.ts, self.silence_ms, self.bucket_ms = min_n, floor, value, ts, silence_ms, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("trace", STATE)
+        self.waiting = handle.getMapState("waiting", BUCKET, WAITING)
 
     def _frame(self, key, rows):
         out = pd.DataFrame(rows, columns=["on_i", "off_i", "t_on", "t_off", "closed_by"])
@@ -48,40 +69,62 @@ class _Trigger(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.ts, kind="stable")
-        n, ring, open_i, open_us, last_us, timer = self.state.get() if self.state.exists() else (0, [], None, None, None, None)
-        us = pd.to_datetime(batch[self.ts], utc=True).astype("datetime64[us, UTC]").astype("int64").to_numpy()
-        fresh = np.ones(len(us), bool) if last_us is None else us > last_us
-        us, v = us[fresh], batch[self.value].to_numpy(dtype=float)[fresh]
-        found = []
-        if len(us):
-            ring = np.asarray(ring, float)
+        used = self.state.get()[5] if self.state.exists() else None
+        for chunk in rows:
+            us = pd.to_datetime(chunk[self.ts], utc=True).astype("datetime64[us, UTC]").astype("int64").to_numpy()
+            v = chunk[self.value].to_numpy(dtype=float)
+            bucket = us // (1000 * self.bucket_ms)
+            for b in np.unique(bucket).tolist():
+                if used is not None and (b + 1) * self.bucket_ms <= used:
+                    continue  # behind the watermark
+                own = bucket == b
+                old = self.waiting.getValue((b,)) if self.waiting.containsKey((b,)) else None
+                have = ([], []) if old is None else (list(old[0]), list(old[1]))
+                self.waiting.updateValue((b,), (have[0] + us[own].tolist(), have[1] + v[own].tolist()))
+                if old is None:
+                    self.handle.registerTimer((b + 1) * self.bucket_ms)
+        yield self._frame(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() // self.bucket_ms * self.bucket_ms
+        n, ring, open_i, open_us, last_us, used = self.state.get() if self.state.exists() else (0, [], None, None, None, None)
+        if used is not None and until <= used:
+            return
+        ring, found = np.asarray(ring, float), []
+        for b in sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.bucket_ms <= until):
+            us, v = map(np.array, self.waiting.getValue((b,)))
+            order = np.lexsort((v, us))
+            us, v = us[order], v[order]
             cf = ratio_from_ring(ring, v * v, self.n_sta, self.n_lta, self.floor)
             mark = np.where(cf > self.on, 1, np.where(cf < self.off, 0, -1))
-            for j in np.flatnonzero(mark >= 0):
+            before = np.concatenate([[us[0] if last_us is None else last_us], us[:-1]])
+            breaks = set(np.flatnonzero(us - before >= 1000 * self.silence_ms).tolist())
+            known = np.flatnonzero(mark >= 0)
+            turns = known[np.diff(mark[known], prepend=-1) != 0]  # only where the mark changes
+            after = [int(known[np.searchsorted(known, j)]) for j in breaks if np.searchsorted(known, j) < len(known)]
+            for j in sorted({*turns.tolist(), *breaks, *after}):
+                if j in breaks and open_i is not None:
+                    if n + j - open_i >= self.min_n:
+                        found.append((open_i, n + j, open_us, int(before[j]), "silence"))
+                    open_i = open_us = None
                 if mark[j] == 1 and open_i is None:
-                    open_i, open_us = n + int(j), int(us[j])
+                    open_i, open_us = n + j, int(us[j])
                 elif mark[j] == 0 and open_i is not None:
-                    if n + int(j) - open_i >= self.min_n:
-                        found.append((open_i, n + int(j), open_us, int(us[j]), "below"))
+                    if n + j - open_i >= self.min_n:
+                        found.append((open_i, n + j, open_us, int(us[j]), "below"))
                     open_i = open_us = None
-            n += len(us)
-            ring = np.concatenate([ring, v * v])[-max(1, self.n_lta - 1):].tolist()
-            last_us = int(us[-1])
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            timer = last_us // 1000 + self.silence_ms
-            self.handle.registerTimer(timer)
-            self.state.update((n, ring, open_i, open_us, last_us, timer))
-        yield self._frame(key, found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found = []
-        if self.state.exists():
-            n, ring, open_i, open_us, last_us, _ = self.state.get()
-            if open_i is not None and n - open_i >= self.min_n:
-                found.append((open_i, n, open_us, last_us, "silence"))
-            self.state.update((n, ring, None, None, last_us, None))
+            n, last_us = n + len(us), int(us[-1])
+            ring = np.concatenate([ring, v * v])[-max(1, self.n_lta - 1):]
+            self.waiting.removeKey((b,))
+        if open_i is not None:
+            quiet = last_us // 1000 + self.silence_ms
+            if until > quiet:
+                if n - open_i >= self.min_n:
+                    found.append((open_i, n, open_us, last_us, "silence"))
+                open_i = open_us = None
+            else:
+                self.handle.registerTimer((quiet // self.bucket_ms + 1) * self.bucket_ms)
+        self.state.update((n, ring.tolist(), open_i, open_us, last_us, until))
         yield self._frame(key, found)
 
     def close(self) -> None:
@@ -90,10 +133,12 @@ class _Trigger(StatefulProcessor):
 
 def stream_trigger(sdf: DataFrame, key: Sequence[str], n_sta: int, n_lta: int, on: float, off: float, min_n: int = 0,
                    watermark: str = "1 minute", silence_ms: int = 60_000, floor: float = 1e-20, value: str = "v",
-                   ts: str = "ts") -> DataFrame:
+                   ts: str = "ts", bucket_ms: int = 60_000) -> DataFrame:
     """Detections (key, on_i, off_i, t_on, t_off, closed_by) as they end.
 
-    Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider.
+    ``bucket_ms``: rows of a trace that are put in order together, so also what a
+    task holds of a trace.  Needs ``spark.sql.streaming.stateStore.providerClass``
+    set to the RocksDB provider.
     """
     fields = [sdf.schema[k] for k in key]
     out = T.StructType([
@@ -102,5 +147,5 @@ def stream_trigger(sdf: DataFrame, key: Sequence[str], n_sta: int, n_lta: int, o
     ])
     rows = sdf.select(*key, ts, value).withWatermark(ts, watermark)
     return rows.groupBy(*key).transformWithStateInPandas(
-        _Trigger(list(key), n_sta, n_lta, on, off, min_n, floor, value, ts, silence_ms), out, "Append", "EventTime"
+        _Trigger(list(key), n_sta, n_lta, on, off, min_n, floor, value, ts, silence_ms, bucket_ms), out, "Append", "EventTime"
     )
