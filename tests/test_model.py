@@ -60,18 +60,34 @@ def test_gradient_is_the_derivative():
 
 def test_dense_training_lowers_the_loss(spark, windows, tmp_path):
     train, val = windows.where("label = 0 AND split = 'train'"), windows.where("label = 0 AND split = 'val'")
-    model = M.fit_dense_ae(train, val, (16, 8, 3), epochs=12, lr=0.02, batch=16)
+    model = M.fit_dense_ae(train, val, (16, 8, 3), epochs=12, lr=0.02, batch=64)
     losses = [h["val_loss"] for h in model.history]
     assert min(losses) < 0.6 * losses[0]
     assert model.n_params() == 16 * 8 + 8 + 8 * 3 + 3 + 3 * 8 + 8 + 8 * 16 + 16
     # the kept weights are those of the best epoch
     best = model.errors(val).agg(F.avg("err")).first()[0]
     assert best == pytest.approx(min(losses), rel=1e-9)
+    assert len(model.encode(val).first()["code"]) == 3
+    again = M.reconstruction_error(model.reconstruct(val)).agg(F.avg("err")).first()[0]
+    assert again == pytest.approx(best, rel=1e-9)
     model.save(spark, str(tmp_path / "d"))
     assert M.DenseModel.load(spark, str(tmp_path / "d")).errors(val).agg(F.avg("err")).first()[0] == pytest.approx(best, rel=1e-12)
     assert E.learning_curve(spark.createDataFrame(model.history)).first()["best_epoch"] == int(np.argmin(losses)) + 1
 
 
+def test_steps_do_not_depend_on_partitions(spark, windows, monkeypatch):
+    calls, real = [], M._summed_gradient
+    monkeypatch.setattr(M, "_summed_gradient", lambda *a: calls.append(1) or real(*a))
+    train = windows.where("label = 0 AND split = 'train'")
+    fits = []
+    for parts in (2, 8):
+        calls.clear()
+        fits.append((M.fit_dense_ae(train.repartition(parts), train, (16, 8, 3), epochs=2, lr=0.02, batch=50), len(calls)))
+    assert fits[0][1] == fits[1][1] == 2 * 4
+    for a, b in zip(fits[0][0].weights, fits[1][0].weights):
+        np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-9)
+
+
 def test_search_excludes_failed_fits(spark, windows):
     out = M.search(windows.where("split = 'train'"), windows.where("split = 'val'"), [3, 99], [95.0, 99.0]).toPandas()
     assert len(out) == 4 and out[out.k == 99].f1.isna().all() and out[out.k == 3].f1.min() > 0.8

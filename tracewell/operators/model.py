@@ -12,9 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +26,7 @@ from tracewell.operators.ordered import attach_facts, order_statistics
 from tracewell.operators.windows import pinned
 from tracewell.session import cut_lineage
 
-MAX_STEPS = 64  # optimizer steps per epoch at most; beyond that the steps grow
-FILES_PER_STEP = 32
+FILE_ROWS = 1 << 14  # rows of a step that one task reads
 SLOT = 4096  # gradient entries per row when partitions hand in their sums
 
 
@@ -124,6 +125,15 @@ class DenseModel:
     def forward(self, x: np.ndarray) -> np.ndarray:
         return _forward(self.weights, self.biases, x, self.out)[-1]
 
+    def encode(self, windows: DataFrame, x: str = "x", name: str = "code") -> DataFrame:
+        """The values of the narrowest layer."""
+        w, b, half = self.weights, self.biases, len(self.weights) // 2
+        return _applied(windows, name, _rows(lambda m: _forward(w, b, m, "linear")[half]), x)
+
+    def reconstruct(self, windows: DataFrame, x: str = "x", name: str = "recon") -> DataFrame:
+        w, b, out = self.weights, self.biases, self.out
+        return _applied(windows, name, _rows(lambda m: _forward(w, b, m, out)[-1]), x)
+
     def errors(self, windows: DataFrame, x: str = "x", name: str = "err") -> DataFrame:
         w, b, out = self.weights, self.biases, self.out
         return _applied(windows, name, _scores(lambda m: _forward(w, b, m, out)[-1]), x)
@@ -182,13 +192,15 @@ def _unflatten(flat, shapes):
 
 
 def fit_dense_ae(train: DataFrame, val: DataFrame, layers: Sequence[int] = (400, 256, 128, 64, 32), epochs: int = 50,
-                 lr: float = 1e-3, batch: int = 64, patience: int = 10, plateau: int = 7, dropout: float = 0.0,
-                 out: str = "linear", seed: int = 42, x: str = "x") -> DenseModel:
+                 lr: float = 1e-3, batch: int = 512, steps: int | None = None, patience: int = 10, plateau: int = 7,
+                 dropout: float = 0.0, out: str = "linear", seed: int = 42, x: str = "x") -> DenseModel:
     """Data-parallel training with Adam.
 
-    The rows are hashed once into steps of about ``batch`` rows times the number of
-    partitions and written by step, so that a step reads only its own rows and an
-    epoch reads each row once.  In each step the weights go out, partitions return
+    An epoch has ``steps`` optimizer steps, or as many as give ``batch`` rows a step;
+    neither depends on the size of the cluster.  With many rows give ``steps``: every
+    step is a Spark job over its share of all rows.  The rows are hashed once into
+    steps and written by step, so that a step reads only its own rows and an epoch
+    reads each row once.  In each step the weights go out, partitions return
     gradient sums in slots of ``SLOT`` numbers, and Spark adds the slots up.  What
     reaches the driver is one gradient, whatever the number of rows.
 
@@ -204,11 +216,12 @@ def fit_dense_ae(train: DataFrame, val: DataFrame, layers: Sequence[int] = (400,
     # the hash covers all columns: with an id, copies of one window are spread too
     rows = train.select(F.col(x).cast("array<double>").alias("x"), F.xxhash64(*train.columns).alias("_h"))
     held = cut_lineage(val.select(F.col(x).cast("array<double>").alias("x")))
-    n, parts = rows.count(), spark.sparkContext.defaultParallelism
-    steps = min(MAX_STEPS, max(1, round(n / (batch * parts))))
+    n = rows.count()
+    steps = steps or max(1, round(n / batch))
     hashed = rows.withColumn("_step", F.pmod("_h", F.lit(steps)).cast("int"))
-    # up to FILES_PER_STEP files per step, so that its rows are read by many tasks
-    spread = hashed.withColumn("_file", F.pmod(F.shiftright("_h", 20), F.lit(min(parts, FILES_PER_STEP))))
+    # files of a bounded number of rows, as many per step as it has rows for
+    files = max(1, -(-n // (steps * FILE_ROWS)))
+    spread = hashed.withColumn("_file", F.pmod(F.shiftright("_h", 20), F.lit(files)))
     table = cut_lineage(spread.repartition("_step", "_file").drop("_h", "_file"), partition_by=["_step"])
     m1, m2, t = np.zeros_like(flat), np.zeros_like(flat), 0
     best, best_loss, since, history = flat.copy(), np.inf, 0, []
@@ -244,7 +257,8 @@ def fit_dense_ae(train: DataFrame, val: DataFrame, layers: Sequence[int] = (400,
 def _summed_gradient(rows, sent, shapes, out, dropout, seed):
     def partial(batches):
         weights, biases = _unflatten(sent.value, shapes)
-        total, loss, count, r = None, 0.0, 0, np.random.default_rng(seed)
+        total, loss, count = None, 0.0, 0
+        r = np.random.default_rng([seed, TaskContext.get().partitionId()])  # other masks in every partition
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -283,7 +297,7 @@ def search(train: DataFrame, val: DataFrame, ks: Sequence[int], percentiles: Seq
         grid = [(int(k), float(p)) for p in percentiles]
         try:
             model = fit_pca(normal, k, x)
-        except Exception:
+        except IllegalArgumentException:  # k doesn't fit the windows; all else is a failure of the job
             part = spark.createDataFrame([(*g, None, None, None, None, None) for g in grid],
                                          "k int, percentile double, precision double, recall double, f1 double, ap double, thr double")
         else:

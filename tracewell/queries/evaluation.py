@@ -253,7 +253,7 @@ def g10(spark, d):
     w = model_windows(spark, d)
     u = (F.col("vec_id") * 7919 + 42) % 10
     normal = w.where("label = 0").withColumn("u", u)
-    fitted = M.fit_dense_ae(normal.where("u < 8"), normal.where("u >= 8"), (64, 32, 8), epochs=4, lr=5e-3, batch=64)
+    fitted = M.fit_dense_ae(normal.where("u < 8"), normal.where("u >= 8"), (64, 32, 8), epochs=4, lr=5e-3, batch=512)
     return fitted.errors(w).select("vec_id", "label", r6("err").alias("err"))
 
 
