@@ -7,6 +7,7 @@ from tracewell.operators import evaluate as E
 from tracewell.operators import splits as S
 from tracewell.operators.drift import ks_two_sample
 from tracewell.operators.intervals import label_overlap, match_detections
+from tracewell.operators.ordered import order_statistics
 from tracewell.operators.stats import box_stats, histogram
 from tracewell.operators.trigger import sta_lta
 
@@ -171,3 +172,18 @@ def test_histogram_and_box(spark):
     q1, q3 = np.percentile(x, [25, 75])
     assert b["q1"] == pytest.approx(q1) and b["whisker_high"] == x[x <= q3 + 1.5 * (q3 - q1)].max()
     assert b["n_outside"] == ((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))).sum()
+
+
+def test_order_statistics_with_one_very_common_value(spark):
+    """80 % of the rows are one value: exact, and only a small part of the rows is ranked."""
+    rng = np.random.default_rng(8)
+    v = np.where(rng.random(60_000) < 0.8, 0.0, rng.exponential(size=60_000))
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(60_000) % 2, "v": v})).repartition(8)
+    names = {"a": 0.0, "b": 0.25, "c": 0.8, "d": 0.95, "e": 0.9999, "f": 1.0}
+    for k, r in {r.k: r for r in order_statistics(df, ["k"], "v", names).collect()}.items():
+        np.testing.assert_allclose([r[n] for n in names], [np.percentile(v[k::2], 100 * q) for q in names.values()], rtol=1e-12)
+    r = order_statistics(df, [], "v", {"m": 0.5, "q": 0.97}, rule="upper").first()
+    assert (r.m, r.q) == (0.0, np.sort(v)[int(60_000 * 0.97)])
+    few = spark.createDataFrame([(1, 5.0), (2, 1.0), (2, 2.0), (3, None)], "k int, v double")
+    got = {r.k: r.m for r in order_statistics(few, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {1: 5.0, 2: 1.5}

@@ -277,34 +277,64 @@ def attach_trace_facts(
     return join_facts(samples, spread_facts(facts, length, chunk), [*key, "_chunk"], "inner")
 
 
+SKETCH = 10_000  # accuracy of the quantile sketch: ranks are off by n / SKETCH at most
+
+
 def order_statistics(
     df: DataFrame, key: Sequence[str], value: str, quantiles: Mapping[str, float], rule: str = "linear"
 ) -> DataFrame:
     """Exact quantiles per key, one row per key, without holding a group in a task.
 
-    Values are ranked by the range shuffle of ``add_index`` and only the rows at
-    the wanted ranks are kept.  ``linear`` interpolates between neighbours,
-    ``upper`` takes the element ``n // 2``-style at ``int(n * q)``.
+    A sketch (an aggregate with partial sums) bounds every wanted rank between two
+    values; how many values lie below is counted, and only what lies between, a
+    few ten-thousandths of the rows, is ranked, by distinct value and its count.
+    So neither a large group nor one very common value meets in a task, and no
+    table of all values is written.  ``linear`` interpolates between neighbours,
+    ``upper`` takes the element at ``int(n * q)``.
     """
     key = list(key) or ["_all"]
     if key == ["_all"]:
         df = df.withColumn("_all", F.lit(0))
     values = df.select(*key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranks = add_index(values, key, ["_v"], "_r")
-    sizes = values.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    names, slack = list(quantiles), 3 / SKETCH
+    ends = [p for q in quantiles.values() for p in (max(0.0, q - slack), min(1.0, q + slack))]
+    sketch = values.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, SKETCH).alias("_e"))
+    bounds = []
+    for j, q in enumerate(quantiles.values()):
+        # the slack is less than two places in a group of up to SKETCH rows: all of it is ranked
+        all_ = F.col("_n") <= SKETCH
+        low = F.when(all_, float("-inf")).otherwise(F.element_at("_e", 2 * j + 1)) if q > slack else F.lit(float("-inf"))
+        high = F.when(all_, float("nan")).otherwise(F.element_at("_e", 2 * j + 2)) if q < 1 - slack else F.lit(float("nan"))
+        bounds.append(F.struct(F.lit(j).alias("q"), low.alias("low"), high.alias("high")))
+    sketch = cut_lineage(sketch.select(*key, "_n", F.array(*bounds).alias("_b")))
+    # the row number spreads equal values over the salts of the join
+    bounded = attach_facts(values.withColumn("_row", F.monotonically_increasing_id()), sketch.select(*key, "_b"), key).drop("_row")
+    below = bounded.groupBy(*key).agg(*[F.sum((F.col("_v") < F.col("_b")[j]["low"]).cast("bigint")).alias(f"_c{j}") for j in range(len(names))])
+    near = bounded.select(*key, "_v", F.explode("_b").alias("_b")).where((F.col("_v") >= F.col("_b.low")) & (F.col("_v") <= F.col("_b.high")))
+    counted = near.groupBy(*key, F.col("_b.q").alias("_q"), "_v").agg(F.count(F.lit(1)).alias("_m"))
+    ranks = cumulative(counted, [*key, "_q"], ["_v"], "_m", "_to")
     wanted = []
-    for name, q in quantiles.items():
+    for j, q in enumerate(quantiles.values()):
+        at = F.lit(float(q)) * (F.col("_n") - 1)
         if rule == "linear":
-            at = F.lit(float(q)) * (F.col("_n") - 1)
-            wanted.append(F.struct(F.lit(name).alias("q"), F.floor(at).alias("r"), (F.lit(1.0) - (at - F.floor(at))).alias("w")))
-            wanted.append(F.struct(F.lit(name).alias("q"), (F.floor(at) + 1).alias("r"), (at - F.floor(at)).alias("w")))
+            points = [(F.floor(at), F.lit(1.0) - (at - F.floor(at))), (F.floor(at) + 1, at - F.floor(at))]
         else:
-            at = F.least(F.floor(F.col("_n") * F.lit(float(q))), F.col("_n") - 1)
-            wanted.append(F.struct(F.lit(name).alias("q"), at.alias("r"), F.lit(1.0).alias("w")))
-    points = sizes.select(*key, F.explode(F.array(*wanted)).alias("_p")).where("_p.w > 0")
-    points = points.select(*key, F.col("_p.r").cast("bigint").alias("_r"), F.col("_p.q").alias("_q"), F.col("_p.w").alias("_w"))
-    hit = join_facts(ranks, points, [*key, "_r"], "inner")
-    out = hit.groupBy(*key).agg(
-        *[F.sum(F.when(F.col("_q") == n, F.col("_v") * F.col("_w"))).alias(n) for n in quantiles]
-    )
+            points = [(F.least(F.floor(F.col("_n") * F.lit(float(q))), F.col("_n") - 1), F.lit(1.0))]
+        wanted += [F.struct(F.lit(j).alias("q"), (r - F.col(f"_c{j}")).cast("bigint").alias("r"), w.alias("w")) for r, w in points]
+    points = join_facts(sketch.select(*key, "_n"), below, key, "inner").select(*key, F.explode(F.array(*wanted)).alias("_p")).where("_p.w > 0")
+    points = points.groupBy(*key, F.col("_p.q").alias("_q")).agg(F.collect_list(F.struct("_p.r", "_p.w")).alias("_p"))
+    hit = join_facts(ranks, points, [*key, "_q"], "inner").select(*key, "_q", "_v", "_m", "_to", F.explode("_p").alias("_p"))
+    hit = hit.where((F.col("_p.r") < F.col("_to")) & (F.col("_p.r") >= F.col("_to") - F.col("_m")))
+    out = hit.groupBy(*key).agg(*[F.sum(F.when(F.col("_q") == j, F.col("_v") * F.col("_p.w"))).alias(n) for j, n in enumerate(names)])
     return out.drop("_all")
+
+
+def cumulative(df: DataFrame, key: Sequence[str], order: Sequence[str], size: str, name: str) -> DataFrame:
+    """Running sum of ``size`` per key in the order of ``order``, over many partitions."""
+    laid_out = ranged(df, key, order)
+    parts = laid_out.groupBy(*key, "_part").agg(F.sum(size).alias("_own"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(*key, "_part", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*key, "_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    rows = laid_out.withColumn(name, F.sum(size).over(inside))
+    return join_facts(rows, base, [*key, "_part"], "inner").withColumn(name, F.col(name) + F.col("_base")).drop("_mid", "_part", "_base")
