@@ -30,19 +30,24 @@ def xml_dir(tmp_path_factory):
     (root / "XX_AAA.xml").write_text(XML.format(sta="AAA"))
     (root / "deep" / "XX.BBB.xml").write_text(XML.format(sta="BBB"))
     (root / "broken.xml").write_text("<html><body>not a station</body></html>")
+    # the default namespace, and a broken file with the name of a good one
+    (root / "plain.xml").write_text(XML.format(sta="CCC").replace("xmlns:fsx", "xmlns").replace("fsx:", ""))
+    (root / "deep" / "XX_AAA.xml").write_text("<html><body>not a station either</body></html>")
     (root / "a.ms").write_bytes(b"123")
     return str(root)
 
 
 def test_station_xml(spark, xml_dir):
     st, ch, stages = stations.read_stations(spark, xml_dir)
-    assert sorted(r.sta for r in st.collect()) == ["AAA", "BBB"]
+    assert sorted(r.sta for r in st.collect()) == ["AAA", "BBB", "CCC"]
     assert [(r.sensitivity, r.sr_hz, r.n_stages) for r in ch.where("sta = 'AAA'").orderBy("start").collect()] == [(2000.0, 40.0, 2), (7.0, 100.0, 0)]
     assert [r.kind for r in stages.where("sta = 'AAA'").orderBy("stage").collect()] == ["poles_zeros", "fir"]
     resp = stations.sensor_responses(stages).where("sta = 'BBB'").first()
     assert resp.poles_re == [-5.0, -5.0] and resp.poles_im == [3.0, -3.0] and resp.zeros_re == [0.0] and resp.norm_factor == 1.5
-    assert [r.path.rsplit("/", 1)[1] for r in stations.unreadable(spark, xml_dir, st).collect()] == ["broken.xml"]
-    traces = spark.createDataFrame([("XX", "AAA", "2005-01-01"), ("XX", "AAA", "2020-01-01"), ("XX", "AAA", "1990-01-01"), ("XX", "CCC", "2005-01-01")], "net string, sta string, d string")
+    assert stations.sensor_responses(stages).where("sta = 'CCC'").first().poles_re == [-5.0, -5.0]
+    bad = sorted(r.path.removeprefix("file:") for r in stations.unreadable(spark, xml_dir, st).collect())
+    assert bad == [f"{xml_dir}/broken.xml", f"{xml_dir}/deep/XX_AAA.xml"]
+    traces = spark.createDataFrame([("XX", "AAA", "2005-01-01"), ("XX", "AAA", "2020-01-01"), ("XX", "AAA", "1990-01-01"), ("XX", "DDD", "2005-01-01")], "net string, sta string, d string")
     traces = traces.withColumn("t0", F.to_timestamp("d"))
     epochs = ch.select("net", "sta", "start", "end", "sensitivity")
     assert sorted((r.d, r.sensitivity) for r in joins.attach_epoch(traces, epochs, ["net", "sta"]).collect()) == [("2005-01-01", 2000.0), ("2020-01-01", 7.0)]
@@ -51,7 +56,7 @@ def test_station_xml(spark, xml_dir):
 
 def test_scan_files(spark, xml_dir):
     found, missing = files.scan_files(spark, [xml_dir, xml_dir + "-none"], prune_dirs=["deep"])
-    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["XX_AAA.xml", "a.ms", "broken.xml"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["XX_AAA.xml", "a.ms", "broken.xml", "plain.xml"]
     assert missing == [xml_dir + "-none"]
     assert files.list_objects(spark, xml_dir, 2).count() == 2
 

@@ -50,11 +50,14 @@ def attach_contains(
         "_name", "_len", F.explode(F.sequence(F.lit(1), F.length("_name") - F.col("_len") + 1)).alias("_at")
     )
     cut = cut.select("_name", F.substr("_name", F.col("_at"), F.col("_len")).alias("_code")).distinct()
-    hit = cut.join(stations, F.col("_code") == F.col(code))
-    if also:
-        hit = hit.where(F.contains(F.col("_name"), F.col(also)))
     columns = stations.columns
-    first = hit.groupBy("_name").agg(F.min_by(F.struct(*columns), F.struct(*(order or [code]))).alias("_s"))
+    # one row per code: its stations in order, so a code that all names have adds no pairs
+    rank = F.struct(F.struct(*(order or [code])).alias("o"), F.struct(*columns).alias("s"))
+    options = stations.groupBy(F.col(code).alias("_code")).agg(F.array_sort(F.collect_list(rank)).alias("_o"))
+    hit = attach_facts(cut, options, ["_code"])
+    if also:
+        hit = hit.withColumn("_o", F.filter("_o", lambda e: F.contains(F.col("_name"), e["s"][also]))).where(F.size("_o") > 0)
+    first = hit.groupBy("_name").agg(F.min(F.get("_o", F.lit(0))).alias("_s")).select("_name", F.col("_s.s").alias("_s"))
     matched = first.select(F.col("_name").alias(name), *[f"_s.{c}" for c in columns])
     return names.join(matched, name, "left")
 
@@ -83,7 +86,10 @@ def coverage_gaps(stations: DataFrame, present: DataFrame, key: Sequence[str], d
 
 
 def vector_magnitude(samples: DataFrame, on: Sequence[str], channel: str, codes: Sequence[str], value: str = "v") -> DataFrame:
-    """Components aligned by time; rows with all of them get sqrt of the sum of squares."""
-    wide = samples.groupBy(*on).pivot(channel, list(codes)).agg(F.first(value))
+    """Components aligned by time; rows with all of them get sqrt of the sum of squares.
+
+    Of several samples of a component with one time the smallest value counts.
+    """
+    wide = samples.groupBy(*on).pivot(channel, list(codes)).agg(F.min(value))
     total = sum((F.col(f"`{c}`") * F.col(f"`{c}`") for c in codes[1:]), F.col(f"`{codes[0]}`") * F.col(f"`{codes[0]}`"))
     return wide.withColumn("magnitude", F.sqrt(total)).where(F.col("magnitude").isNotNull())

@@ -94,17 +94,17 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
     last one closed; ``density`` = count / (n * width).  Empty bins have no row."""
     value = F.col(col).cast("double")
     values = df.select(*by, value.alias("_v")).where(F.col("_v").isNotNull())
-    # equal values share a bin, so only distinct values with counts meet the limits
-    distinct = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     limits = values.groupBy(*by).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")
     )
     width = (F.col("_hi") - F.col("_lo")) / bins
-    joined = attach_facts(distinct, limits, list(by)).withColumn("_w", width)
+    # rows meet their limits where they are and are counted by bin before any exchange
+    numbered = values.withColumn("_row", F.monotonically_increasing_id())
+    joined = attach_facts(numbered, limits, list(by)).withColumn("_w", width)
     at = F.when(F.col("_w") > 0, F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_w"), F.lit(0.0)))).otherwise(0)
     placed = joined.withColumn("bin", F.least(at, F.lit(bins - 1)).cast("int"))
     out = placed.groupBy(*by, "bin").agg(
-        F.sum("_c").alias("count"), F.min("_lo").alias("_lo"), F.min("_w").alias("_w"), F.min("_n").alias("_n")
+        F.count(F.lit(1)).alias("count"), F.min("_lo").alias("_lo"), F.min("_w").alias("_w"), F.min("_n").alias("_n")
     )
     return out.select(
         *by, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("left"), F.col("_w").alias("width"), "count",
@@ -115,13 +115,12 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
 def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers: the last values within 1.5 IQR of the box."""
     quartiles = order_statistics(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    # equal values are one row with a count
-    values = df.groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).where("_v IS NOT NULL")
+    values = df.select(*by, F.col(col).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_row")).where("_v IS NOT NULL")
     joined = attach_facts(values, quartiles, list(by))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low = F.min(F.when(F.col("_v") >= F.col("q1") - reach, F.col("_v")))
     high = F.max(F.when(F.col("_v") <= F.col("q3") + reach, F.col("_v")))
-    outside = F.sum(F.when(F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach), 0).otherwise(F.col("_c")))
+    outside = F.sum(F.when(F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach), 0).otherwise(1))
     return joined.groupBy(*by, "q1", "median", "q3").agg(
         low.alias("whisker_low"), high.alias("whisker_high"), outside.alias("n_outside")
     )

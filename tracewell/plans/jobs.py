@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tracewell.operators import conditioning, evaluate, joins, model, select, splits, trigger, variance, windows
 from tracewell.operators.drift import ks_two_sample
 from tracewell.operators.intervals import detections_hit
-from tracewell.operators.ordered import CHUNK, attach_facts
+from tracewell.operators.ordered import CHUNK, attach_facts, join_facts
+from tracewell.session import cut_lineage
 
 
 def trigger_report(samples: DataFrame, truth: DataFrame, key: Sequence[str], n_sta: int, n_lta: int, on: float, off: float,
@@ -23,11 +24,19 @@ def trigger_report(samples: DataFrame, truth: DataFrame, key: Sequence[str], n_s
 
 
 def file_inventory(samples: DataFrame, file: str, sr: float, stations: DataFrame, net: str = "net", sta: str = "sta",
-                   cha: str = "cha", chunk: int = CHUNK) -> DataFrame:
-    """One row per file: size, variance measures, estimated event time, metadata flag, class."""
+                   cha: str = "cha", prefer: Column | None = None, order: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """One row per file: size, variance measures, estimated event time, metadata flag, class.
+
+    Of a file with several traces one counts: the first that satisfies ``prefer``, else
+    the first, in the order of ``order`` (network, station, channel if not given).
+    """
     n = int(1 * sr)
+    trace = [net, sta, cha]
+    known = samples.groupBy(file, *trace).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in order if c not in trace])
+    chosen = select.first_match(known, [file], list(order) or trace, prefer).select(file, F.struct(*trace).alias("_trace"))
+    samples = attach_facts(samples, chosen, [file]).where(F.struct(*trace).eqNullSafe(F.col("_trace"))).drop("_trace")
     base = samples.groupBy(file).agg(
-        F.first(net).alias("rede"), F.first(sta).alias("estacao"), F.first(cha).alias("canal"), F.lit(float(sr)).alias("taxa_hz"),
+        F.min(net).alias("rede"), F.min(sta).alias("estacao"), F.min(cha).alias("canal"), F.lit(float(sr)).alias("taxa_hz"),
         F.count(F.lit(1)).alias("n_amostras"), (F.count(F.lit(1)) / F.lit(float(sr))).alias("duracao_s"),
         F.min("ts").alias("starttime"), F.round(F.var_pop("v"), 2).alias("var_global"),
     )
@@ -41,13 +50,18 @@ def file_inventory(samples: DataFrame, file: str, sr: float, stations: DataFrame
 
 def build_dataset(samples: DataFrame, stations: DataFrame, key: Sequence[str], station: str, sr: float, n: int, step: int,
                   anomalous: Column, ts: str, target: float | None = None, sample: int | None = None, seed: int = 42,
-                  band: tuple[float, float] | None = None, group_order: Column | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Windows with label and both splits.
-
-    Traces without metadata are left out; ``anomalous`` traces give their central
-    window, the others all windows (``sample`` of them if given).  Ranking and
-    splitting work on keys and numbers only; arrays are joined back at the end.
+                  band: tuple[float, float] | None = None, group_order: Column | None = None,
+                  one_of: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """Windows with label and both splits, ``split_estacao`` and ``split_temporal``.
+
+    Traces without metadata are left out, and so are further traces with the same
+    ``one_of`` (say file and station); ``anomalous`` traces give their central
+    window, the others all windows (``sample`` of them if given).  The windows are
+    written once before they are sampled and split, so every sample is conditioned
+    once.  ``dataset_ledger`` says what became of each trace.
     """
+    if one_of:
+        samples = _first_traces(samples, key, one_of, ts)
     known = joins.attach_station(samples, stations.select(station), [station])
     clean = conditioning.condition(known, key, sr, target or sr, band=band, chunk=chunk)
     marks = known.groupBy(*key).agg(F.max(anomalous.cast("int")).alias("label"), F.first(station).alias("net_sta"), F.min(ts).alias("t0"))
@@ -58,11 +72,35 @@ def build_dataset(samples: DataFrame, stations: DataFrame, key: Sequence[str], s
     ).withColumn("k", F.lit(0).cast("bigint"))
     everything = windows.collect_windows(quiet, key, n, step)
     both = windows.zscore(everything.unionByName(middle.select(*everything.columns)))
-    both = attach_facts(both, marks, key)
+    both = cut_lineage(attach_facts(both, marks, key))
     if sample is not None:
         normal = select.sample_n(both.where("label = 0"), sample, [*key, "k"], seed)
         both = normal.unionByName(both.where("label = 1"))
-    return splits.split_group(both, "net_sta", seed, group_order).withColumnRenamed("split", "split_estacao")
+    by_station = splits.split_group(both, "net_sta", seed, group_order).withColumnRenamed("split", "split_estacao")
+    return splits.split_temporal(by_station, ["t0", *key, "k"]).withColumnRenamed("split", "split_temporal")
+
+
+def _first_traces(samples: DataFrame, key: Sequence[str], one_of: Sequence[str], ts: str) -> DataFrame:
+    """Samples of the first trace, by start and key, of each ``one_of``."""
+    traces = samples.groupBy(*key, *[c for c in one_of if c not in key]).agg(F.min(ts).alias("_t0"))
+    first = select.dedupe(traces, list(one_of), ["_t0", *[k for k in key if k not in one_of]]).select(*key)
+    return attach_facts(samples, first, key)
+
+
+def dataset_ledger(samples: DataFrame, stations: DataFrame, key: Sequence[str], station: str, n: int, ts: str,
+                   one_of: Sequence[str] = ()) -> DataFrame:
+    """How many traces were used, and why the others were not (reason, n)."""
+    names = list(dict.fromkeys([*key, station, *one_of]))
+    traces = samples.groupBy(*names).agg(F.count(F.lit(1)).alias("_len"), F.min(ts).alias("_t0"))
+    rest = [c for c in ["_t0", *key] if c not in one_of]
+    if one_of:
+        first = select.dedupe(traces.select(*one_of, *rest), list(one_of), rest).select(*key).withColumn("_first", F.lit(True))
+        traces = join_facts(traces, first, key)
+    else:
+        traces = traces.withColumn("_first", F.lit(True))
+    flagged = select.exists_flag(traces, stations.select(station), [station], "_known")
+    status = F.when(F.col("_first").isNull(), "duplicate").when(~F.col("_known"), "no_station").when(F.col("_len") < n, "short").otherwise("used")
+    return splits.ledger(flagged.withColumn("status", status))
 
 
 def detect(samples: DataFrame, recon, key: Sequence[str], n: int, step: int, thr: float, sr: float = 1.0) -> DataFrame:

@@ -89,16 +89,30 @@ c AS (SELECT user_id, i, (v - (a + b * i)) * CASE WHEN least(i, n - 1 - i) < tru
 w AS (SELECT user_id, label, 0 AS k, len // 2 - 10 AS s0 FROM m WHERE label = 1 AND len >= 20
   UNION ALL SELECT user_id, label, k, k * 10 FROM (SELECT user_id, label, unnest(generate_series(0, (len - 20) // 10)) AS k FROM m WHERE label = 0 AND len >= 20)),
 st AS (SELECT user_id, row_number() OVER (ORDER BY (user_id * 7919 + 42) % 1009, user_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM w)),
+tp AS (SELECT user_id, k, (row_number() OVER (ORDER BY t0, user_id, k) - 1) / count(*) OVER () AS frac FROM w JOIN (SELECT user_id, min(ts) AS t0 FROM kn GROUP BY 1) USING (user_id)),
 x AS (SELECT w.user_id, w.label, w.k, c.i - w.s0 AS pos, c.v FROM w JOIN c ON c.user_id = w.user_id AND c.i >= w.s0 AND c.i < w.s0 + 20)
 SELECT x.user_id, x.label, x.k, x.pos, round((v - avg(v) OVER q) / stddev_pop(v) OVER q, 5) AS v,
-  CASE WHEN st.pos < trunc(n * 0.70) THEN 'train' WHEN st.pos < trunc(n * 0.85) THEN 'val' ELSE 'test' END AS split_estacao
-FROM x JOIN st USING (user_id) WINDOW q AS (PARTITION BY x.user_id, x.k)""")
+  CASE WHEN st.pos < trunc(n * 0.70) THEN 'train' WHEN st.pos < trunc(n * 0.85) THEN 'val' ELSE 'test' END AS split_estacao,
+  CASE WHEN tp.frac < 0.70 THEN 'train' WHEN tp.frac < 0.85 THEN 'val' ELSE 'test' END AS split_temporal
+FROM x JOIN st USING (user_id) JOIN tp ON tp.user_id = x.user_id AND tp.k = x.k WINDOW q AS (PARTITION BY x.user_id, x.k)""")
 def j01(spark, d):
     s = event_samples(spark, d).withColumn("station", F.col("user_id"))
     stations = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("station"))
     out = jobs.build_dataset(s, stations, ["user_id"], "station", 40.0, 20, 10, F.col("v") > 300, "ts",
                              group_order=(F.col("net_sta") * 7919 + 42) % 1009)
-    return out.select("user_id", "label", "k", "split_estacao", F.posexplode("x").alias("pos", "v")).withColumn("v", F.round("v", 5))
+    return out.select("user_id", "label", "k", "split_estacao", "split_temporal", F.posexplode("x").alias("pos", "v")).withColumn("v", F.round("v", 5))
+
+
+@query("J04_dataset_ledger", """
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn > 1 THEN 'duplicate' WHEN station NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'no_station'
+  WHEN len < 20 THEN 'short' ELSE 'used' END AS reason
+FROM (SELECT user_id, station, len, row_number() OVER (PARTITION BY station ORDER BY t0, user_id) AS rn
+  FROM (SELECT user_id, user_id // 2 * 2 AS station, count(*) AS len, min(ts) AS t0 FROM events GROUP BY 1))) GROUP BY 1""")
+def j04(spark, d):
+    """Two users share a station; the first one to start counts."""
+    s = table(spark, d, "events").select("user_id", "ts", (F.floor(F.col("user_id") / 2) * 2).alias("station"))
+    stations = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("station"))
+    return jobs.dataset_ledger(s, stations, ["user_id"], "station", 20, "ts", one_of=["station"])
 
 
 @query("J02_file_inventory", f"""WITH {USER_SAMPLES}, n AS (SELECT user_id, max(i) + 1 AS len FROM s GROUP BY 1),
@@ -114,6 +128,9 @@ SELECT user_id, n_amostras, duracao_s, var_global, var_min, var_max, razao_var,
 FROM b LEFT JOIN e USING (user_id)""")
 def j02(spark, d):
     s = event_samples(spark, d).withColumns({"net": F.lit("U"), "sta": F.col("user_id").cast("string"), "cha": F.lit("BHZ")})
+    # every second file holds another channel too, which doesn't count
+    other = s.where("user_id % 2 = 0").withColumns({"cha": F.lit("BHE"), "v": F.col("v") * 3 + 1})
+    s = s.unionByName(other)
     st = table(spark, d, "customer").where("c_acctbal > 0").select(F.lit("U").alias("net"), F.col("c_custkey").cast("string").alias("sta"))
-    return jobs.file_inventory(s, "user_id", 10.0, st).select(
+    return jobs.file_inventory(s, "user_id", 10.0, st, prefer=F.col("cha").endswith("Z")).select(
         "user_id", "n_amostras", "duracao_s", "var_global", "var_min", "var_max", "razao_var", "t_evento_est", "xml_disponivel", "status", "classificacao")

@@ -98,9 +98,9 @@ def b09(spark, d):
 
 
 @query("B10_null_paths", """
-SELECT c_custkey FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey WHERE o_custkey IS NULL""")
+SELECT c_custkey FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 250000) ON c_custkey = o_custkey WHERE o_custkey IS NULL""")
 def b10(spark, d):
-    o = table(spark, d, "orders").select("o_custkey").distinct()
+    o = table(spark, d, "orders").where("o_totalprice > 250000").select("o_custkey").distinct()
     c = table(spark, d, "customer").select("c_custkey")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").where("o_custkey IS NULL").select("c_custkey")
 
@@ -151,9 +151,9 @@ def k05(spark, d):
 
 
 @query("K06_set_difference", """
-SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.05""")
+SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09 AND l_tax > 0.07""")
 def k06(spark, d):
-    busy = table(spark, d, "lineitem").where("l_quantity > 49 AND l_discount > 0.05").select(F.col("l_suppkey").alias("s_suppkey"))
+    busy = table(spark, d, "lineitem").where("l_quantity > 49 AND l_discount > 0.09 AND l_tax > 0.07").select(F.col("l_suppkey").alias("s_suppkey"))
     return table(spark, d, "supplier").select("s_suppkey").distinct().join(busy.distinct(), "s_suppkey", "left_anti")
 
 

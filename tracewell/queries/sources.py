@@ -13,7 +13,7 @@ from tracewell.queries.evaluation import model_windows, scores
 from tracewell.queries.registry import query, r6, table
 from tracewell.schemas import INVENTORY
 from tracewell.session import ensure_checkpoint_dir
-from tracewell.sources import catalog, files, stations, tables
+from tracewell.sources import catalog, stations, tables
 
 
 def scratch(spark, name):
@@ -21,17 +21,6 @@ def scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("A01_scan_files")
-def a01(spark, d):
-    found, _ = files.scan_files(spark, [d], [".parquet"], ["spark-warehouse"])
-    return found.select(files.base_name("path").alias("name"), "length")
-
-
-@query("A02_list_objects")
-def a02(spark, d):
-    return files.list_objects(spark, d, 10).select(files.stem("path").alias("key"), "length")
-
-
 @query("A03_read_samples", "SELECT user_id, event_id, value FROM events WHERE event_type LIKE '%or'")
 def a03(spark, d):
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"

@@ -40,7 +40,7 @@ def list_objects(spark: SparkSession, prefix: str, limit: int | None = None) ->
     """Keys below a prefix of a bucket or folder, without folder markers."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prefix).select("path", "length")
     found = found.where(~F.col("path").endswith("/"))
-    return found if limit is None else found.limit(limit)
+    return found if limit is None else found.orderBy("path").limit(limit)
 
 
 def base_name(path: str | Column) -> Column:

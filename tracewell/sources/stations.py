@@ -48,10 +48,21 @@ def _time(c):
     return F.try_to_timestamp(c)
 
 
-def read_stations(spark: SparkSession, path: str | Sequence[str], prefix: str = "fsx:") -> tuple[DataFrame, DataFrame, DataFrame]:
+PREFIXES = ("fsx:", "")
+
+
+def read_stations(spark: SparkSession, path: str | Sequence[str], prefixes: Sequence[str] = PREFIXES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stations, channels, stages), one row each per element; files that are no
-    StationXML give no rows."""
-    p = prefix
+    StationXML give no rows.  Tags may carry any of ``prefixes``; without one they
+    are in the default namespace, as web services answer."""
+    parts = [_read(spark, path, p) for p in prefixes]
+    out = parts[0]
+    for more in parts[1:]:
+        out = tuple(a.unionByName(b) for a, b in zip(out, more))
+    return out
+
+
+def _read(spark: SparkSession, path: str | Sequence[str], p: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     reader = spark.read.format("xml").option("rowTag", f"{p}Network").schema(network_schema(p)).option("recursiveFileLookup", True)
     paths = path if isinstance(path, str) else ",".join(path)
     nets = reader.load(paths).select(F.col("_code").alias("net"), F.col(f"`{p}Station`").alias("_s"), F.col("_metadata.file_path").alias("file"))
@@ -105,6 +116,6 @@ def sensor_responses(stages: DataFrame) -> DataFrame:
 def unreadable(spark: SparkSession, path: str, stations: DataFrame) -> DataFrame:
     """XML files that gave no station: the count of invalid files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path)
-    known = stations.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("_n")).distinct()
-    named = files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("_n"))
+    known = stations.select(F.col("file").alias("_n")).distinct()
+    named = files.select("path", F.col("_metadata.file_path").alias("_n"))
     return named.join(known, "_n", "left_anti").select("path")
