@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tracewell.operators import model as M
 from tracewell.queries.evaluation import model_windows
 from tracewell.queries.joins import DETECTIONS
-from tracewell.queries.registry import query, r6
+from tracewell.queries.registry import query, r6, table
+from tracewell.queries.sources import scratch
 from tracewell.streaming import features
 from tracewell.streaming.trigger import stream_trigger
 
@@ -44,6 +45,28 @@ def h02(spark, d):
     return out.select("event_type", text("w0"), text("w1"), "n", r6("rms").alias("rms"))
 
 
+# four batches: rows to 15 January, to 20 January, then those of the 5th (behind the watermark of the first) with those to 25 January, then the rest
+PART = """CASE WHEN CAST(ts AS DATE) = DATE '2024-01-05' THEN 2 WHEN CAST(ts AS DATE) < DATE '2024-01-15' THEN 0
+  WHEN CAST(ts AS DATE) < DATE '2024-01-20' THEN 1 WHEN CAST(ts AS DATE) < DATE '2024-01-25' THEN 2 ELSE 3 END"""
+
+
+@query("H06_stream_late_rows", f"""
+WITH g AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS w0, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS w1, count(*) AS n, round(sqrt(avg(value * value)), 6) AS rms
+  FROM events WHERE CAST(ts AS DATE) <> DATE '2024-01-05' GROUP BY 1, 2)
+SELECT event_type, strftime(w0, {STAMP}) AS w0, strftime(w1, {STAMP}) AS w1, n, rms FROM g WHERE {CLOSED}""")
+def h06(spark, d):
+    """Rows that come when the watermark has passed their windows are dropped, and only those."""
+    path = scratch(spark, "late")
+    rows = table(spark, d, "events").withColumn("_part", F.expr(PART))
+    for part in range(4):
+        # one file for each micro-batch, in this order
+        rows.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    live = raw.select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("v"))
+    out = features.run_to_table(features.stream_energy(live, ["event_type"], "1 hour", "10 minutes"))
+    return out.select("event_type", text("w0"), text("w1"), "n", r6("rms").alias("rms"))
+
+
 @query("H04_stream_sessions", f"""
 WITH l AS (SELECT event_type, ts, value AS v, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WHERE value > 40),
 r AS (SELECT *, sum(s) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM l),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,14 +50,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_FOLDERS: list[str] = []  # open scopes, the innermost last
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[str]:
+    """Tables that ``cut_lineage`` writes inside the ``with`` block are deleted at its end.
+
+    Write or collect the results inside the block; afterwards their inputs are gone.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/tracewell/{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDERS.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from its files.
 
     The rows survive the loss of executors, and later steps read only the columns
-    they need.
+    they need.  The write runs at once; inside ``intermediate_tables`` the table
+    lives as long as the block.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/tracewell/{uuid.uuid4().hex}"
+    base = _FOLDERS[-1] if _FOLDERS else f"{ensure_checkpoint_dir(spark)}/tracewell"
+    path = f"{base}/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
