@@ -31,7 +31,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIM = 8
 ROWS = 6000
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 
 class Hashed(dict):
@@ -216,17 +216,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return train([(np.frombuffer(r["words"], np.int32).reshape(-1, 2), r["y"], r["lang"]) for r in got])
 
 
-_TABLES: dict[int, tuple[Model, np.ndarray]] = {}
-
-
-def _with_table(model: Model) -> tuple[Model, np.ndarray]:
-    """The model with its table, which a worker builds once."""
-    if id(model) not in _TABLES:
-        _TABLES.clear()
-        _TABLES[id(model)] = (model, model.table())
-    return _TABLES[id(model)]
-
-
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, held_out, score, predicted): one row for every row of ``docs``.
 
@@ -238,12 +227,14 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     names = ["doc_id", *keep, "held_out"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = _with_table(shared.value)
+        own = shared.value
+        table = own.table()
         for batch in slices(batches, "_body"):
             scores = np.array([own.score(words(x), table) for x in batch.column("_body").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*names, "score", "predicted"]
             )
+        _HASHED.clear()  # what follows in this worker needs the memory
 
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "_body")
     return source.mapInArrow(kernel, f"{schema}, score double, predicted int")
@@ -254,9 +245,11 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = _with_table(shared.value)
+        own = shared.value
+        table = own.table()
         for batch in slices(batches, text):
             keep = [own.score(words(x or ""), table) < 0.5 for x in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        _HASHED.clear()
 
     return docs.mapInArrow(kernel, docs.schema)
