@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _FOLDERS: list[str] = []  # open scopes, the innermost last
+WATCHERS: list[Callable[[DataFrame], None]] = []  # called with every frame before it is written
 
 
 @contextmanager
@@ -77,6 +78,8 @@ def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     lives as long as the block.
     """
     spark = df.sparkSession
+    for watch in WATCHERS:
+        watch(df)
     base = _FOLDERS[-1] if _FOLDERS else f"{ensure_checkpoint_dir(spark)}/tracewell"
     path = f"{base}/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
