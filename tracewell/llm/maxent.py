@@ -1,16 +1,15 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
 p(word | history) = p(class | history) * p(word | class).  The first factor is a
-log-linear model over the classes: its features are the last word, the words two
-and three back (skips), the last two words together and the last three classes,
-each hashed to a row of one weight table.  The second is the log-linear model
+log-linear model over the classes: its features are the last word, the word two
+back (a skip), the last two words together and the last three classes, each hashed to a row of one weight table.  The second is the log-linear model
 whose only feature is the word itself; its maximum likelihood is known in closed
 form (smoothed counts within the class).
 
 Training is a round of distributed gradient updates: every task goes over its
 documents in small batches with a copy of the weights and sends what it has
 changed, with the number of tokens behind each row; changes are added up in two
-levels and averaged row by row.  Scores come from sparse NumPy batches: five rows
+levels and averaged row by row.  Scores come from sparse NumPy batches: four rows
 of the table for a token.
 
 Word counts are a table, not a dictionary in memory.  The ``top`` most frequent
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import cut_lineage, residue, slices, text_of, utf8
 
 END = b"\n"
-CLASSES = 64
-SINGLES = 24
+CLASSES = 48
+SINGLES = 20
 ROWS = 1 << 14
 BATCH = 2048
 STRIP = 256
@@ -84,7 +83,7 @@ class Packed(dict):
 
 
 def features(texts: list[list[bytes]], packed: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of the weight table, classes, ranks) of all tokens of ``texts``, one after the other."""
+    """(rows of the weight table by feature, classes, ranks) of all tokens of ``texts``, one after the other."""
     seq: list[int] = []
     for words in texts:
         seq += (0, 0, 0)
@@ -92,42 +91,47 @@ def features(texts: list[list[bytes]], packed: Packed) -> tuple[np.ndarray, np.n
     x = np.array(seq, np.int64)
     sizes = np.array([len(w) for w in texts])
     at = np.arange(int(sizes.sum())) + 3 * np.repeat(np.arange(1, len(texts) + 1), sizes)
-    word, cls = (x & 0xFFFFFFFF).astype(np.uint64), (x >> 32 & 0xFF).astype(np.uint64)
+    word, cls = (x & 0xFFFFFFFF).view(np.uint64), (x >> 32 & 0xFF).view(np.uint64)
 
     def row(value: np.ndarray, salt: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = (value + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
             return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(50)).astype(np.int64)
 
-    one, two, three = word[at - 1], word[at - 2], word[at - 3]
+    one, two = word[at - 1], word[at - 2]
     shape = cls[at - 1] << np.uint64(16) | cls[at - 2] << np.uint64(8) | cls[at - 3]
-    rows = np.stack([row(one, 1), row(two, 2 << 33), row(three, 3 << 33), row(one << np.uint64(31) ^ two, 5 << 33), row(shape, 7 << 33)], 1)
+    rows = np.stack([row(one, 1), row(two, 2 << 33), row(one << np.uint64(31) ^ two, 5 << 33), row(shape, 7 << 33)])
     return rows, cls[at].astype(np.int64), x[at] >> 40
 
 
 def log_classes(rows: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
+    z = weights.take(rows[0], 0)
+    part = np.empty_like(z)
+    for own in rows[1:]:
+        z += weights.take(own, 0, part, "clip")
     z += bias
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    np.exp(z, part)
+    z -= np.log(part.sum(1, keepdims=True))
     return z
 
 
 def learn(rows: np.ndarray, classes: np.ndarray, bias: np.ndarray, weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, rate: float) -> None:
     """One batch of gradient descent, in place; ``squares`` slows down rows that have moved much."""
-    g = np.exp(log_classes(rows, bias, weights))
+    g = log_classes(rows, bias, weights)
+    np.exp(g, g)
     g[np.arange(len(g)), classes] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    ids = flat[order]
-    first = np.flatnonzero(np.diff(ids, prepend=-1))
-    move = np.add.reduceat(g[order // rows.shape[1]], first, axis=0)
-    ids, n = ids[first], np.diff(first, append=len(ids))
-    squares[ids] += (move**2).mean(1)
-    touched[ids] += n
-    weights[ids] -= rate / np.sqrt(squares[ids])[:, None] * move
+    sorted_ = np.empty_like(g)
+    for own in rows:  # one feature after the other, on the same gradient
+        order = own.argsort(kind="stable")
+        ids = own[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        move = np.add.reduceat(g.take(order, 0, sorted_, "clip"), first, 0)
+        ids, n = ids[first], np.diff(first, append=len(order))
+        squares[ids] += np.einsum("ij,ij->i", move, move) / CLASSES
+        touched[ids] += n
+        move *= (rate / np.sqrt(squares[ids]))[:, None]
+        weights[ids] -= move
     bias -= rate * 0.1 * g.mean(0)
 
 
@@ -190,8 +194,8 @@ def train(docs: DataFrame, model: Model, rounds: int = 1, rate: float = 0.5, fan
             squares, touched = np.ones(ROWS, np.float32), np.zeros(ROWS, np.float32)
             for batch in slices(batches, "text", 1 << 20):
                 rows, classes, _ = features([words_of(x) for x in utf8(batch.column("text"))], packed)
-                for i in range(0, len(rows), BATCH):
-                    learn(rows[i : i + BATCH], classes[i : i + BATCH], bias, weights, squares, touched, rate)
+                for i in range(0, len(classes), BATCH):
+                    learn(rows[:, i : i + BATCH], classes[i : i + BATCH], bias, weights, squares, touched, rate)
             if touched.any():
                 change = (weights - own.weights) * touched[:, None]
                 part = TaskContext.get().partitionId()
@@ -228,9 +232,9 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, doc_id: str = "doc_i
         for batch in slices(batches, "text", 1 << 20):
             texts = [words_of(x) for x in utf8(batch.column("text"))]
             rows, classes, ranks = features(texts, packed)
-            logs = np.empty(len(rows))
-            for i in range(0, len(rows), 4 * BATCH):
-                part = log_classes(rows[i : i + 4 * BATCH], own.bias, own.weights)
+            logs = np.empty(len(classes))
+            for i in range(0, len(classes), BATCH):
+                part = log_classes(rows[:, i : i + BATCH], own.bias, own.weights)
                 logs[i : i + len(part)] = part[np.arange(len(part)), classes[i : i + len(part)]]
             logs = logs / np.log(10) - own.in_class[classes]
             end = np.cumsum([len(w) for w in texts])
