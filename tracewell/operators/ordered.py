@@ -309,7 +309,7 @@ def order_statistics(
     sketch = cut_lineage(sketch.select(*key, "_n", F.array(*bounds).alias("_b")))
     # the row number spreads equal values over the salts of the join
     bounded = attach_facts(values.withColumn("_row", F.monotonically_increasing_id()), sketch.select(*key, "_b"), key).drop("_row")
-    below = bounded.groupBy(*key).agg(*[F.sum((F.col("_v") < F.col("_b")[j]["low"]).cast("bigint")).alias(f"_c{j}") for j in range(len(names))])
+    below = cut_lineage(bounded.groupBy(*key).agg(*[F.sum((F.col("_v") < F.col("_b")[j]["low"]).cast("bigint")).alias(f"_c{j}") for j in range(len(names))]))  # one row per key
     near = bounded.select(*key, "_v", F.explode("_b").alias("_b")).where((F.col("_v") >= F.col("_b.low")) & (F.col("_v") <= F.col("_b.high")))
     counted = near.groupBy(*key, F.col("_b.q").alias("_q"), "_v").agg(F.count(F.lit(1)).alias("_m"))
     ranks = cumulative(counted, [*key, "_q"], ["_v"], "_m", "_to")
