@@ -156,7 +156,16 @@ def count_words(docs: DataFrame, limit: int = 1 << 19) -> DataFrame:
 def prepare(counts: DataFrame, top: int = TOP) -> Model:
     """Frequent words, classes and their sizes from the table of counts; the weights are zero."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(top).collect()
+    # a cut that at most ``top`` words pass: counts by eighths of an octave, then only what lies above
+    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("octave", F.floor(F.log2("c") * 8))
+    cut, room = None, top
+    for r in sorted(short.groupBy("octave").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        cut = r["octave"]
+    rows = short.where(F.col("octave") >= cut).collect() if cut is not None else []
+    rows.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     words = [bytes(r["word"]) for r in rows]
     model = Model({w: i for i, w in enumerate(words)}, np.array([r["c"] for r in rows], np.float64), {w: i for i, w in enumerate(words[:SINGLES])}, np.zeros(CLASSES, np.float32), np.zeros((ROWS, CLASSES), np.float32), total, distinct)
     singles = model.singles
