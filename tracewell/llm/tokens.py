@@ -25,16 +25,53 @@ from tracewell.llm.common import cut_lineage, slices, text_of
 
 END = 0
 SEGMENT = 1 << 18
-CACHE = 1 << 19
+CHUNKS = 1 << 19
+PIECES = 1 << 20
 LONGEST = 48
+MARKS = ".,;:!?%&$#*|"
 _WORDS: dict[str, "Words"] = {}
 
 
+def letters(text: str) -> bool:
+    """Only letters of Latin, Greek or Cyrillic: what every edition of the letter class agrees on."""
+    return text.isalpha() and max(text) < "\u0530"
+
+
+def pieces(chunk: str) -> list[str]:
+    """``chunk`` cut where the pre-tokeniser always cuts: around a lone line end, and between letters and marks behind them."""
+    if chunk[1:].isalpha():
+        return [chunk]
+    if chunk[-1:] in MARKS and letters(chunk[1:-1]):
+        return [chunk[:-1], chunk[-1]] if chunk[0] == " " or letters(chunk[0]) else [chunk]
+    out = []
+    lines = chunk.split("\n")
+    if len(lines) > 1 and (any(not x or x[-1].isspace() for x in lines[:-1]) or any(not x or x[0].isspace() for x in lines[1:])):
+        return [chunk]
+    for i, line in enumerate(lines):
+        if i:
+            out.append("\n")
+        stem = line.rstrip(MARKS)
+        if len(stem) < len(line) and letters(stem.removeprefix(" ")):
+            out += (stem, line[len(stem) :])
+        else:
+            out.append(line)
+    return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Words(dict):
-    """Ids (32-bit little-endian bytes) of pieces that were met before in this process.
+    """Ids (32-bit little-endian bytes) of chunks of text that were met before in this process.
 
     The pre-tokeniser splits before any single space, so a text can be encoded
-    piece by piece when no space in it follows another.
+    chunk by chunk when no space in it follows another.  Chunks not met before
+    are put together from their pieces, which are fewer; only pieces not met
+    before go to the tokeniser.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,24 +80,45 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.pieces: dict[str, bytes] = {}
+
+        self.merge, self.bytes = self.tokenizer.model.tokenize, _byte_letters()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def ids(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of each text; one word goes to the tokeniser's merges at once, anything else through all its steps."""
+        out, other = {}, []
+        for x in texts:
+            if letters(x.removeprefix(" ")):
+                out[x] = np.array([t.id for t in self.merge(x.encode().decode("latin1").translate(self.bytes))], "<u4").tobytes()
+            else:
+                other.append(x)
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        return out | {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(other, found, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE:
+        if len(self) > CHUNKS:
             self.clear()
-        cut = [x.replace(" ", "\0 ").split("\0") if "  " not in x and "\0" not in x else [x] for x in texts]
-        new = list({w for pieces in cut for w in pieces if w not in self})
-        long = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, x in zip(part, self.ids(part), strict=True):
-                (self if len(w) <= LONGEST else long)[w] = x
-        if long:
-            return [b"".join([long[w] if w in long else self[w] for w in pieces]) for pieces in cut]
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        flat: list[str] = []
+        ends = []
+        for x in texts:
+            flat += x.replace(" ", "\0 ").split("\0") if "  " not in x and "\0" not in x else (x,)
+            ends.append(len(flat))
+        found = list(map(self.get, flat))
+        lost = [i for i, x in enumerate(found) if x is None]
+        new = {w: pieces(w) if len(w) <= LONGEST else [w] for w in {flat[i] for i in lost}}
+        parts = list({p for cut in new.values() for p in cut if p not in self.pieces})
+        long: dict[str, bytes] = {}  # is not kept
+        for i in range(0, len(parts), 4096):
+            for p, x in self.ids(parts[i : i + 4096]).items():
+                (self.pieces if len(p) <= LONGEST else long)[p] = x
+        for w, cut in new.items():
+            if len(w) <= LONGEST:
+                self[w] = self.pieces[cut[0]] if len(cut) == 1 else b"".join([self.pieces[p] for p in cut])
+        for i in lost:
+            found[i] = self[flat[i]] if len(flat[i]) <= LONGEST else long[flat[i]]
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 def words(path: str) -> Words:
