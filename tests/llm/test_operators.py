@@ -425,3 +425,11 @@ def test_pipeline_stages(spark, tmp_path, docs):
         assert now.select("doc_id", "text").exceptAll(before.select("doc_id", "text")).count() == 0 or name == "mix"
     done = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
     assert done.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and done.count() == now.count()
+
+
+def test_model_size():
+    """64 classes, 24 of one word; the word three back is a feature even where the classes are the same."""
+    assert (maxent.CLASSES, maxent.SINGLES) == (64, 24)
+    packed = maxent.Packed(maxent.Model({}, np.zeros(0), {}, np.zeros(maxent.CLASSES), np.zeros(0)))
+    a, b = (maxent.features([[first, b"two", b"one", b"now"]], packed)[0][:, 3] for first in (b"aending", b"bending"))
+    assert len(a) == 5 and (a != b).sum() == 1

@@ -1,15 +1,16 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
 p(word | history) = p(class | history) * p(word | class).  The first factor is a
-log-linear model over the classes: its features are the last word, the word two
-back (a skip), the last two words together and the last three classes, each hashed to a row of one weight table.  The second is the log-linear model
+log-linear model over the classes: its features are the last word, the words two
+and three back (skips), the last two words together and the last three classes,
+each hashed to a row of one weight table.  The second is the log-linear model
 whose only feature is the word itself; its maximum likelihood is known in closed
 form (smoothed counts within the class).
 
 Training is a round of distributed gradient updates: every task goes over its
 documents in small batches with a copy of the weights and sends what it has
 changed, with the number of tokens behind each row; changes are added up in two
-levels and averaged row by row.  Scores come from sparse NumPy batches: four rows
+levels and averaged row by row.  Scores come from sparse NumPy batches: five rows
 of the table for a token.
 
 Word counts are a table, not a dictionary in memory.  The ``top`` most frequent
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import cut_lineage, residue, slices, text_of, utf8
 
 END = b"\n"
-CLASSES = 48
-SINGLES = 20
+CLASSES = 64
+SINGLES = 24
 ROWS = 1 << 14
 BATCH = 2048
 STRIP = 256
@@ -98,9 +99,9 @@ def features(texts: list[list[bytes]], packed: Packed) -> tuple[np.ndarray, np.n
             h = (value + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
             return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(50)).astype(np.int64)
 
-    one, two = word[at - 1], word[at - 2]
+    one, two, three = word[at - 1], word[at - 2], word[at - 3]
     shape = cls[at - 1] << np.uint64(16) | cls[at - 2] << np.uint64(8) | cls[at - 3]
-    rows = np.stack([row(one, 1), row(two, 2 << 33), row(one << np.uint64(31) ^ two, 5 << 33), row(shape, 7 << 33)])
+    rows = np.stack([row(one, 1), row(two, 2 << 33), row(three, 3 << 33), row(one << np.uint64(31) ^ two, 5 << 33), row(shape, 7 << 33)])
     return rows, cls[at].astype(np.int64), x[at] >> 40
 
 
