@@ -264,6 +264,17 @@ def test_words_equal_the_tokenizer():
     assert known.encode(texts) == want
 
 
+def test_added_tokens_equal_the_plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    mark, r = "<|endoftext|>", random.Random(3)
+    parts = ["a", "word", " ", "\n", ".", "|", "<|", "|>", "endoftext", "  ", "\0", mark, mark]
+    texts = [f"a {mark} b", mark, f"a{mark}b.", f"one two {mark}", "long " * 50 + mark + " tail" * 50] + ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(2000)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Words(PATH).encode(texts)] == want
+
+
 def test_rans():
     ids = np.minimum(np.random.default_rng(0).zipf(1.2, 400_000), 50_000).astype(np.int64)
     shared = rans.Table(np.bincount(ids, minlength=50_257))

@@ -71,7 +71,8 @@ class Words(dict):
     The pre-tokeniser splits before any single space, so a text can be encoded
     chunk by chunk when no space in it follows another.  Chunks not met before
     are put together from their pieces, which are fewer; only pieces not met
-    before go to the tokeniser.
+    before go to the tokeniser.  A text that holds an added token of the file
+    (<|endoftext|>) goes to the tokeniser whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,16 +80,19 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.pieces: dict[str, bytes] = {}
 
         self.merge, self.bytes = self.tokenizer.model.tokenize, _byte_letters()
 
+    def marked(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def ids(self, texts: list[str]) -> dict[str, bytes]:
         """Ids of each text; one word goes to the tokeniser's merges at once, anything else through all its steps."""
         out, other = {}, []
         for x in texts:
-            if letters(x.removeprefix(" ")):
+            if letters(x.removeprefix(" ")) and not self.marked(x):
                 out[x] = np.array([t.id for t in self.merge(x.encode().decode("latin1").translate(self.bytes))], "<u4").tobytes()
             else:
                 other.append(x)
@@ -103,11 +107,11 @@ class Words(dict):
         flat: list[str] = []
         ends = []
         for x in texts:
-            flat += x.replace(" ", "\0 ").split("\0") if "  " not in x and "\0" not in x else (x,)
+            flat += x.replace(" ", "\0 ").split("\0") if "  " not in x and "\0" not in x and not self.marked(x) else (x,)
             ends.append(len(flat))
         found = list(map(self.get, flat))
         lost = [i for i, x in enumerate(found) if x is None]
-        new = {w: pieces(w) if len(w) <= LONGEST else [w] for w in {flat[i] for i in lost}}
+        new = {w: pieces(w) if len(w) <= LONGEST and not self.marked(w) else [w] for w in {flat[i] for i in lost}}
         parts = list({p for cut in new.values() for p in cut if p not in self.pieces})
         long: dict[str, bytes] = {}  # is not kept
         for i in range(0, len(parts), 4096):
