@@ -193,6 +193,21 @@ def test_extraction(spark):
     assert extraction.extract(empty, extraction.fit(empty)).collect() == []
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<html><head><title>x</title><p>text one<p>text two", "text one text two"),
+    ("<html><head><title>x</title><meta charset=a><style>s</style><script>c</script></head><body><p>text</body>", "text"),
+    ("<head><title>x</title><body><p>text", "text"),
+    ("<p>one<p><svg><path d=x>two<p>three", "one two three"),
+    ("<p>one <svg><text>no</text></svg>two", "one two"),
+    ("<p>one<p><math>two<p><object>three<p><noscript>four<p>five", "one two three four five"),
+    ("<article><p>one <math>x+y</math> <object data=a>two</object> <noscript>three</noscript> four</article>", "one x+y two three four"),
+    ("<p>one<p><iframe src=a>two<p><template>three<p><textarea>four<iframe>", "one two three four"),
+    ("<p>one<script>no <p>no", "one"),
+])
+def test_skipped_elements(page, want):
+    assert " ".join(t for _, t, _ in extraction.Page(page).runs) == want
+
+
 def test_extraction_is_consistent():
     r = np.random.default_rng(2)
     texts = ["One sentence is here, with words. And one more.", "Short text.", "A longer text goes on for a while, it has several parts. They end."]

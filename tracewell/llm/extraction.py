@@ -36,7 +36,8 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head iframe math noscript object script style svg template textarea title".split())
+SKIPPED = frozenset("iframe script style svg template textarea title".split())
+CODE = frozenset({"script", "style"})
 CLOSES = {
     **dict.fromkeys(
         "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(),
@@ -83,6 +84,7 @@ class Page:
         self.tag, self.parent, self.attrs, self.mark = ["#page"], [-1], [0], [""]
         self.runs: list[tuple[int, str, int]] = []  # node, text, letters inside links
         stack, names, piece, links, in_link, at, end = [0], ["#page"], [], 0, False, 0, len(source)
+        unclosed: set[str] = set()
 
         def flush() -> None:
             nonlocal links
@@ -104,10 +106,14 @@ class Page:
             at = m.end()
             name = (m[2] or "").lower()
             if name in SKIPPED:
-                if not m[1] and not m[3].endswith("/"):
-                    # its text isn't part of the page; a head without an end stops at the body
-                    stop = re.compile(rf"</{name}\b[^>]*>" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(source, at)
-                    at = stop.end() if stop else end
+                if not m[1] and not m[3].endswith("/") and name not in unclosed:
+                    # its text isn't part of the page; without an end tag only the tag is skipped, but code runs to the end of the page
+                    if stop := re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at):
+                        at = stop.end()
+                    elif name in CODE:
+                        at = end
+                    else:
+                        unclosed.add(name)
             elif name == "br":
                 piece.append(" ")
             elif name == "a":
