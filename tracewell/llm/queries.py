@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import extraction, suffixes, toxicity
 from tracewell.llm.common import read
+from tracewell.llm.divergence import source_divergence
 from tracewell.llm.exact import exact_duplicates
+from tracewell.llm.lattice import vector_links
 from tracewell.llm.maxent import language_model
 from tracewell.llm.mixing import mix
+from tracewell.llm.negatives import hard_negatives
 from tracewell.llm.pii import personal_data
 from tracewell.llm.simhash import near_duplicates
 from tracewell.llm.tokens import token_files
@@ -106,3 +109,62 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_suffixes")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(read(spark, folder, "documents")))
+
+
+@query(
+    "op11_lattice",
+    """WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+g AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE label IS NOT NULL AND len(e) > 0
+  AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_inner_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links(read(spark, folder, "embeddings"))
+
+
+@query(
+    "op12_slots",
+    """WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) QUALIFY row_number() OVER w <= 5""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+@query(
+    "op13_divergence",
+    r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(c) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c,
+    1 + CAST(1000000000 * (coalesce(c.c, 0) + 2) AS HUGEINT) // (coalesce(n.n, 0) + 2 * v.v) AS p,
+    1 + CAST(1000000000 * (kept.c + 2) AS HUGEINT) // (v.total + 2 * v.v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM pair WINDOW w AS (PARTITION BY lang, source ORDER BY value DESC, item)
+UNION ALL
+SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM term
+WINDOW w AS (PARTITION BY lang, source ORDER BY value DESC, item) QUALIFY row_number() OVER w <= 10""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(read(spark, folder, "documents"))
