@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.session import cut_lineage
 
-__all__ = ["ascii_lower", "cut_lineage", "matching", "read", "residue", "row_key", "slices", "text_of", "unused", "utf8"]
+__all__ = ["ascii_lower", "attach_sized", "cut_lineage", "matching", "read", "residue", "row_key", "slices", "text_of", "unused", "utf8"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,3 +70,20 @@ def ascii_lower(text: Column) -> Column:
 def residue(doc_id: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+HOT = 1000
+
+
+def attach_sized(rows: DataFrame, facts: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Join facts, one row per key with the number of its rows in ``size``, to the rows they were counted from.
+
+    Keys with more than a thousandth of all rows are fewer than a thousand: they
+    are broadcast, and no other key is large enough to burden a task.  ``facts``
+    is read three times and ``rows`` twice, so they should be tables.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    often = F.col(size) * HOT > total
+    marked = rows.join(F.broadcast(facts.where(often).withColumn("_often", F.lit(True))), on, "left")
+    usual = marked.where("_often IS NULL").select(*rows.columns).join(facts.where(~often), on)
+    return marked.where("_often").select(*usual.columns).unionByName(usual)

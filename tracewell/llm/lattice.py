@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut_lineage
+from tracewell.llm.common import attach_sized, cut_lineage
 from tracewell.llm.components import components
-from tracewell.operators.ordered import attach_facts
 
 TABLES = 6
 PROBES = 7  # neighbouring cells asked in each table
@@ -317,10 +316,9 @@ def vector_links(
     counted = linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     nodes = marked.select("h", "k", "node", "copies", "first_id").join(groups, "node", "left").join(counted, "node", "left")
     nodes = cut_lineage(nodes.withColumns({"root": F.coalesce("root", "node"), "n_links": F.col("copies") - 1 + F.coalesce("links", F.lit(0))}))
-    lowest = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    facts = attach_facts(nodes.select("h", "k", "node", "root", "n_links"), lowest, ["root"]).select("h", "k", "n_links", "component_id")
-    # the row number spreads equal rows over the salts of the join
-    good = attach_facts(source.where("ok").select("vec_id", "h", "k").withColumn("row", F.monotonically_increasing_id()), facts, ["h", "k"])
+    lowest = cut_lineage(nodes.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size")))
+    facts = cut_lineage(attach_sized(nodes.select("h", "k", "root", "n_links", "copies"), lowest, ["root"], "size").drop("root", "size"))
+    good = attach_sized(source.where("ok").select("vec_id", "h", "k"), facts, ["h", "k"], "copies")
     lone = source.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = good.select("vec_id", "n_links", "component_id").unionByName(lone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
