@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.ordered import CHUNK, attach_facts, attach_trace_facts, join_facts, spread_facts, with_halo
+from tracewell.operators.recurrence import butterworth_sections, cascade, filtered
 from tracewell.session import cut_lineage
 
 PRE_FILTER = (0.5, 1.0, 18.0, 20.0)  # fixed corner frequencies in Hz
@@ -117,26 +118,13 @@ def band_halo(sr: float, lo: float, order: int) -> int:
 
 def bandpass(samples: DataFrame, key: Sequence[str], sr: float, lo: float = BAND[0], hi: float = BAND[1],
              order: int = 4, zero_phase: bool = True, value: str = "v", index: str = "i", chunk: int = CHUNK) -> DataFrame:
-    """Butterworth band-pass.  The halo covers the impulse response, which decays
-    with the lower corner frequency, so chunk borders do not show."""
-    halo = band_halo(sr, lo, order)
+    """Butterworth band-pass by second-order sections, from rest.
 
-    def gain(freq):
-        amplitude = butter_gain(freq, lo, hi, sr, order)
-        return amplitude**2 if zero_phase else amplitude * _butter_phase(freq, lo, hi, sr, order)
-
-    return map_chunks(samples, key, lambda i, v: spectral(v, sr, gain), halo, value, index, chunk)
-
-
-def _butter_phase(freq, lo, hi, sr, order):
-    """Unit-amplitude phase of the causal filter from its analogue prototype poles."""
-    w = np.tan(np.pi * np.clip(freq, 0, sr / 2 * (1 - 1e-12)) / sr)
-    wl, wh = np.tan(np.pi * lo / sr), np.tan(np.pi * min(hi, sr / 2 * 0.999) / sr)
-    safe = np.where(w > 0, w, 1e-12)
-    s = 1j * (safe * safe - wl * wh) / (safe * (wh - wl))
-    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
-    response = np.prod([1.0 / (s - p) for p in poles], axis=0)
-    return response / np.abs(response)
+    The sections are a linear recurrence, scanned exactly over chunks (see
+    ``recurrence``); ``zero_phase`` runs them again from the end of the trace.
+    """
+    system = cascade(butterworth_sections(lo, hi, sr, order))
+    return filtered(samples, key, system, zero_phase, value, index, chunk)
 
 
 def resample_mean(samples: DataFrame, key: Sequence[str], factor: int, value: str = "v", index: str = "i") -> DataFrame:

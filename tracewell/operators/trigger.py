@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +19,10 @@ from tracewell.operators.ordered import (
     running,
     with_halo,
 )
+from tracewell.operators.recurrence import exponential_means, pack, scan, unpack
 
 MODES = ("causal", "manual", "classic", "centred", "delayed", "recursive", "zdetect", "carl")
 CENTRED_FLOOR = 1e-10  # fixed value added to the long average in centred mode
-RECURSIVE_TAIL = 1e-18  # weight below which the tail of an exponential mean is invisible in a double
 
 
 def _centred(n: int) -> tuple[int, int]:
@@ -30,25 +30,6 @@ def _centred(n: int) -> tuple[int, int]:
     return half - (n - 1), half
 
 
-def _exponential_mean(df: DataFrame, window, value: str, n: int, name: str) -> DataFrame:
-    """Mean with weights (1/n)(1-1/n)^age, summed over 1, 2, 4, ... rows like ``moving_sums``."""
-    keep = 1.0 - 1.0 / n
-    df = df.withColumn(name, F.col(value) / n)
-    reach = 1
-    while keep > 0 and keep**reach > RECURSIVE_TAIL:
-        earlier = F.lag(name, reach, 0.0).over(window)
-        df = df.withColumn(name, F.col(name) + F.lit(keep**reach) * earlier)
-        reach *= 2
-    return df
-
-
-def _exponential_reach(n: int) -> int:
-    keep = 1.0 - 1.0 / n
-    if keep <= 0:
-        return 1
-    return 1 << max(0, math.ceil(math.log2(math.log(RECURSIVE_TAIL) / math.log(keep))))
-
-
 def sta_lta(
     samples: DataFrame,
     key: Sequence[str],
@@ -71,7 +52,7 @@ def sta_lta(
     ``centred``  kernel centred on the row, long mean + 1e-10; first n_lta rows 0; a trace
                  shorter than n_lta gives no rows
     ``delayed``  the long window ends where the short one starts
-    ``recursive`` exponential means
+    ``recursive`` exponential means, by an exact scan over chunks; null values count as 0
     ``zdetect``  short mean standardised over the trace
     ``carl``     star - ratio * ltar - |sta - lta| - quiet on the signal itself
     """
@@ -81,6 +62,10 @@ def sta_lta(
         return _z_detector(samples, key, n_sta, value, index, chunk)
     if mode == "carl":
         return _carl(samples, key, n_sta, n_lta, value, index, ratio, quiet, chunk)
+    if mode == "recursive":
+        means = _recursive_means(samples, key, n_sta, n_lta, value, index, chunk)
+        cf = F.when((F.col(index) >= n_lta) & (F.col("_lta") > 0), F.col("_sta") / F.col("_lta")).otherwise(0.0)
+        return means.select(*key, *(["_chunk"] if keep_chunk else []), index, value, cf.alias("cf"))
     if mode == "centred":
         n_sta = max(1, n_sta)
         n_lta = max(n_sta + 1, n_lta)
@@ -90,19 +75,15 @@ def sta_lta(
         "classic": {"_sta": (1 - n_sta, 0), "_lta": (1 - n_lta, 0)},
         "centred": {"_sta": _centred(n_sta), "_lta": _centred(n_lta)},
         "delayed": {"_sta": (1 - n_sta, 0), "_lta": (1 - n_sta - n_lta, -n_sta)},
-    }.get(mode)
-    back = max(-lo for lo, _ in frames.values()) if frames else 2 * _exponential_reach(max(n_sta, n_lta))
-    ahead = max(0, *(hi for _, hi in frames.values())) if frames else 0
+    }[mode]
+    back = max(-lo for lo, _ in frames.values())
+    ahead = max(0, *(hi for _, hi in frames.values()))
 
     chunked = with_halo(samples.select(*key, index, value), index, back, ahead, chunk)
     energy = lay_out_chunks(chunked, key).withColumn("_e", F.col(value).cast("double") * F.col(value))
     w = chunk_window(key, index)
-    if mode == "recursive":
-        means = _exponential_mean(energy, w, "_e", n_sta, "_sta")
-        means = _exponential_mean(means, w, "_e", n_lta, "_lta")
-    else:
-        means = moving_sums(energy, w, "_e", frames)
-        means = means.withColumns({"_sta": F.col("_sta") / n_sta, "_lta": F.col("_lta") / n_lta})
+    means = moving_sums(energy, w, "_e", frames)
+    means = means.withColumns({"_sta": F.col("_sta") / n_sta, "_lta": F.col("_lta") / n_lta})
 
     sta, lta, i = F.col("_sta"), F.col("_lta"), F.col(index)
     guarded = F.when(lta > floor, sta / lta).otherwise(0.0)
@@ -113,7 +94,6 @@ def sta_lta(
         "classic": F.when(i >= n_lta - 1, positive).otherwise(0.0),
         "centred": F.when(i < n_lta, 0.0).otherwise(sta / (lta + CENTRED_FLOOR)),
         "delayed": F.when(i >= n_sta + n_lta - 1, positive).otherwise(0.0),
-        "recursive": F.when(i >= n_lta, positive).otherwise(0.0),
     }[mode]
     out = means.where("_own").select(*key, *(["_chunk"] if keep_chunk else []), index, value, cf.alias("cf"))
     if mode == "centred":
@@ -123,6 +103,13 @@ def sta_lta(
     return out
 
 
+def _recursive_means(samples, key, n_sta, n_lta, value, index, chunk):
+    """(key, _chunk, i, v, _sta, _lta): exponential means of the energy with weights (1/n)(1-1/n)^age."""
+    packed = scan(pack(samples, key, value, index, chunk), key, exponential_means(n_sta, n_lta), feed=np.square)
+    every = lambda k: f"transform(_v, (v, j) -> _y[2 * j + {k}])"
+    return unpack(packed, key, {value: "_v", "_sta": every(0), "_lta": every(1)}, index, chunk)
+
+
 def _z_detector(samples, key, n_sta, value, index, chunk):
     chunked = lay_out_chunks(with_halo(samples.select(*key, index, value), index, n_sta - 1, 0, chunk), key)
     energy = chunked.withColumn("_e", F.col(value).cast("double") * F.col(value))

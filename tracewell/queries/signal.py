@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import conditioning as C
 from tracewell.operators import spectra as S
 from tracewell.operators import windows as W
+from tracewell.operators.recurrence import butterworth_sections
 from tracewell.queries.registry import SUPPLIER_SAMPLES, TYPE_SAMPLES, USER_SAMPLES, event_samples, query, r6, supplier_samples, table
 
 EMB = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
@@ -114,9 +115,39 @@ def f11(spark, d):
     return C.bandpass_fir(event_samples(spark, d), ["user_id"], TAPS).select("user_id", "i", r6("v").alias("v"))
 
 
-@query("F11_bandpass_butterworth")
+def filter_sql(name: str, source: str, key: str, sections, reverse: bool = False) -> str:
+    """One recursive query: the rows of ``source`` (key, i, v) through second-order sections, from either end."""
+    at, step = ("n.last", "- 1") if reverse else ("0", "+ 1")
+    n = len(sections)
+    first, later = [], []
+    for k, (b0, b1, b2, a1, a2) in enumerate(sections.tolist()):
+        # in the recursive part other names, as its columns would hide them
+        for out, z1, z2, y in ((first, "0.0", "0.0", "y"), (later, f"r.p{k}", f"r.q{k}", "w")):
+            x = "s.v" if k == 0 else f"{y}{k - 1}"
+            out += [f"{b0!r}::DOUBLE * {x} + {z1}::DOUBLE AS {y}{k}", f"{b1!r}::DOUBLE * {x} - {a1!r}::DOUBLE * {y}{k} + {z2}::DOUBLE AS p{k}",
+                    f"{b2!r}::DOUBLE * {x} - {a2!r}::DOUBLE * {y}{k} AS q{k}"]
+    ends = f"{name}_n AS (SELECT {key}, max(i) AS last FROM {source} GROUP BY 1)"
+    start = f"SELECT s.{key}, s.i, {', '.join(first)} FROM {source} s JOIN {name}_n n ON n.{key} = s.{key} AND s.i = {at}"
+    after = f"SELECT s.{key}, s.i, {', '.join(later)} FROM {name}_r r JOIN {source} s ON s.{key} = r.{key} AND s.i = r.i {step}"
+    return f"{ends},\n{name}_r AS ({start}\n  UNION ALL {after}),\n{name} AS (SELECT {key}, i, y{n - 1} AS v FROM {name}_r)"
+
+
+SECTIONS = butterworth_sections(0.5, 15.0, 40.0, 4)
+
+
+@query("F11_bandpass_butterworth", f"""WITH RECURSIVE {SUPPLIER_SAMPLES},
+{filter_sql("f", "s", "l_suppkey", SECTIONS)},
+{filter_sql("b", "f", "l_suppkey", SECTIONS, reverse=True)}
+SELECT l_suppkey, i, round(v, 6) AS v FROM b""")
 def f11_butter(spark, d):
-    return C.bandpass(supplier_samples(spark, d), ["l_suppkey"], 40.0)
+    return C.bandpass(supplier_samples(spark, d), ["l_suppkey"], 40.0, chunk=128).withColumn("v", r6("v"))
+
+
+@query("F11_bandpass_causal", f"""WITH RECURSIVE {TYPE_SAMPLES},
+{filter_sql("f", "s", "event_type", SECTIONS)}
+SELECT event_type, i, round(v, 6) AS v FROM f""")
+def f11_causal(spark, d):
+    return C.bandpass(event_samples(spark, d, "event_type"), ["event_type"], 40.0, zero_phase=False, chunk=256).withColumn("v", r6("v"))
 
 
 @query("F12_resample_mean", f"""WITH {USER_SAMPLES}

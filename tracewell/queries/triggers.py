@@ -97,6 +97,17 @@ def e07(spark, d):
     return _cf(spark, d, "recursive")
 
 
+@query("E07_sta_lta_recursive_long", f"""WITH RECURSIVE {TYPE_SAMPLES},
+r AS (SELECT event_type, i, v * v / 20 AS sta, v * v / 500 AS lta FROM s WHERE i = 0
+  UNION ALL SELECT s.event_type, s.i, s.v * s.v / 20 + r.sta * (1 - 1 / 20.0), s.v * s.v / 500 + r.lta * (1 - 1 / 500.0)
+  FROM r JOIN s ON s.event_type = r.event_type AND s.i = r.i + 1)
+SELECT event_type, i, round(CASE WHEN i >= 500 AND lta > 0 THEN sta / lta ELSE 0 END, 6) AS cf FROM r""")
+def e07_long(spark, d):
+    """Traces of thousands of rows in chunks of 256: the state goes through many of them."""
+    out = T.sta_lta(event_samples(spark, d, "event_type"), ["event_type"], 20, 500, "recursive", chunk=256)
+    return out.select("event_type", "i", r6("cf").alias("cf"))
+
+
 @query("E08_sta_lta_delayed", f"""WITH {USER_SAMPLES}
 SELECT user_id, i, round(CASE WHEN i >= 12 AND lta > 0 THEN sta / lta ELSE 0 END, 6) AS cf FROM (
   SELECT user_id, i, {_over(-2, 0)} / 3 AS sta, {_over(-12, -3)} / 10 AS lta FROM s)""")
