@@ -132,7 +132,8 @@ def test_response_removal_restores_the_ground_motion(spark):
     w0, h = 2 * np.pi, 0.7
     poles = np.array([complex(-w0 * h, w0 * np.sqrt(1 - h * h)), complex(-w0 * h, -w0 * np.sqrt(1 - h * h))])
     response = lambda f: C.response_curve(f, np.zeros(2), poles, 1.0, 2.0e3)
-    counts = C.spectral(motion, sr, response)
+    size = 1 << 14
+    counts = np.fft.irfft(np.fft.rfft(motion, size) * response(np.fft.rfftfreq(size, 1 / sr)), size)[:n]
     df = spark.createDataFrame(pd.DataFrame({"t": "x", "i": i, "v": counts}))
     ch = spark.createDataFrame([("x", 1.0, 2.0e3, [0.0, 0.0], [0.0, 0.0], poles.real.tolist(), poles.imag.tolist())],
                                "t string, norm_factor double, sensitivity double, zeros_re array<double>, zeros_im array<double>, poles_re array<double>, poles_im array<double>")
@@ -145,8 +146,43 @@ def test_response_removal_restores_the_ground_motion(spark):
     assert C.remove_response(none, ch, ["t"], ["t"], sr).count() == 0
     both = values(C.condition(df, ["t"], sr, sr, ch, chunk=1500), "x")
     steps = C.bandpass(C.remove_response(C.detrend_taper(df, ["t"]), ch, ["t"], ["t"], sr), ["t"], sr)
-    np.testing.assert_allclose(both, values(steps, "x"), atol=2e-3)
-
+    np.testing.assert_allclose(both, values(steps, "x"), atol=1e-9)
+
+
+def test_response_removal_uses_the_whole_spectrum(spark):
+    """Equal to one transform of the whole trace, water level included, however the trace is cut."""
+    sr, n = 40.0, 3000
+    x = np.random.default_rng(4).normal(size=n)
+    poles, zeros = np.array([-3 + 4j, -3 - 4j, -50 + 0j]), np.array([0j, 0j])
+    size = 8192
+    freq = np.fft.rfftfreq(size, 1 / sr)
+    h = C.response_curve(freq, zeros, poles, 2.0, 5.0)
+    floor = np.abs(h).max() * 10 ** (-10 / 20)
+    raised = np.where(np.abs(h) < floor, np.where(h == 0, 1, h / np.where(h == 0, 1, np.abs(h))) * floor, h)
+    want = np.fft.irfft(np.fft.rfft(x, size) * C.pre_filter_gain(freq, C.PRE_FILTER) / raised, size)[:n]
+    df = spark.createDataFrame(pd.DataFrame({"t": "x", "i": np.arange(n), "v": x}))
+    ch = spark.createDataFrame([("x", 2.0, 5.0, zeros.real.tolist(), zeros.imag.tolist(), poles.real.tolist(), poles.imag.tolist())],
+                               "t string, norm_factor double, sensitivity double, zeros_re array<double>, zeros_im array<double>, poles_re array<double>, poles_im array<double>")
+    for cells in (1 << 20, 512):
+        out = values(C.remove_response(df, ch, ["t"], ["t"], sr, water_level=10.0, chunk=1000, cells=cells), "x")
+        np.testing.assert_allclose(out, want, atol=1e-9)
+    more = spark.createDataFrame([("short", 0, 1.0), ("flat", 0, 1.0), ("flat", 1, 1.0), ("lost", 0, 1.0), ("lost", 1, 2.0), ("bad", 0, 1.0), ("bad", 1, 2.0)], "t string, i long, v double")
+    ch = ch.unionByName(ch.withColumns({"t": F.lit("bad"), "sensitivity": F.lit(0.0)}))
+    got = {r.t: r.status for r in C.response_status(df.unionByName(more), ch, ["t"], ["t"]).collect()}
+    assert got == {"x": "ok", "short": "too_short", "flat": "flat", "lost": "no_response", "bad": "bad_response"}
+    assert values(C.remove_response(more, ch, ["t"], ["t"], sr), "bad").size == 0
+
+
+@pytest.mark.parametrize(("ratio", "n"), [(0.4, 977), (2.5, 400), (3.0, 50), (0.3997, 977), (1 / 3, 100), (0.4, 3)])
+def test_phases_equal_the_full_kernel(ratio, n):
+    """The polyphase form against a matrix of all outputs and taps."""
+    v = np.random.default_rng(1).normal(size=n)
+    cutoff, half = min(1.0, ratio), 8
+    halo = int(np.ceil(half / cutoff)) + 1
+    first, whole = 37, 37 + n
+    j = np.arange(int(np.ceil(first * ratio)), int(whole * ratio))
+    away = j[:, None] / ratio - np.arange(first, whole)[None, :]
+    np.testing.assert_allclose(C.interpolated(v, first, j, ratio, cutoff, half, halo), C.sinc_kernel(away, cutoff, half) @ v, atol=1e-9)
 
 def test_spectrum_and_dominant_frequency(samples):
     spec = S.spectrogram(samples, ["t"], 64, 32, 40.0)

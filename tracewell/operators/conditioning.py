@@ -1,22 +1,26 @@
 """Conditioning of traces: detrend, taper, filters, resampling, instrument response.
 
 Trace-wide facts (trend, length) are one small aggregate joined back per chunk.
-Filters work on chunks with a halo as wide as their impulse response, so a
-trace of any length is filtered by many tasks; the numeric kernel inside a
-chunk is NumPy, since FFTs and long convolutions have no built-in counterpart.
+Filters with a short response work on chunks with a halo, filters with feedback
+are scanned over chunks (``recurrence``), and what needs the spectrum of a whole
+trace uses transforms over many tasks (``fourier``).  The numeric kernel inside a
+chunk is NumPy, as FFTs and long convolutions have no built-in counterpart.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.ordered import CHUNK, attach_facts, attach_trace_facts, join_facts, spread_facts, with_halo
+from tracewell.operators.fourier import CELLS, fourier_filter, fourier_resample, size_for
 from tracewell.operators.recurrence import butterworth_sections, cascade, filtered
 from tracewell.session import cut_lineage
 
@@ -106,16 +110,6 @@ def butter_gain(freq: np.ndarray, lo: float, hi: float, sr: float, order: int) -
     return 1.0 / np.sqrt(1.0 + np.abs(shape) ** (2 * order))
 
 
-def spectral(v: np.ndarray, sr: float, gain: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Multiply the spectrum of a zero-padded signal by ``gain(freq)``."""
-    size = 1 << int(np.ceil(np.log2(max(2 * len(v), 2))))
-    return np.fft.irfft(np.fft.rfft(v, size) * gain(np.fft.rfftfreq(size, 1 / sr)), size)[: len(v)]
-
-
-def band_halo(sr: float, lo: float, order: int) -> int:
-    return int(math.ceil(order * 12 * sr / lo))
-
-
 def bandpass(samples: DataFrame, key: Sequence[str], sr: float, lo: float = BAND[0], hi: float = BAND[1],
              order: int = 4, zero_phase: bool = True, value: str = "v", index: str = "i", chunk: int = CHUNK) -> DataFrame:
     """Butterworth band-pass by second-order sections, from rest.
@@ -135,9 +129,57 @@ def resample_mean(samples: DataFrame, key: Sequence[str], factor: int, value: st
     ).drop("_n")
 
 
+PHASES = 64  # filters kept for a ratio of small whole numbers
+
+
+def sinc_kernel(away: np.ndarray, cutoff: float, half: int) -> np.ndarray:
+    """The interpolation kernel at distances ``away`` (in input samples): a sinc under a raised cosine."""
+    d = away * cutoff
+    return cutoff * np.sinc(d) * np.where(np.abs(d) < half, 0.5 + 0.5 * np.cos(np.pi * d / half), 0.0)
+
+
+def interpolated(v: np.ndarray, first: int, j: np.ndarray, ratio: float, cutoff: float, half: int, halo: int) -> np.ndarray:
+    """Outputs ``j`` (consecutive) of a signal whose sample ``first`` is v[0]; samples outside v count as 0.
+
+    With a ratio up/down of small whole numbers, every ``up``-th output has the
+    same filter, moved by ``down`` samples: one filter per phase and one strided
+    sum for each of its taps, with no array larger than the outputs.  Other ratios
+    take the outputs in blocks.
+    """
+    out = np.zeros(len(j))
+    if not len(j):
+        return out
+    offsets = np.arange(-halo + 1, halo + 1)
+    fraction = Fraction(ratio).limit_denominator(10_000)
+    up, down = fraction.numerator, fraction.denominator
+    rational = up <= PHASES and abs(up / down - ratio) <= 1e-12 * ratio
+    lowest, highest = (int(j[k]) * down // up if rational else int(j[k] / ratio) for k in (0, -1))
+    before = max(0, first - (lowest - halo))
+    after = max(0, highest + halo + 2 - (first + len(v)))
+    v, first = np.pad(v, (before, after)), first - before
+    if rational:
+        for p in range(min(up, len(j))):
+            mine = out[p::up]
+            base, part = divmod(int(j[p]) * down, up)
+            start = base - first
+            for m, w in zip(offsets.tolist(), sinc_kernel(part / up - offsets, cutoff, half).tolist(), strict=True):
+                if w:
+                    mine += w * v[start + m :: down][: len(mine)]
+        return out
+    for at in range(0, len(j), 256):
+        place = j[at : at + 256] / ratio
+        base = np.floor(place).astype(np.int64)
+        kernel = sinc_kernel((place - base)[:, None] - offsets, cutoff, half)
+        out[at : at + 256] = (v[base[:, None] - first + offsets] * kernel).sum(axis=1)
+    return out
+
+
 def resample(samples: DataFrame, key: Sequence[str], sr: float, target: float = 40.0, half: int = 32, value: str = "v",
              index: str = "i", chunk: int = CHUNK, tolerance: float = 0.0) -> DataFrame:
-    """Band-limited interpolation to ``target`` Hz; unchanged when the rates agree."""
+    """Band-limited interpolation to ``target`` Hz by a local kernel; unchanged when the rates agree.
+
+    ``fourier_resample`` uses the spectrum of the whole trace instead.
+    """
     if abs(sr - target) <= tolerance:
         return samples.select(*key, index, value)
     ratio = target / sr
@@ -157,16 +199,8 @@ def resample(samples: DataFrame, key: Sequence[str], sr: float, target: float =
         # outputs whose position falls inside this chunk
         j = np.arange(math.ceil(own[0] * ratio - 1e-9), math.ceil((own[-1] + 1) * ratio - 1e-9))
         j = j[j < total]
-        at = j / ratio
-        base = np.floor(at).astype(np.int64)
-        m = base[:, None] + np.arange(-halo + 1, halo + 1)[None, :]
-        where = m - i[0]
-        known = (where >= 0) & (where < len(v))
-        x = np.where(known, v[np.clip(where, 0, len(v) - 1)], 0.0)
-        d = (at[:, None] - m) * cutoff
-        kernel = cutoff * np.sinc(d) * np.where(np.abs(d) < half, 0.5 + 0.5 * np.cos(np.pi * d / half), 0.0)
         out = {c: pdf[c].iloc[0] for c in key}
-        return pd.DataFrame({**out, index: j, value: (x * kernel).sum(axis=1)}, columns=columns)
+        return pd.DataFrame({**out, index: j, value: interpolated(v, int(i[0]), j, ratio, cutoff, half, halo)}, columns=columns)
 
     return chunked.groupBy(*key, "_chunk").applyInPandas(run, schema)
 
@@ -182,7 +216,7 @@ def response_curve(freq: np.ndarray, zeros: np.ndarray, poles: np.ndarray, facto
                    output: str = "VEL") -> np.ndarray:
     """Velocity response of a poles-and-zeros stage, for displacement or acceleration if asked."""
     s = 2j * np.pi * freq
-    h = np.full(len(freq), factor * sensitivity, dtype=complex)
+    h = np.full(np.shape(freq), factor * sensitivity, dtype=complex)
     for z in zeros:
         h *= s - z
     for p in poles:
@@ -197,73 +231,107 @@ def pre_filter_gain(freq: np.ndarray, corners: Sequence[float]) -> np.ndarray:
     return rise * fall
 
 
-def inverse_response(freq, zeros, poles, factor, sensitivity, output, corners, water_level):
-    """Inverse of the response with small amplitudes raised to the water level."""
-    h = response_curve(freq, zeros, poles, factor, sensitivity, output)
+def inverse_response(freq: np.ndarray, h: np.ndarray, floor: float, corners: Sequence[float]) -> np.ndarray:
+    """Inverse of the response ``h`` with amplitudes below ``floor`` raised to it."""
     size = np.abs(h)
-    floor = size.max() * 10 ** (-water_level / 20)
     raised = np.where(size < floor, np.where(size > 0, h / np.where(size > 0, size, 1), 1.0) * floor, h)
     return pre_filter_gain(freq, corners) / raised
 
 
+def _stage(freq: np.ndarray, own: dict, output: str) -> np.ndarray:
+    """The response that a trace's facts describe."""
+    zeros, poles = (np.asarray(own[f"{n}_re"], float) + 1j * np.asarray(own[f"{n}_im"], float) for n in ("zeros", "poles"))
+    return response_curve(freq, zeros, poles, float(own["norm_factor"]), float(own["sensitivity"]), output)
+
+
+def _largest_response(facts: DataFrame, key: Sequence[str], sr: float, output: str, cells: int) -> DataFrame:
+    """(key, _top): the largest amplitude over all frequencies of the padded trace, in blocks of them."""
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(size_for(2 * F.col("_len")) / (2 * cells)).cast("long"))).alias("_block")
+    rows = facts.select("*", size_for(2 * F.col("_len")).alias("_points"), blocks).repartition(*key, "_block")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in facts.schema.fields if f.name in key)
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for own in batch.to_pylist():
+                k = np.arange(own["_block"] * cells, min((own["_block"] + 1) * cells, own["_points"] // 2 + 1))
+                found.append(float(np.abs(_stage(k / own["_points"] * sr, own, output)).max(initial=0.0)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key], pa.array(found, pa.float64())], [*key, "_top"])
+
+    return rows.mapInArrow(top, f"{kind}, _top double").groupBy(*key).agg(F.max("_top").alias("_top"))
+
+
 def remove_response(samples: DataFrame, channels: DataFrame, key: Sequence[str], on: Sequence[str], sr: float,
                     output: str = "VEL", pre_filt: Sequence[float] = PRE_FILTER, water_level: float = WATER_LEVEL_DB,
-                    value: str = "v", index: str = "i", chunk: int = CHUNK, band: tuple[float, float] | None = None,
-                    order: int = 4, lengths: DataFrame | None = None) -> DataFrame:
-    """Spectral division by the poles-and-zeros response of the channel.
+                    value: str = "v", index: str = "i", chunk: int = CHUNK, lengths: DataFrame | None = None,
+                    cells: int = CELLS) -> DataFrame:
+    """Spectral division by the poles-and-zeros response of the channel, over the spectrum of the whole trace.
 
     ``channels``: one row per ``on`` with zeros_re/zeros_im/poles_re/poles_im
-    arrays, norm_factor and sensitivity.  Traces without a row are dropped.  The
-    response travels once per chunk (co-grouped), not once per sample.  ``band``
-    adds the zero-phase band-pass to the same pass; ``lengths`` (key, _len) saves
-    counting the samples again.
+    arrays, norm_factor and sensitivity.  Traces without a row are dropped, see
+    ``response_status``.  The water level lies below the response's largest
+    amplitude over the whole spectrum; the response travels once per block of a
+    trace, not once per sample.  ``lengths`` (key, _len) saves counting the
+    samples again.
     """
-    columns = [*key, index, value]
-    schema = samples.select(*key, F.col(index).cast("bigint").alias(index), F.col(value).cast("double").alias(value)).schema
-    halo = int(math.ceil(16 * sr / pre_filt[0])) + (band_halo(sr, band[0], order) if band else 0)
     if lengths is None:
         lengths = samples.groupBy(*key).agg((F.max(index) + 1).alias("_len"))
-    facts = lengths.join(channels, list(on), "inner")
-    spread = spread_facts(facts, "_len", chunk)
-    # fresh column identities: both sides of the co-group come from the same samples
-    spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])
-    chunked = with_halo(samples.select(*columns), index, halo, halo, chunk)
+    stage = ["zeros_re", "zeros_im", "poles_re", "poles_im", "norm_factor", "sensitivity"]
+    facts = join_facts(lengths.select(*key, "_len"), channels.select(*on, *stage), on, "inner").select(*key, "_len", *stage)
+    # no value in an array or a number: no response
+    facts = cut_lineage(facts.where(" AND ".join(f"{c} IS NOT NULL" for c in stage)))
+    top = _largest_response(facts, key, sr, output, cells)
+    facts = cut_lineage(join_facts(facts, top, key, "inner").where("_top > 0"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return left.loc[[], columns]
-        r = right.iloc[0]
-        left = left.sort_values(index)
-        zeros = np.asarray(r["zeros_re"], float) + 1j * np.asarray(r["zeros_im"], float)
-        poles = np.asarray(r["poles_re"], float) + 1j * np.asarray(r["poles_im"], float)
+    def gain(part: np.ndarray, own: dict) -> np.ndarray:
+        freq = part * sr
+        return inverse_response(freq, _stage(freq, own, output), own["_top"] * 10 ** (-water_level / 20), pre_filt)
 
-        def gain(f):
-            inverse = inverse_response(f, zeros, poles, float(r["norm_factor"]), float(r["sensitivity"]), output,
-                                       pre_filt, water_level)
-            return inverse * butter_gain(f, *band, sr, order) ** 2 if band else inverse
+    return fourier_filter(samples, key, gain, facts, value, index, chunk, cells)
 
-        out = spectral(left[value].to_numpy(dtype=float), sr, gain)
-        return left.assign(**{value: out}).loc[left["_own"], columns]
 
-    return chunked.groupBy(*key, "_chunk").cogroup(spread.groupBy(*key, "_chunk")).applyInPandas(run, schema)
+def response_status(samples: DataFrame, channels: DataFrame, key: Sequence[str], on: Sequence[str], index: str = "i",
+                    least: int = 2, value: str = "v") -> DataFrame:
+    """(key, _len, status): what conditioning makes of each trace, as a row for the ledger.
+
+    ``too_short`` (fewer than ``least`` samples), ``flat`` (no two values differ),
+    ``no_response`` (no row of ``channels``), ``bad_response`` (a missing part, or
+    a factor or sensitivity of zero), else ``ok``.
+    """
+    stage = ["zeros_re", "zeros_im", "poles_re", "poles_im", "norm_factor", "sensitivity"]
+    facts = samples.groupBy(*key).agg((F.max(index) + 1).alias("_len"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    known = channels.select(*on, F.lit(True).alias("_known"), F.expr(" AND ".join(f"{c} IS NOT NULL" for c in stage) + " AND norm_factor * sensitivity <> 0").alias("_good"))
+    rows = join_facts(facts, known, on, "left")
+    status = (
+        F.when(F.col("_len") < least, "too_short").when(F.coalesce(F.col("_low") == F.col("_high"), F.lit(True)), "flat")
+        .when(F.col("_known").isNull(), "no_response").when(~F.coalesce("_good", F.lit(False)), "bad_response").otherwise("ok")
+    )
+    return rows.select(*key, "_len", status.alias("status"))
 
 
 def condition(samples: DataFrame, key: Sequence[str], sr: float, target: float = 40.0, channels: DataFrame | None = None,
               on: Sequence[str] | None = None, p: float = 0.05, band: tuple[float, float] | None = BAND,
-              resample_first: bool = True, value: str = "v", index: str = "i", chunk: int = CHUNK) -> DataFrame:
+              resample_first: bool = True, value: str = "v", index: str = "i", chunk: int = CHUNK,
+              method: str = "sinc") -> DataFrame:
     """Resample, detrend, demean, taper, remove response, band-pass, in that order.
 
     Resampled samples are read twice (trend, then values), so they are written
-    once.  Response and band-pass share one pass over the chunks.
+    once.  ``method`` is ``sinc`` (a local kernel) or ``fourier`` (the spectrum of
+    the whole trace).  ``response_status`` says why a trace is missing here.
     """
+    def to_target(rows: DataFrame) -> DataFrame:
+        if method == "fourier":
+            return fourier_resample(rows, key, sr, target, value, index, chunk)
+        return resample(rows, key, sr, target, value=value, index=index, chunk=chunk)
+
     out = samples.select(*key, index, value)
     if resample_first and sr != target:
-        out = cut_lineage(resample(out, key, sr, target, value=value, index=index, chunk=chunk))
+        out = cut_lineage(to_target(out))
     rate = target if resample_first else sr
     lengths = out.groupBy(*key).agg((F.max(index) + 1).alias("_len"))
     out = detrend_taper(out, key, p, value, index, chunk)
     if channels is not None:
-        out = remove_response(out, channels, key, on or key, rate, value=value, index=index, chunk=chunk, band=band, lengths=lengths)
-    elif band is not None:
+        out = remove_response(out, channels, key, on or key, rate, value=value, index=index, chunk=chunk, lengths=lengths)
+    if band is not None:
         out = bandpass(out, key, rate, *band, value=value, index=index, chunk=chunk)
-    return out if resample_first else resample(out, key, sr, target, value=value, index=index, chunk=chunk)
+    return out if resample_first else to_target(out)

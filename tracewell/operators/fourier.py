@@ -212,8 +212,6 @@ def _fields(df: DataFrame, names: Sequence[str]) -> str:
 
 def _laid_out(samples: DataFrame, facts: DataFrame, key: Sequence[str], value: str, index: str, chunk: int) -> DataFrame:
     """Chunks of samples with the facts of their trace (``_len``, ``_size`` and more), written once."""
-    if chunk & (chunk - 1):
-        raise ValueError("chunk must be a power of two")
     return cut_lineage(join_facts(pack(samples, key, value, index, chunk), spread_facts(facts, "_len", chunk), [*key, "_chunk"], "inner"))
 
 
@@ -245,6 +243,7 @@ def fourier_filter(samples: DataFrame, key: Sequence[str], gain: Gain, facts: Da
     """
     facts = facts.withColumn("_size", size_for(2 * F.col("_len")))
     names = facts.columns
+    chunk = 1 << (chunk.bit_length() - 1)  # so that chunks and rows of the matrix fit each other
     steps = Steps(names, cells, chunk)
     rows = _laid_out(samples, facts, key, value, index, chunk)
 
@@ -311,6 +310,7 @@ def fourier_resample(samples: DataFrame, key: Sequence[str], sr: float, target:
     need = F.greatest(F.col("_len"), F.col("_num")) + half
     facts = facts.withColumn("_size", size_for(need))
     names = facts.columns
+    chunk = 1 << (chunk.bit_length() - 1)  # so that chunks and rows of the matrix fit each other
     steps = Steps(names, cells, chunk)
     rows = _laid_out(samples, facts, key, value, index, chunk)
     out = _whole(rows.where(F.col("_size") <= cells), names, key, lambda v, own: resampled(v, own["_num"]))

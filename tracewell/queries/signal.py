@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracewell.operators import conditioning as C
+from tracewell.operators import fourier
 from tracewell.operators import spectra as S
 from tracewell.operators import windows as W
 from tracewell.operators.recurrence import butterworth_sections
@@ -126,7 +127,9 @@ def filter_sql(name: str, source: str, key: str, sections, reverse: bool = False
             x = "s.v" if k == 0 else f"{y}{k - 1}"
             out += [f"{b0!r}::DOUBLE * {x} + {z1}::DOUBLE AS {y}{k}", f"{b1!r}::DOUBLE * {x} - {a1!r}::DOUBLE * {y}{k} + {z2}::DOUBLE AS p{k}",
                     f"{b2!r}::DOUBLE * {x} - {a2!r}::DOUBLE * {y}{k} AS q{k}"]
-    ends = f"{name}_n AS (SELECT {key}, max(i) AS last FROM {source} GROUP BY 1)"
+    # kept, as each step of the recursion reads it again
+    ends = f"{name}_s AS MATERIALIZED (SELECT {key}, i, v FROM {source}),\n{name}_n AS (SELECT {key}, max(i) AS last FROM {name}_s GROUP BY 1)"
+    source = f"{name}_s"
     start = f"SELECT s.{key}, s.i, {', '.join(first)} FROM {source} s JOIN {name}_n n ON n.{key} = s.{key} AND s.i = {at}"
     after = f"SELECT s.{key}, s.i, {', '.join(later)} FROM {name}_r r JOIN {source} s ON s.{key} = r.{key} AND s.i = r.i {step}"
     return f"{ends},\n{name}_r AS ({start}\n  UNION ALL {after}),\n{name} AS (SELECT {key}, i, y{n - 1} AS v FROM {name}_r)"
@@ -140,7 +143,7 @@ SECTIONS = butterworth_sections(0.5, 15.0, 40.0, 4)
 {filter_sql("b", "f", "l_suppkey", SECTIONS, reverse=True)}
 SELECT l_suppkey, i, round(v, 6) AS v FROM b""")
 def f11_butter(spark, d):
-    return C.bandpass(supplier_samples(spark, d), ["l_suppkey"], 40.0, chunk=128).withColumn("v", r6("v"))
+    return C.bandpass(supplier_samples(spark, d), ["l_suppkey"], 40.0).withColumn("v", r6("v"))
 
 
 @query("F11_bandpass_causal", f"""WITH RECURSIVE {TYPE_SAMPLES},
@@ -156,16 +159,34 @@ def f12(spark, d):
     return C.resample_mean(event_samples(spark, d), ["user_id"], 4).select("user_id", "i", r6("v").alias("v"))
 
 
-@query("F12_resample_general", f"""WITH {SUPPLIER_SAMPLES},
-n AS (SELECT l_suppkey, CAST(floor((max(i) + 1) * CAST(0.4 AS DOUBLE)) AS BIGINT) AS n FROM s GROUP BY 1),
+# 100 Hz to 40 Hz by the local kernel
+RESAMPLED = """n AS (SELECT l_suppkey, CAST(floor((max(i) + 1) * CAST(0.4 AS DOUBLE)) AS BIGINT) AS n FROM s GROUP BY 1),
 j AS (SELECT l_suppkey, j, j / CAST(0.4 AS DOUBLE) AS at FROM (SELECT l_suppkey, unnest(generate_series(0, n - 1)) AS j FROM n)),
-d AS (SELECT j.l_suppkey, j.j, (j.at - s.i) * CAST(0.4 AS DOUBLE) AS d, s.v FROM j JOIN s ON s.l_suppkey = j.l_suppkey AND s.i > j.at - 81 AND s.i < j.at + 81)
-SELECT l_suppkey, j AS i, round(sum(v * 0.4 * (CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) END) * (0.5 + 0.5 * cos(pi() * d / 32))), 6) AS v
-FROM d WHERE abs(d) < 32 GROUP BY 1, 2""")
+d AS (SELECT j.l_suppkey, j.j, (j.at - s.i) * CAST(0.4 AS DOUBLE) AS d, s.v FROM j JOIN s ON s.l_suppkey = j.l_suppkey AND s.i > j.at - 81 AND s.i < j.at + 81),
+x AS (SELECT l_suppkey, j AS i, sum(v * 0.4 * (CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) END) * (0.5 + 0.5 * cos(pi() * d / 32))) AS v
+  FROM d WHERE abs(d) < 32 GROUP BY 1, 2)"""
+
+
+@query("F12_resample_general", f"""WITH {SUPPLIER_SAMPLES},
+{RESAMPLED}
+SELECT l_suppkey, i, round(v, 6) AS v FROM x""")
 def f12_general(spark, d):
     return C.resample(supplier_samples(spark, d), ["l_suppkey"], 100.0, 40.0).withColumn("v", r6("v"))
 
 
+@query("F12_resample_fourier", f"""WITH {USER_SAMPLES},
+n AS (SELECT user_id, n, CAST(floor(n * CAST(40 AS DOUBLE) / 100) AS BIGINT) AS num FROM (SELECT user_id, count(*) AS n FROM s GROUP BY 1)),
+k AS (SELECT *, unnest(generate_series(0, num // 2)) AS k FROM n WHERE num > 0),
+x AS (SELECT k.user_id, k.n, k.num, k.k, sum(v * cos(2 * pi() * ((k * i) % n) / n)) AS re, -sum(v * sin(2 * pi() * ((k * i) % n) / n)) AS im
+  FROM k JOIN s USING (user_id) GROUP BY ALL),
+j AS (SELECT user_id, unnest(generate_series(0, num - 1)) AS i FROM n WHERE num > 0)
+SELECT user_id, i, round(sum((CASE WHEN k = 0 THEN 1 ELSE 2 END) * (re * cos(2 * pi() * ((k * i) % num) / num) - im * sin(2 * pi() * ((k * i) % num) / num)) / n), 6) AS v
+FROM x JOIN j USING (user_id) GROUP BY 1, 2""")
+def f12_fourier(spark, d):
+    """Blocks of 16 numbers, so that every trace takes the way of a long one."""
+    return fourier.fourier_resample(event_samples(spark, d), ["user_id"], 100.0, 40.0, chunk=32, cells=16).withColumn("v", r6("v"))
+
+
 @query("F13_sensitivity", f"""WITH {USER_SAMPLES}
 SELECT user_id, i, round(v / (1 + c_acctbal * c_acctbal), 9) AS v FROM s JOIN customer ON user_id = c_custkey""")
 def f13(spark, d):
@@ -184,9 +205,45 @@ def sensor_channels(spark, d):
         number(pole_im, -pole_im).alias("poles_im"))
 
 
-@query("F13_response_removal")
+def response_sql(name: str, source: str) -> str:
+    """The rows of ``source`` (l_suppkey, i, v at 40 Hz) divided by the response of ``sensor_channels``, by sums of sines.
+
+    The pre-filter is zero at both ends of the spectrum, so every place counts twice.
+    """
+    f1, f2, f3, f4 = C.PRE_FILTER
+    w0, damping = 2 * np.pi, 0.7
+    a, b = float(w0 * w0), float(2 * w0 * damping)
+    return f"""{name}_n AS (SELECT l_suppkey, CAST(2 ** ceil(log2(2 * count(*))) AS BIGINT) AS m, 1000 + abs(s_acctbal) AS sens
+  FROM {source} JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey, s_acctbal),
+{name}_k AS (SELECT *, 2 * pi() * 40 * k / m AS w, 40.0 * k / m AS f FROM (SELECT *, unnest(generate_series(0, m // 2)) AS k FROM {name}_n)),
+{name}_h AS (SELECT *, max(size) OVER (PARTITION BY l_suppkey) * 1e-3 AS floor FROM (SELECT *, sens * w * w / sqrt(({a!r} - w * w) ** 2 + ({b!r} * w) ** 2) AS size FROM {name}_k)),
+{name}_g AS (SELECT l_suppkey, m, k, gain * ({a!r} - w * w) / (-sens * w * w) * least(1, size / floor) AS re, gain * {b!r} * w / (-sens * w * w) * least(1, size / floor) AS im
+  FROM (SELECT *, 0.5 * (1 - cos(pi() * greatest(0, least(1, (f - {f1}) / ({f2} - {f1}))))) * 0.5 * (1 + cos(pi() * greatest(0, least(1, (f - {f3}) / ({f4} - {f3}))))) AS gain
+    FROM {name}_h WHERE k > 0) WHERE gain > 0),
+{name}_a AS (SELECT l_suppkey, m, k, re, im, v, 2 * pi() * ((k * i) % m) / m AS angle FROM {name}_g JOIN {source} USING (l_suppkey)),
+{name}_x AS MATERIALIZED (SELECT l_suppkey, m, k, any_value(re) AS re, any_value(im) AS im, sum(v * cos(angle)) AS c, sum(v * sin(angle)) AS s FROM {name}_a GROUP BY 1, 2, 3),
+{name}_b AS (SELECT l_suppkey, m, i, re * c + im * s AS re, im * c - re * s AS im, 2 * pi() * ((k * i) % m) / m AS angle FROM {name}_x JOIN {source} USING (l_suppkey)),
+{name} AS (SELECT l_suppkey, i, sum(re * cos(angle) - im * sin(angle)) * 2 / any_value(m) AS v FROM {name}_b GROUP BY 1, 2)"""
+
+
+@query("F13_response_removal", f"""WITH {SUPPLIER_SAMPLES},
+{response_sql("y", "s")}
+SELECT l_suppkey, i, round(v, 9) AS v FROM y""")
 def f13_full(spark, d):
-    return C.remove_response(supplier_samples(spark, d), sensor_channels(spark, d), ["l_suppkey"], ["l_suppkey"], 40.0)
+    out = C.remove_response(supplier_samples(spark, d), sensor_channels(spark, d), ["l_suppkey"], ["l_suppkey"], 40.0)
+    return out.withColumn("v", r6("v", 9))
+
+
+@query("F13_response_status", f"""WITH {SUPPLIER_SAMPLES}, c AS (SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN NULL WHEN s_nationkey % 5 = 1 THEN 0 ELSE 1 END AS factor FROM supplier WHERE s_nationkey % 5 < 4)
+SELECT l_suppkey, max(i) + 1 AS length, CASE WHEN max(i) + 1 < 600 THEN 'too_short' WHEN min(v) = max(v) THEN 'flat' WHEN any_value(s_suppkey) IS NULL THEN 'no_response'
+  WHEN coalesce(any_value(factor), 0) = 0 THEN 'bad_response' ELSE 'ok' END AS status FROM s LEFT JOIN c ON l_suppkey = s_suppkey GROUP BY 1""")
+def f13_status(spark, d):
+    """Channels of one nation are missing, of another without a factor, of a third with a factor of zero."""
+    nation = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % 5).alias("k"))
+    factor = F.when(F.col("k") == 0, F.lit(None).cast("double")).when(F.col("k") == 1, 0.0).otherwise(1.0)
+    channels = sensor_channels(spark, d).join(nation, "l_suppkey").where("k < 4").withColumn("norm_factor", factor)
+    out = C.response_status(supplier_samples(spark, d), channels, ["l_suppkey"], ["l_suppkey"], least=600)
+    return out.withColumnRenamed("_len", "length")
 
 
 @query("F14_condition_sql", f"WITH {USER_SAMPLES}, {TREND} SELECT user_id, i, round((v - (a + b * i)) * {TAPER}, 6) AS v FROM s JOIN r USING (user_id)")
@@ -195,9 +252,17 @@ def f14(spark, d):
     return out.select("user_id", "i", r6("v").alias("v"))
 
 
-@query("F14_condition_full")
+@query("F14_condition_full", f"""WITH RECURSIVE {SUPPLIER_SAMPLES},
+{RESAMPLED},
+r AS (SELECT l_suppkey, regr_slope(v, i) AS b, regr_intercept(v, i) AS a, max(i) + 1 AS n FROM x GROUP BY 1),
+z AS (SELECT l_suppkey, i, (v - (a + b * i)) * {TAPER} AS v FROM x JOIN r USING (l_suppkey)),
+{response_sql("y", "z")},
+{filter_sql("f", "y", "l_suppkey", SECTIONS)},
+{filter_sql("g", "f", "l_suppkey", SECTIONS, reverse=True)}
+SELECT l_suppkey, i, round(v, 9) AS v FROM g""")
 def f14_full(spark, d):
-    return C.condition(supplier_samples(spark, d), ["l_suppkey"], 100.0, 40.0, sensor_channels(spark, d))
+    """Resample, detrend, taper, remove the response, band-pass from both ends."""
+    return C.condition(supplier_samples(spark, d), ["l_suppkey"], 100.0, 40.0, sensor_channels(spark, d)).withColumn("v", r6("v", 9))
 
 
 DFT = """b AS (SELECT j, p, cos(2 * pi() * j * p / {n}) AS c, sin(2 * pi() * j * p / {n}) AS s FROM
