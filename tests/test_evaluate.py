@@ -9,7 +9,7 @@ from tracewell.operators.drift import ks_two_sample
 from tracewell.operators.intervals import label_overlap, match_detections
 from tracewell.operators.ordered import order_statistics
 from tracewell.operators.stats import box_stats, histogram
-from tracewell.operators.trigger import sta_lta
+from tracewell.operators.trigger import sta_lta, trigger
 
 
 def frame(spark, scores, labels):
@@ -122,8 +122,16 @@ def test_sweep_grid_and_best_axis(spark):
     out = E.sweep(s, t, ["k"], 10.0, tol=5.0, chunk=128)
     pdf = out.toPandas().sort_values("setting")
     assert len(pdf) == 17 and pdf.groupby("axis").size().to_dict() == {"sta": 5, "lta": 5, "on": 7}
-    one = E.sweep(s, t, ["k"], 10.0, E.sweep_settings(10.0)[:1], tol=5.0).first()
-    assert one["n_alarms"] == pdf.n_alarms.iloc[0] and one["auc"] == pytest.approx(pdf.auc.iloc[0])
+    # the same with every trace in one chunk, where the quantiles come from the kernel
+    whole = E.sweep(s, t, ["k"], 10.0, tol=5.0).toPandas().sort_values("setting")
+    pd.testing.assert_frame_equal(pdf.reset_index(drop=True), whole[pdf.columns].reset_index(drop=True))
+    # and each setting alone through the trigger and its scores
+    for setting in E.sweep_settings(10.0)[:3]:
+        cf = sta_lta(s, ["k"], setting["n_sta"], setting["n_lta"])
+        alone = trigger(cf, ["k"], setting["on"], setting["on"] / 2, 10).count()
+        scored = E.score_trigger(cf, t, ["k"], 10.0, tol=5.0)
+        row = pdf[pdf.setting == setting["setting"]].iloc[0]
+        assert alone == row.n_alarms and E.auc(E.curve(scored)).first()["auc"] == pytest.approx(row.auc)
     assert E.best_per_axis(out).count() == 3
 
 

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.intervals import match_detections
 from tracewell.operators.ordered import (
     CHUNK,
+    DIRECT_FRAME,
     attach_trace_facts,
     chunk_window,
+    join_facts,
     lay_out_chunks,
     moving_sums,
     order_statistics,
     ranged,
     running,
     side_by_side,
+    spread_facts,
     with_halo,
 )
 from tracewell.operators.select import argmax_row
-from tracewell.operators.trigger import to_seconds, trigger
+from tracewell.operators.trigger import events_from_edges, to_seconds
+from tracewell.session import cut_lineage
 
 NORM_FLOOR = 1e-10  # fixed value added to the normalising percentile
 TOLERANCE_S = 15.0
@@ -205,23 +211,122 @@ def cf_grid(samples: DataFrame, key: Sequence[str], settings: Sequence[dict], fl
     )
 
 
+def trailing_sums(e: np.ndarray, lengths: Sequence[int]) -> dict[int, np.ndarray]:
+    """Sums of the last n values for several n, as ``moving_sums`` adds them up: from sums of 1, 2, 4, ... values."""
+    back = lambda x, by: np.concatenate([np.zeros(min(by, len(x))), x[: max(0, len(x) - by)]])
+    powers, out = {1: e}, {}
+    for n in sorted(lengths):
+        if n <= DIRECT_FRAME:
+            out[n] = sum(back(e, k) for k in reversed(range(n)))
+            continue
+        while 2 * max(powers) <= n:
+            k = max(powers)
+            powers[2 * k] = powers[k] + back(powers[k], k)
+        offset, total = 0, 0.0
+        for bit in reversed(range(n.bit_length())):
+            if n >> bit & 1:
+                total = total + back(powers[1 << bit], offset)
+                offset += 1 << bit
+        out[n] = total
+    return out
+
+
+def _sweep_chunks(samples: DataFrame, zones: DataFrame, key: Sequence[str], settings: Sequence[dict], guard: int, floor: float,
+                  value: str, index: str, chunk: int) -> DataFrame:
+    """One row per chunk and setting, from one pass over the samples.
+
+    _i and _mark hold the positions where the on/off mark of the setting changes,
+    _tail the chunk's last position, _near and _far the largest ratio inside and
+    outside the zone of the truth (null without rows there), _p95 the quantile of a
+    trace that is one chunk.
+    """
+    lengths = sorted({s["n_sta"] for s in settings} | {s["n_lta"] for s in settings})
+    row = F.struct(F.col(index).alias("i"), F.col("_own").alias("own"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    chunked = with_halo(samples.select(*key, index, value), index, max(lengths), 0, chunk).groupBy(*key, "_chunk").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    rows = join_facts(chunked, spread_facts(zones, "_len", chunk), [*key, "_chunk"], "inner")
+    ids, ons = [s["setting"] for s in settings], np.array([s["on"] for s in settings])
+    same = [f for f in rows.schema.fields if f.name in (*key, "_chunk", "_len")]
+    long, real = pa.int64(), pa.float64()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                part = batch.column("_rows")[r].values
+                i, own, v = (part.field(c).to_numpy(zero_copy_only=False) for c in ("i", "own", "v"))
+                sums = trailing_sums(v * v, lengths)
+                i, n = i[own], int(own.sum())
+                cf = np.zeros((n, len(settings)))
+                for k, s in enumerate(settings):
+                    sta, lta = sums[s["n_sta"]][own] / s["n_sta"], sums[s["n_lta"]][own] / s["n_lta"]
+                    np.divide(sta, lta, out=cf[:, k], where=lta > floor)
+                mark = np.where(cf > ons, 1, np.where(cf < ons / 2, 0, -1))
+                # the place of the last mark so far; a mark is an edge if it differs from the one before
+                last = np.maximum.accumulate(np.where(mark >= 0, np.arange(n)[:, None], -1), axis=0)
+                before = np.vstack([np.full((1, len(settings)), -1), last[:-1]])
+                earlier = np.where(before >= 0, np.take_along_axis(mark, np.maximum(before, 0), 0), -1)
+                edge = (mark >= 0) & (mark != earlier)
+                low, high, length = (batch.column(c)[r].as_py() for c in ("_i0", "_i1", "_len"))
+                columns = {"setting": [], "_i": [], "_mark": [], "_tail": [], "_near": [], "_far": [], "_p95": []}
+                near = far = np.zeros(n, bool)
+                if low is not None:
+                    near = (i >= low) & (i < high)
+                    far = ~((i >= max(0, low - guard)) & (i < min(length, high + guard)))
+                for k, setting in enumerate(ids):
+                    at = np.flatnonzero(edge[:, k])
+                    largest = lambda rows: float(cf[rows, k].max()) if rows.any() else None  # noqa: E731, B023
+                    quantile = float(np.quantile(cf[:, k], 0.95)) if low is not None and n == length else None
+                    for name, x in zip(columns, (setting, i[at], mark[at, k], int(i[-1]), largest(near), largest(far), quantile), strict=True):
+                        columns[name].append(x)
+                kinds = [long, pa.list_(long), pa.list_(long), long, real, real, real]
+                fixed = [pa.concat_arrays([batch.column(f.name).slice(r, 1)] * len(ids)) for f in same]
+                yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(x, t) for x, t in zip(columns.values(), kinds, strict=True)]], [*[f.name for f in same], *columns])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in same)
+    return rows.mapInArrow(kernel, f"{fields}, setting long, _i array<long>, _mark array<long>, _tail long, _near double, _far double, _p95 double")
+
+
 def sweep(samples: DataFrame, truth: DataFrame, key: Sequence[str], sr: float, settings: Sequence[dict] | None = None,
           min_dur: float = 1.0, tol: float = TOLERANCE_S, with_auc: bool = True, value: str = "v", index: str = "i",
-          chunk: int = CHUNK) -> DataFrame:
-    """Quality per setting: alarms, precision, recall, F1, and ROC-AUC of the scores."""
+          chunk: int = CHUNK, guard: int = GUARD_ROWS, at: str = "t", floor: float = 1e-20) -> DataFrame:
+    """Quality per setting: alarms, precision, recall, F1, and ROC-AUC of the scores.
+
+    All settings share one pass over the samples: a task has the ratios of its
+    chunk for all of them side by side and sends on, per setting, the rows where
+    its on/off mark changes and a few maxima.  The normalising quantile of a trace
+    longer than a chunk is counted over its chunks.  Null values count as 0.
+    """
     settings = settings or sweep_settings(sr)
-    grid = cf_grid(samples, key, settings, value=value, index=index, chunk=chunk)
     keys = [*key, "setting"]
-    found = trigger(grid, keys, F.col("on"), F.col("on") / 2, int(min_dur * sr), index=index, chunk=chunk)
-    ids = F.array(*[F.lit(s["setting"]) for s in settings])
+    lengths = samples.groupBy(*key).agg((F.max(index) + 1).alias("_len"))
+    bound = lambda t: (t * sr).cast("bigint")
+    zones = join_facts(lengths, truth.select(*key, F.col(at).alias("_t")), key, "left").select(
+        *key, "_len", F.greatest(F.lit(0), bound(F.col("_t") - tol)).alias("_low"), F.least(F.col("_len"), bound(F.col("_t") + tol)).alias("_high"), "_t"
+    )
+    # greatest and least skip nulls: no truth, no zone
+    zones = zones.select(*key, "_len", *[F.when(F.col("_t").isNotNull(), F.col(c)).alias(n) for c, n in (("_low", "_i0"), ("_high", "_i1"))])
+    parts = cut_lineage(_sweep_chunks(samples, zones, key, settings, guard, floor, value, index, chunk))
+    changes = parts.select(*keys, "_chunk", F.posexplode(F.arrays_zip("_i", "_mark")).alias("_pos", "_e"))
+    changes = changes.select(*keys, "_chunk", "_e._i", F.col("_e._mark").alias("_mark"), F.when(F.col("_pos") > 0, 1 - F.col("_e._mark")).alias("_prev"), F.lit(True).alias("_edge"))
+    tails = parts.select(*keys, "_chunk", F.col("_tail").alias("_i"), F.lit(None).cast("long").alias("_mark"), F.lit(None).cast("long").alias("_prev"), F.lit(False).alias("_edge"))
+    found = events_from_edges(changes.unionByName(tails), keys, int(min_dur * sr))
+    ids = F.array(*[F.lit(s["setting"]).cast("long") for s in settings])
     truths = truth.withColumn("setting", F.explode(ids))
     hit, seen = match_detections(to_seconds(found, sr), truths, keys, tol, width=chunk / sr)
     out = trigger_quality(hit, seen, ["setting"])
     if with_auc:
-        scores = score_trigger(grid, truths, keys, sr, tol, index=index, chunk=chunk)
+        best = parts.groupBy(*keys).agg(F.max("_near").alias("_near"), F.max("_far").alias("_far"), F.max("_p95").alias("_p95"))
+        best = join_facts(best, zones.where("_i0 IS NOT NULL").select(*key, "_len"), key, "inner")
+        long = zones.where((F.col("_len") > chunk) & F.col("_i0").isNotNull()).select(*key)
+        if long.head(1):
+            grid = cf_grid(samples.join(long, list(key), "left_semi"), key, settings, floor, value, index, chunk)
+            counted = order_statistics(grid, keys, "cf", {"_counted": 0.95})
+            best = join_facts(best, counted, keys, "left").withColumn("_p95", F.coalesce("_p95", "_counted"))
+        scaled = lambda c: F.coalesce(F.col(c) / (F.col("_p95") + NORM_FLOOR), F.lit(0.0))
+        pair = F.array(F.struct(F.lit(1).alias("label"), scaled("_near").alias("score")), F.struct(F.lit(0).alias("label"), scaled("_far").alias("score")))
+        scores = best.select(*keys, F.explode(pair).alias("_s")).select(*keys, "_s.label", "_s.score")
         out = out.join(auc(curve(scores, ["setting"]), ["setting"]), "setting", "left").na.fill(0.0, ["auc"])
-    axis = F.create_map(*[v for s in settings for v in (F.lit(s["setting"]), F.lit(s["axis"]))])
-    varied = F.create_map(*[v for s in settings for v in (F.lit(s["setting"]), F.lit(s["varied"]))])
+    axis = F.create_map(*[v for s in settings for v in (F.lit(s["setting"]).cast("long"), F.lit(s["axis"]))])
+    varied = F.create_map(*[v for s in settings for v in (F.lit(s["setting"]).cast("long"), F.lit(s["varied"]))])
     return out.withColumns({"axis": axis[F.col("setting")], "varied": varied[F.col("setting")]})
 
 

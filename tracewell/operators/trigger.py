@@ -171,6 +171,16 @@ def trigger(
     # few rows are left; this shuffle of them is shared by the summary and the pairing, so
     # the ratio is computed once (a repartition in the samples' own layout would be dropped)
     edges = marked.withColumn("_edge", changed).where("_edge OR _tail").repartition("_chunk", *key)
+    return events_from_edges(edges, key, min_n, close_open)
+
+
+def events_from_edges(edges: DataFrame, key: Sequence[str], min_n: int = 0, close_open: bool = True) -> DataFrame:
+    """(key, on_i, off_i) from the rows of each chunk where the mark changes, and its last row.
+
+    ``edges``: key, _chunk, _i, _mark (1 on, 0 off), _prev (the mark before it in
+    the chunk), _edge (false for a last row without a change).
+    """
+    inside = Window.partitionBy(*key, "_chunk").orderBy("_i")
     summary = edges.groupBy(*key, "_chunk").agg(
         F.max_by("_mark", F.when(F.col("_edge"), F.col("_i"))).alias("_last"),
         F.min(F.when(F.col("_edge") & (F.col("_mark") == 0), F.col("_i"))).alias("_first_off"),

@@ -145,24 +145,31 @@ def g20(spark, d):
 SWEEP = [(3, 8, 1.5), (3, 10, 1.5), (3, 15, 1.5), (2, 10, 1.5), (5, 10, 1.5), (3, 10, 1.2), (3, 10, 2.0)]
 
 
-def _sweep_cf():
+def _sweep_cf(settings=SWEEP):
     parts = [f"SELECT {j} AS setting, user_id, i, {on} AS th, sum(v * v) OVER (PARTITION BY user_id ORDER BY i ROWS {a - 1} PRECEDING) / {a} AS sta, "
-             f"sum(v * v) OVER (PARTITION BY user_id ORDER BY i ROWS {b - 1} PRECEDING) / {b} AS lta FROM s" for j, (a, b, on) in enumerate(SWEEP)]
+             f"sum(v * v) OVER (PARTITION BY user_id ORDER BY i ROWS {b - 1} PRECEDING) / {b} AS lta FROM s" for j, (a, b, on) in enumerate(settings)]
     return " UNION ALL ".join(parts)
 
 
-@query("G21_parameter_sweep", f"""WITH {USER_SAMPLES}, a AS ({_sweep_cf()}),
+def _sweep_sql(settings, tol):
+    """Detections of every setting and how they meet the truth: cf, t (truth) and q (setting, n_alarms, n_hits, n_truth, n_found)."""
+    meets = f"(abs(t_on - t) <= {tol} OR (t_on <= t AND t <= t_off))"
+    return f"""a AS ({_sweep_cf(settings)}),
 cf AS (SELECT setting, user_id, i, th, CASE WHEN lta > 1e-20 THEN sta / lta ELSE 0 END AS cf FROM a),
 st AS (SELECT setting, user_id, i, coalesce(last_value(CASE WHEN cf > th THEN 1 WHEN cf < th / 2 THEN 0 END IGNORE NULLS) OVER (PARTITION BY setting, user_id ORDER BY i), 0) AS on_ FROM cf),
 ed AS (SELECT *, CASE WHEN on_ <> lag(on_, 1, 0) OVER (PARTITION BY setting, user_id ORDER BY i) THEN 1 ELSE 0 END AS e FROM st),
 rn AS (SELECT *, sum(e) OVER (PARTITION BY setting, user_id ORDER BY i) AS r FROM ed),
 det AS (SELECT setting, user_id, min(i) / 2.0 AS t_on, (max(i) + 1) / 2.0 AS t_off FROM rn WHERE on_ = 1 GROUP BY setting, user_id, r HAVING max(i) + 1 - min(i) >= 2),
 t AS (SELECT g.setting, user_id, t FROM (SELECT user_id, min(i) / 2.0 AS t FROM s WHERE event_type = 'error' AND i >= 10 GROUP BY 1), (SELECT DISTINCT setting FROM a) g),
-f AS (SELECT setting, EXISTS (SELECT 1 FROM det WHERE det.setting = t.setting AND det.user_id = t.user_id AND (abs(t_on - t) <= 2 OR (t_on <= t AND t <= t_off))) AS found FROM t),
-h AS (SELECT setting, EXISTS (SELECT 1 FROM t WHERE det.setting = t.setting AND det.user_id = t.user_id AND (abs(t_on - t) <= 2 OR (t_on <= t AND t <= t_off))) AS hit FROM det)
-SELECT setting, n_alarms, n_hits, n_truth, n_found, round(2 * (n_found / n_truth) / (1 + n_found / n_truth), 8) AS f1_no_false_alarms
-FROM (SELECT setting, count(*) AS n_alarms, count(*) FILTER (hit) AS n_hits FROM h GROUP BY 1)
-JOIN (SELECT setting, count(*) AS n_truth, count(*) FILTER (found) AS n_found FROM f GROUP BY 1) USING (setting)""")
+f AS (SELECT setting, EXISTS (SELECT 1 FROM det WHERE det.setting = t.setting AND det.user_id = t.user_id AND {meets}) AS found FROM t),
+h AS (SELECT setting, EXISTS (SELECT 1 FROM t WHERE det.setting = t.setting AND det.user_id = t.user_id AND {meets}) AS hit FROM det),
+q AS (SELECT setting, coalesce(n_alarms, 0) AS n_alarms, coalesce(n_hits, 0) AS n_hits, n_truth, n_found
+  FROM (SELECT setting, count(*) AS n_truth, count(*) FILTER (found) AS n_found FROM f GROUP BY 1)
+  LEFT JOIN (SELECT setting, count(*) AS n_alarms, count(*) FILTER (hit) AS n_hits FROM h GROUP BY 1) USING (setting))"""
+
+
+@query("G21_parameter_sweep", f"""WITH {USER_SAMPLES}, {_sweep_sql(SWEEP, 2)}
+SELECT setting, n_alarms, n_hits, n_truth, n_found, round(2 * (n_found / n_truth) / (1 + n_found / n_truth), 8) AS f1_no_false_alarms FROM q""")
 def g21(spark, d):
     s = event_samples(spark, d, extra=("event_type",))
     settings = [{"setting": j, "axis": "all", "varied": float(j), "n_sta": a, "n_lta": b, "on": float(on)} for j, (a, b, on) in enumerate(SWEEP)]
@@ -170,11 +177,40 @@ def g21(spark, d):
     return out.select("setting", "n_alarms", "n_hits", "n_truth", "n_found", r6("f1_no_false_alarms", 8).alias("f1_no_false_alarms"))
 
 
-@query("G21_sweep_with_auc")
+# AUC of the scores of each setting: how often an event scores above a noise, ties counting half
+AUC_SQL = """n AS (SELECT user_id, max(i) + 1 AS len FROM s GROUP BY 1),
+z AS (SELECT setting, t.user_id, len, greatest(0, trunc((t - 4) * 2)) AS i0, least(len, trunc((t + 4) * 2)) AS i1 FROM t JOIN n USING (user_id)),
+p AS (SELECT setting, user_id, quantile_cont(cf, 0.95) + 1e-10 AS p95 FROM cf GROUP BY 1, 2),
+sc AS (SELECT z.setting, z.user_id, coalesce(max(cf / p95) FILTER (i >= i0 AND i < i1), 0) AS event,
+    coalesce(max(cf / p95) FILTER (NOT (i >= greatest(0, i0 - 20) AND i < least(len, i1 + 20))), 0) AS noise
+  FROM z JOIN cf USING (setting, user_id) JOIN p USING (setting, user_id) GROUP BY 1, 2),
+u AS (SELECT x.setting, avg(CASE WHEN x.event > y.noise THEN 1 WHEN x.event = y.noise THEN 0.5 ELSE 0 END) AS auc FROM sc x JOIN sc y USING (setting) GROUP BY 1)"""
+
+
+AUC_SWEEP = E.sweep_settings(2.0)
+
+
+@query("G21_sweep_with_auc", f"""WITH {USER_SAMPLES}, {_sweep_sql([(s["n_sta"], s["n_lta"], s["on"]) for s in AUC_SWEEP], 4)},
+{AUC_SQL},
+g AS (SELECT * FROM (VALUES {", ".join(f"({s['setting']}, '{s['axis']}', {s['varied']}::DOUBLE)" for s in AUC_SWEEP)}) v(setting, axis, varied))
+SELECT setting, axis, varied, n_alarms, n_hits, n_truth, n_found, round(2 * (n_found / n_truth) / (1 + n_found / n_truth), 8) AS f1_no_false_alarms, round(auc, 8) AS auc
+FROM g JOIN q USING (setting) JOIN u USING (setting)""")
 def g21_auc(spark, d):
     """The full one-at-a-time sweep of 17 settings with ROC-AUC per setting."""
     s = event_samples(spark, d, extra=("event_type",))
-    return E.sweep(s, first_errors(s), U, 2.0, E.sweep_settings(2.0), tol=4.0)
+    out = E.sweep(s, first_errors(s), U, 2.0, AUC_SWEEP, tol=4.0)
+    return out.select("setting", "axis", "varied", "n_alarms", "n_hits", "n_truth", "n_found", r6("f1_no_false_alarms", 8).alias("f1_no_false_alarms"), r6("auc", 8).alias("auc"))
+
+
+@query("G21_grid", f"""WITH {USER_SAMPLES}, {_sweep_sql([(a, b, c) for a in (1, 2, 3, 4, 6) for b in (8, 10, 15, 20, 30) for c in (1.21, 1.53, 1.79, 2.03, 2.47, 3.1, 4.1)], 2)}
+SELECT setting, n_alarms, n_hits, n_truth, n_found FROM q""")
+def g21_grid(spark, d):
+    """All 175 settings of a grid in one pass over the samples."""
+    grid = [(a, b, c) for a in (1, 2, 3, 4, 6) for b in (8, 10, 15, 20, 30) for c in (1.21, 1.53, 1.79, 2.03, 2.47, 3.1, 4.1)]
+    settings = [{"setting": j, "axis": "all", "varied": float(j), "n_sta": a, "n_lta": b, "on": c} for j, (a, b, c) in enumerate(grid)]
+    s = event_samples(spark, d, extra=("event_type",))
+    out = E.sweep(s, first_errors(s), U, 2.0, settings, min_dur=1.0, tol=2.0, with_auc=False)
+    return out.select("setting", "n_alarms", "n_hits", "n_truth", "n_found")
 
 
 @query("G22_method_comparison", f"""WITH {SCORES}, c AS (SELECT count(*) FILTER (score > 1500 AND label = 0) AS fp, count(*) FILTER (score <= 1500 AND label = 1) AS fn,
