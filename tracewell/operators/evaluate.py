@@ -266,20 +266,22 @@ def _sweep_chunks(samples: DataFrame, zones: DataFrame, key: Sequence[str], sett
                 earlier = np.where(before >= 0, np.take_along_axis(mark, np.maximum(before, 0), 0), -1)
                 edge = (mark >= 0) & (mark != earlier)
                 low, high, length = (batch.column(c)[r].as_py() for c in ("_i0", "_i1", "_len"))
-                columns = {"setting": [], "_i": [], "_mark": [], "_tail": [], "_near": [], "_far": [], "_p95": []}
                 near = far = np.zeros(n, bool)
                 if low is not None:
                     near = (i >= low) & (i < high)
                     far = ~((i >= max(0, low - guard)) & (i < min(length, high + guard)))
-                for k, setting in enumerate(ids):
-                    at = np.flatnonzero(edge[:, k])
-                    largest = lambda rows: float(cf[rows, k].max()) if rows.any() else None  # noqa: E731, B023
-                    quantile = float(np.quantile(cf[:, k], 0.95)) if low is not None and n == length else None
-                    for name, x in zip(columns, (setting, i[at], mark[at, k], int(i[-1]), largest(near), largest(far), quantile), strict=True):
-                        columns[name].append(x)
-                kinds = [long, pa.list_(long), pa.list_(long), long, real, real, real]
-                fixed = [pa.concat_arrays([batch.column(f.name).slice(r, 1)] * len(ids)) for f in same]
-                yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(x, t) for x, t in zip(columns.values(), kinds, strict=True)]], [*[f.name for f in same], *columns])
+                none = [None] * len(ids)
+                largest = lambda rows: cf[rows].max(axis=0) if rows.any() else none  # noqa: E731, B023
+                quantiles = np.quantile(cf, 0.95, axis=0) if low is not None and n == length else none
+                k, at = np.nonzero(edge.T)  # the edges of one setting after the other
+                offsets = pa.array(np.searchsorted(k, np.arange(len(ids) + 1)), pa.int32())
+                columns = {
+                    "setting": pa.array(ids, long), "_i": pa.ListArray.from_arrays(offsets, pa.array(i[at])),
+                    "_mark": pa.ListArray.from_arrays(offsets, pa.array(mark[at, k].astype(np.int64))), "_tail": pa.array([int(i[-1])] * len(ids), long),
+                    "_near": pa.array(largest(near), real), "_far": pa.array(largest(far), real), "_p95": pa.array(quantiles, real),
+                }
+                fixed = [batch.column(f.name).take(pa.array([r] * len(ids))) for f in same]
+                yield pa.RecordBatch.from_arrays([*fixed, *columns.values()], [*[f.name for f in same], *columns])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in same)
     return rows.mapInArrow(kernel, f"{fields}, setting long, _i array<long>, _mark array<long>, _tail long, _near double, _far double, _p95 double")
