@@ -76,8 +76,8 @@ def test_dense_training_lowers_the_loss(spark, windows, tmp_path):
 
 
 def test_steps_do_not_depend_on_partitions(spark, windows, monkeypatch):
-    calls, real = [], M._summed_gradient
-    monkeypatch.setattr(M, "_summed_gradient", lambda *a: calls.append(1) or real(*a))
+    calls, real = [], M._summed_gradients
+    monkeypatch.setattr(M, "_summed_gradients", lambda *a: calls.append(1) or real(*a))
     train = windows.where("label = 0 AND split = 'train'")
     fits = []
     for parts in (2, 8):
@@ -88,6 +88,31 @@ def test_steps_do_not_depend_on_partitions(spark, windows, monkeypatch):
         np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-9)
 
 
+def test_search_with_pruning(spark, windows, monkeypatch):
+    """Fifty trials take the jobs of one fit, the survivor is what it would be alone, failures are null."""
+    calls, real = [], M._summed_gradients
+    monkeypatch.setattr(M, "_summed_gradients", lambda *a: calls.append(len(a[1])) or real(*a))
+    train, val = windows.where("label = 0 AND split = 'train'"), windows.where("label = 0 AND split = 'val'")
+    rates = np.random.default_rng(3).permutation(np.geomspace(1e-5, 0.05, 47))
+    options = [{"layers": (16, 8, 3), "lr": float(r), "dropout": 0.1 * (k % 2)} for k, r in enumerate(rates)]
+    options += [{"layers": (15, 3), "lr": 0.01}, {"layers": (16, 4), "lr": 1e200}, {"layers": (16, 6, 2), "lr": 0.02, "out": "tanh"}]
+    table, best = M.search_dense(train, val, options, epochs=6, rungs=(1, 2, 4), keep=0.25, batch=100)
+    pdf = table.toPandas().sort_values("trial")
+    assert len(pdf) == 50 and pdf.status.iloc[47] == pdf.status.iloc[48] == "failed" and pdf.val_loss[pdf.status == "failed"].isna().all()
+    done = pdf[pdf.status == "done"]
+    assert len(done) == 1 and done.epochs.iloc[0] == 6 and set(pdf.epochs[pdf.status == "pruned"]) == {1, 2, 4}
+    assert calls[0] == 49 and calls[-1] == 1 and len(calls) <= 6 * 3
+    option = options[int(done.trial.iloc[0])]
+    alone = M.fit_dense_ae(train, val, epochs=6, batch=100, **option)
+    assert alone.history[-1]["val_loss"] == pytest.approx(best.history[-1]["val_loss"], rel=1e-6)
+    for a, b in zip(alone.weights, best.weights):
+        np.testing.assert_allclose(a, b, rtol=1e-5, atol=1e-8)
+    # weights that don't fit one broadcast travel in several, with the same result
+    monkeypatch.setattr(M, "TOGETHER", 600)
+    again, _ = M.search_dense(train, val, options[:4], epochs=2, rungs=(), batch=100)
+    assert [h for h in again.toPandas().val_loss] == pytest.approx([min(M.fit_dense_ae(train, val, epochs=2, batch=100, **o).history, key=lambda h: h["val_loss"])["val_loss"] for o in options[:4]], rel=1e-6)
+
+
 def test_search_excludes_failed_fits(spark, windows):
     out = M.search(windows.where("split = 'train'"), windows.where("split = 'val'"), [3, 99], [95.0, 99.0]).toPandas()
     assert len(out) == 4 and out[out.k == 99].f1.isna().all() and out[out.k == 3].f1.min() > 0.8

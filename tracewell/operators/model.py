@@ -7,6 +7,7 @@ weight arrays whose size depends on the window length, never on the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -207,12 +208,79 @@ def fit_dense_ae(train: DataFrame, val: DataFrame, layers: Sequence[int] = (400,
     Training stops early after ``patience`` epochs without a better validation loss,
     the rate is halved every ``plateau`` such epochs, and the best weights are kept.
     """
-    rng = np.random.default_rng(seed)
-    sizes = [*layers, *reversed(layers[:-1])]
-    shapes = list(zip(sizes[:-1], sizes[1:]))
-    weights = [rng.uniform(-1, 1, s) * np.sqrt(6 / sum(s)) for s in shapes]
-    flat = np.concatenate([v for w in weights for v in (w.ravel(), np.zeros(w.shape[1]))])
-    spark = train.sparkSession
+    trial = Trial(layers, lr, dropout, out, seed, plateau, patience)
+    train_trials([trial], train, val, epochs, batch, steps, seed, x)
+    return trial.model()
+
+
+class Trial:
+    """One dense autoencoder in training: its weights, Adam's state and its course so far."""
+
+    def __init__(self, layers: Sequence[int], lr: float = 1e-3, dropout: float = 0.0, out: str = "linear", seed: int = 42,
+                 plateau: int = 7, patience: int = 10):
+        sizes = [*layers, *reversed(layers[:-1])]
+        rng = np.random.default_rng(seed)
+        self.shapes = list(zip(sizes[:-1], sizes[1:]))
+        weights = [rng.uniform(-1, 1, s) * np.sqrt(6 / sum(s)) for s in self.shapes]
+        self.flat = np.concatenate([v for w in weights for v in (w.ravel(), np.zeros(w.shape[1]))])
+        self.layers, self.lr, self.dropout, self.out, self.seed, self.plateau, self.patience = list(layers), lr, dropout, out, seed, plateau, patience
+        self.m1, self.m2, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        self.best, self.best_loss, self.since, self.loss, self.history = self.flat.copy(), np.inf, 0, 0.0, []
+        self.status = "live"  # live, done (early or by the last epoch), pruned, failed
+
+    def step(self, g: np.ndarray, loss: float, count: int) -> None:
+        self.loss += loss
+        self.t += 1
+        g = g / count
+        with np.errstate(all="ignore"):  # a trial that fails is found out by its loss
+            self.m1 = 0.9 * self.m1 + 0.1 * g
+            self.m2 = 0.999 * self.m2 + 0.001 * g * g
+            self.flat = self.flat - self.lr * (self.m1 / (1 - 0.9**self.t)) / (np.sqrt(self.m2 / (1 - 0.999**self.t)) + 1e-8)
+
+    def end_epoch(self, epoch: int, n: int, val_loss: float) -> None:
+        self.history.append({"epoch": epoch, "loss": self.loss / max(n, 1), "val_loss": float(val_loss), "lr": self.lr})
+        self.loss = 0.0
+        if not np.isfinite(val_loss):
+            self.status = "failed"
+        elif val_loss < self.best_loss:
+            self.best, self.best_loss, self.since = self.flat.copy(), val_loss, 0
+        else:
+            self.since += 1
+            if self.since % self.plateau == 0:
+                self.lr /= 2
+            if self.since >= self.patience:
+                self.status = "done"
+
+    def model(self) -> DenseModel:
+        return DenseModel(*_unflatten(self.best, self.shapes), self.out, self.history)
+
+
+TOGETHER = 1 << 24  # weights that travel in one broadcast
+
+
+def _parties(trials: Sequence[Trial]) -> list[list[Trial]]:
+    """Live trials in groups whose weights fit one broadcast."""
+    out, size = [[]], 0
+    for t in trials:
+        if out[-1] and size + t.flat.size > TOGETHER:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += t.flat.size
+    return out
+
+
+def train_trials(trials: Sequence[Trial], train: DataFrame, val: DataFrame, epochs: int, batch: int = 512, steps: int | None = None,
+                 seed: int = 42, x: str = "x", rungs: Sequence[int] = (), keep: float = 0.5) -> None:
+    """Train several networks side by side: each step is one job for all that are live.
+
+    Their weights travel in one broadcast, a task computes the gradients of all of
+    them from the rows it has read once, and Spark adds the slots up by trial.  After
+    the epochs in ``rungs`` only the best ``keep`` of the live trials, by their best
+    validation loss, go on; the others are pruned.  A trial whose loss is no longer
+    finite has failed.  A trial takes the same course as it would alone.
+    """
+    order = np.random.default_rng([seed, 1])
     # the hash covers all columns: with an id, copies of one window are spread too
     rows = train.select(F.col(x).cast("array<double>").alias("x"), F.xxhash64(*train.columns).alias("_h"))
     held = cut_lineage(val.select(F.col(x).cast("array<double>").alias("x")))
@@ -223,64 +291,104 @@ def fit_dense_ae(train: DataFrame, val: DataFrame, layers: Sequence[int] = (400,
     files = max(1, -(-n // (steps * FILE_ROWS)))
     spread = hashed.withColumn("_file", F.pmod(F.shiftright("_h", 20), F.lit(files)))
     table = cut_lineage(spread.repartition("_step", "_file").drop("_h", "_file"), partition_by=["_step"])
-    m1, m2, t = np.zeros_like(flat), np.zeros_like(flat), 0
-    best, best_loss, since, history = flat.copy(), np.inf, 0, []
     for epoch in range(1, epochs + 1):
-        loss = 0.0
-        for step in rng.permutation(steps):
+        for step in order.permutation(steps):
             rows_now = table.where(F.col("_step") == int(step))
-            sent = spark.sparkContext.broadcast(flat)
-            g, step_loss, count = _summed_gradient(rows_now, sent, shapes, out, dropout, int(seed + epoch * 1000 + step))
-            sent.unpersist()
-            if count == 0:
-                continue
-            loss += step_loss
-            t += 1
-            g /= count
-            m1 = 0.9 * m1 + 0.1 * g
-            m2 = 0.999 * m2 + 0.001 * g * g
-            flat = flat - lr * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-        w, b = _unflatten(flat, shapes)
-        val_loss = DenseModel(w, b, out).errors(held).agg(F.avg("err")).first()[0]
-        history.append({"epoch": epoch, "loss": loss / max(n, 1), "val_loss": float(val_loss), "lr": lr})
-        if val_loss < best_loss:
-            best, best_loss, since = flat.copy(), val_loss, 0
-        else:
-            since += 1
-            if since % plateau == 0:
-                lr /= 2
-            if since >= patience:
-                break
-    return DenseModel(*_unflatten(best, shapes), out, history)
+            for party in _parties([t for t in trials if t.status == "live"]):
+                for t, (g, loss, count) in zip(party, _summed_gradients(rows_now, party, epoch * 1000 + int(step)), strict=True):
+                    if count:
+                        t.step(g, loss, count)
+        for party in _parties([t for t in trials if t.status == "live"]):
+            for t, loss in zip(party, _mean_errors(held, party), strict=True):
+                t.end_epoch(epoch, n, loss)
+        live = sorted((t for t in trials if t.status == "live"), key=lambda t: t.best_loss)
+        if epoch in rungs:
+            for t in live[max(1, math.ceil(len(live) * keep)) :]:
+                t.status = "pruned"
+        if not any(t.status == "live" for t in trials):
+            break
+    for t in trials:
+        if t.status == "live":
+            t.status = "done"
+
+
+def _sent(rows: DataFrame, party: Sequence[Trial]):
+    return rows.sparkSession.sparkContext.broadcast([(t.flat, t.shapes, t.out, t.dropout, t.seed) for t in party])
+
+
+def _mean_errors(held: DataFrame, party: Sequence[Trial]) -> list[float]:
+    """The mean reconstruction error of every trial, from one pass over the rows."""
+    sent = _sent(held, party)
+
+    def partial(batches):
+        for pdf in batches:
+            if len(pdf):
+                m = np.stack(pdf["x"].to_numpy()).astype(float)
+                with np.errstate(all="ignore"):
+                    errors = [((_forward(*_unflatten(flat, shapes), m, out)[-1] - m) ** 2).mean(axis=1).sum() for flat, shapes, out, _, _ in sent.value]
+                yield pd.DataFrame({"trial": range(len(errors)), "err": errors, "n": len(m)})
+
+    sums = held.mapInPandas(partial, "trial int, err double, n long").groupBy("trial").agg((F.sum("err") / F.sum("n")).alias("loss")).collect()
+    sent.unpersist()
+    found = {r["trial"]: r["loss"] for r in sums if r["loss"] is not None}  # NaN comes back as null
+    return [found.get(k, float("nan")) for k in range(len(party))]
 
 
-def _summed_gradient(rows, sent, shapes, out, dropout, seed):
+def _summed_gradients(rows: DataFrame, party: Sequence[Trial], turn: int) -> list[tuple[np.ndarray | None, float, int]]:
+    """(gradient sum, loss sum, rows) of every trial over the rows."""
+    sent = _sent(rows, party)
+
     def partial(batches):
-        weights, biases = _unflatten(sent.value, shapes)
-        total, loss, count = None, 0.0, 0
-        r = np.random.default_rng([seed, TaskContext.get().partitionId()])  # other masks in every partition
+        trials = [(*_unflatten(flat, shapes), shapes, out, dropout) for flat, shapes, out, dropout, _ in sent.value]
+        draws = [np.random.default_rng([seed + turn, TaskContext.get().partitionId()]) for *_, seed in sent.value]  # other masks in every partition
+        sums, count = [None] * len(trials), 0
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.stack(pdf["x"].to_numpy()).astype(float)
-            masks = [(r.random((len(x), b)) >= dropout) / (1 - dropout) for _, b in shapes[:-1]] if dropout else None
-            g, l = _gradient(weights, biases, x, out, masks)
-            total, loss, count = g if total is None else total + g, loss + l, count + len(x)
-        if total is not None:
-            cut = [total[i:i + SLOT] for i in range(0, len(total), SLOT)]
-            yield pd.DataFrame({
-                "slot": range(-1, len(cut)), "g": [np.array([loss, float(count)]), *cut],
-            })
+            m = np.stack(pdf["x"].to_numpy()).astype(float)
+            count += len(m)
+            for k, (weights, biases, shapes, out, dropout) in enumerate(trials):
+                masks = [(draws[k].random((len(m), b)) >= dropout) / (1 - dropout) for _, b in shapes[:-1]] if dropout else None
+                with np.errstate(all="ignore"):
+                    g, loss = _gradient(weights, biases, m, out, masks)
+                sums[k] = (g, loss) if sums[k] is None else (sums[k][0] + g, sums[k][1] + loss)
+        for k, both in enumerate(sums):
+            if both is not None:
+                cut = [both[0][i:i + SLOT] for i in range(0, len(both[0]), SLOT)]
+                yield pd.DataFrame({"trial": k, "slot": range(-1, len(cut)), "g": [np.array([both[1], float(count)]), *cut]})
 
     def add(pdf):
-        return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)]})
+        return pd.DataFrame({"trial": [pdf["trial"].iloc[0]], "slot": [pdf["slot"].iloc[0]], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)]})
 
-    slots = rows.select("x").mapInPandas(partial, "slot int, g array<double>")
+    schema = "trial int, slot int, g array<double>"
     # one row per partition and slot meets here: partitions * SLOT numbers at most
-    summed = slots.groupBy("slot").applyInPandas(add, "slot int, g array<double>").orderBy("slot").collect()
-    if not summed:
-        return None, 0.0, 0
-    return np.concatenate([np.asarray(r["g"]) for r in summed[1:]]), summed[0]["g"][0], int(summed[0]["g"][1])
+    summed = rows.select("x").mapInPandas(partial, schema).groupBy("trial", "slot").applyInPandas(add, schema).orderBy("trial", "slot").collect()
+    sent.unpersist()
+    found = {k: [r["g"] for r in summed if r["trial"] == k] for k in range(len(party))}
+    return [(np.concatenate([np.asarray(g, float) for g in f[1:]]), float("nan") if f[0][0] is None else f[0][0], int(f[0][1])) if f else (None, 0.0, 0) for f in found.values()]
+
+
+def search_dense(train: DataFrame, val: DataFrame, options: Sequence[dict], epochs: int = 50, rungs: Sequence[int] = (2, 5, 12, 25),
+                 keep: float = 0.5, batch: int = 512, steps: int | None = None, seed: int = 42, x: str = "x") -> tuple[DataFrame, DenseModel | None]:
+    """Search over dense autoencoders with pruning: all trials start, after each rung the better ones go on.
+
+    ``options``: arguments of ``Trial`` (layers, lr, dropout, out, seed, ...), one
+    dict per trial.  Returns (trial, status, epochs, val_loss) and the best model.
+    Every step is one job for all live trials, so the number of jobs is that of one
+    fit.  A trial that fails, also one whose first layer isn't as wide as the
+    windows, has a null loss and is never chosen; the others go on.
+    """
+    width = train.select(F.size(x).alias("n")).first()
+    trials = [Trial(**{"seed": seed, **o}) for o in options]
+    for t in trials:
+        if width is None or t.layers[0] != width["n"]:
+            t.status = "failed"
+    if any(t.status == "live" for t in trials):
+        train_trials(trials, train, val, epochs, batch, steps, seed, x, rungs, keep)
+    rows = [(k, t.status, len(t.history), float(t.best_loss) if t.status != "failed" else None) for k, t in enumerate(trials)]
+    done = [t for t in trials if t.status == "done" and np.isfinite(t.best_loss)]
+    best = min(done, key=lambda t: t.best_loss).model() if done else None
+    return train.sparkSession.createDataFrame(rows, "trial int, status string, epochs int, val_loss double"), best
 
 
 def search(train: DataFrame, val: DataFrame, ks: Sequence[int], percentiles: Sequence[float], metric: str = "f1",

@@ -299,6 +299,24 @@ def g11(spark, d):
     return M.search(w.where("u < 7"), w.where("u >= 7"), [2, 8, 16], [90.0, 95.0, 99.0], ids=["vec_id"])
 
 
+SEARCH = [{"layers": (n, 16, k), "lr": lr} for n, k, lr in ((64, 4, 1e-3), (64, 4, 1e-2), (64, 8, 1e-3), (64, 8, 1e-2), (64, 2, 3e-3), (64, 8, 3e-3), (64, 16, 3e-3), (63, 8, 1e-2))]
+
+
+@query("G11_search_pruned", f"""WITH RECURSIVE w AS (SELECT max(len(embedding)) AS w FROM embeddings),
+o AS (SELECT * FROM (VALUES {", ".join(f"({k}, {o['layers'][0]})" for k, o in enumerate(SEARCH))}) t(trial, layer)),
+r AS (SELECT 0 AS rung, 0 AS epoch, count(*) AS live FROM o JOIN w ON layer = w
+  UNION ALL SELECT rung + 1, CAST(2 ** rung AS INTEGER), CAST(ceil(live / 2.0) AS BIGINT) FROM r WHERE rung < 3),
+p AS (SELECT epoch, lag(live) OVER (ORDER BY rung) - live AS n, live, rung FROM r)
+SELECT 'pruned' AS status, epoch AS epochs, n FROM p WHERE n > 0
+UNION ALL SELECT 'done', 6, live FROM p WHERE rung = 3
+UNION ALL SELECT 'failed', 0, count(*) FROM o JOIN w ON layer <> w""")
+def g11_pruned(spark, d):
+    """Eight networks, one of the wrong width; after 1, 2 and 4 epochs half of the live ones go on.  SQL knows the schedule."""
+    w = model_windows(spark, d).withColumn("u", (F.col("vec_id") * 7919 + 42) % 10).where("label = 0")
+    rows, _ = M.search_dense(w.where("u < 7").select("vec_id", "x"), w.where("u >= 7").select("x"), SEARCH, epochs=6, rungs=(1, 2, 4), steps=2)
+    return rows.groupBy("status", "epochs").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("G26_refit_on_drift")
 def g26(spark, d):
     w = model_windows(spark, d).withColumn("half", F.col("vec_id") % 2)
