@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewell.operators import evaluate as E
@@ -271,6 +272,31 @@ def model_windows(spark, d):
         "vec_id", F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") == 9, 1).otherwise(0).alias("label"))
 
 
+def fixed_model() -> M.DenseModel:
+    """A network of 64, 4 and 64 values whose weights follow a rule, so that SQL can compute it."""
+    i, j = np.arange(1, 65)[:, None], np.arange(1, 5)[None, :]
+    return M.DenseModel([np.sin(0.37 * i * j) / 4, np.cos(0.11 * i * j).T / 4], [0.01 * np.arange(4), 0.001 * np.arange(64)])
+
+
+# the errors of fixed_model
+FIXED_ERRORS = """x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+h AS (SELECT vec_id, j, greatest(0, sum(v * sin(0.37 * i * j) / 4) + 0.01 * (j - 1)) AS a FROM x, (SELECT unnest(range(1, 5)) AS j) GROUP BY 1, 2),
+r AS (SELECT vec_id, i, any_value(v) AS v, sum(a * cos(0.11 * i * j) / 4) + 0.001 * (i - 1) AS y FROM x JOIN h USING (vec_id) GROUP BY 1, 2),
+err AS (SELECT vec_id, avg((y - v) ** 2) AS err FROM r GROUP BY 1)"""
+
+
+@query("G10_reconstruct_fixed", f"WITH {FIXED_ERRORS} SELECT vec_id, i - 1 AS pos, round(y, 6) AS y FROM r")
+def g10_reconstruct(spark, d):
+    rows = fixed_model().reconstruct(model_windows(spark, d))
+    return rows.select("vec_id", F.posexplode("recon").alias("pos", "y")).withColumn("y", r6("y"))
+
+
+@query("G10_encode_fixed", f"WITH {FIXED_ERRORS} SELECT vec_id, j - 1 AS pos, round(a, 6) AS code FROM h")
+def g10_encode(spark, d):
+    """The values of the narrowest layer."""
+    return fixed_model().encode(model_windows(spark, d)).select("vec_id", F.posexplode("code").alias("pos", "code")).withColumn("code", r6("code"))
+
+
 @query("G09_pca_model")
 def g09(spark, d):
     w = model_windows(spark, d)

@@ -9,7 +9,7 @@ from tracewell.operators import model as M
 from tracewell.operators import select
 from tracewell.operators.splits import split_ordered
 from tracewell.plans.jobs import result_record
-from tracewell.queries.evaluation import model_windows, scores
+from tracewell.queries.evaluation import FIXED_ERRORS, fixed_model, model_windows, scores
 from tracewell.queries.registry import query, r6, table
 from tracewell.schemas import INVENTORY
 from tracewell.session import ensure_checkpoint_dir
@@ -135,6 +135,14 @@ def a12(spark, d):
     return M.LinearModel.load(spark, path).errors(w).select("vec_id", "label", r6("err").alias("err"))
 
 
+@query("A12_save_load_fixed", f"WITH {FIXED_ERRORS} SELECT vec_id, round(err, 6) AS err FROM err")
+def a12_fixed(spark, d):
+    """Weights that follow a rule, written, read back and used."""
+    path = scratch(spark, "model")
+    fixed_model().save(spark, path)
+    return M.DenseModel.load(spark, path).errors(model_windows(spark, d)).select("vec_id", r6("err").alias("err"))
+
+
 @query("A13_incremental_ingest", """
 WITH f AS (SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
 r AS (SELECT doc_id, n_chars, CAST(sum(n_chars) OVER (ORDER BY doc_id) AS BIGINT) AS total_bytes FROM f)

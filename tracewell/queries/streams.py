@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import model as M
-from tracewell.queries.evaluation import model_windows
+from tracewell.queries.evaluation import FIXED_ERRORS, fixed_model, model_windows
 from tracewell.queries.joins import DETECTIONS
 from tracewell.queries.registry import query, r6, table
 from tracewell.queries.sources import scratch
@@ -113,3 +113,11 @@ def h05(spark, d):
     live = features.stream_table(spark, d, "embeddings", "vec_id bigint, embedding array<float>, label int")
     live = live.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     return features.run_to_table(features.stream_detect(live, fitted, 0.01)).select("vec_id", r6("err").alias("err"), "pred")
+
+
+@query("H05_stream_scoring_fixed", f"WITH {FIXED_ERRORS} SELECT vec_id, round(err, 6) AS err, CASE WHEN err > 0.02 THEN 1 ELSE 0 END AS pred FROM err")
+def h05_fixed(spark, d):
+    """The stream scored by a network whose weights follow a rule."""
+    live = features.stream_table(spark, d, "embeddings", "vec_id bigint, embedding array<float>, label int")
+    live = live.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return features.run_to_table(features.stream_detect(live, fixed_model(), 0.02)).select("vec_id", r6("err").alias("err"), "pred")
