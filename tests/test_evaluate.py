@@ -110,6 +110,18 @@ def test_trigger_scores(spark, chunk):
         assert got[(k, 1)] == pytest.approx(event) and got[(k, 0)] == pytest.approx(noise)
 
 
+def test_quantiles_with_and_without_the_sketch(spark):
+    """A group above the sketch's size, a small one, ties and nulls: both ways agree with NumPy."""
+    rng = np.random.default_rng(8)
+    values = {"large": np.round(rng.normal(size=25_000), 3), "small": rng.normal(size=7), "same": np.zeros(12_000)}
+    pdf = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in values.items()])
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("small", None)], "k string, v double"))
+    for sketched in (True, False):
+        got = {r.k: r for r in order_statistics(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.999}, sketched=sketched).collect()}
+        for k, v in values.items():
+            np.testing.assert_allclose([got[k].a, got[k].b, got[k].c], np.quantile(v, [0.25, 0.5, 0.999]), atol=1e-12)
+
+
 def test_sweep_grid_and_best_axis(spark):
     rng = np.random.default_rng(7)
     rows, truth = [], []

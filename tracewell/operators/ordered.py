@@ -15,7 +15,9 @@ of all rows.  So ordered operators never partition by the trace alone:
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -281,7 +283,7 @@ SKETCH = 10_000  # accuracy of the quantile sketch: ranks are off by n / SKETCH
 
 
 def order_statistics(
-    df: DataFrame, key: Sequence[str], value: str, quantiles: Mapping[str, float], rule: str = "linear"
+    df: DataFrame, key: Sequence[str], value: str, quantiles: Mapping[str, float], rule: str = "linear", sketched: bool = True
 ) -> DataFrame:
     """Exact quantiles per key, one row per key, without holding a group in a task.
 
@@ -290,7 +292,8 @@ def order_statistics(
     few ten-thousandths of the rows, is ranked, by distinct value and its count.
     So neither a large group nor one very common value meets in a task, and no
     table of all values is written.  ``linear`` interpolates between neighbours,
-    ``upper`` takes the element at ``int(n * q)``.
+    ``upper`` takes the element at ``int(n * q)``.  ``sketched=False`` ranks all
+    distinct values.
     """
     key = list(key) or ["_all"]
     if key == ["_all"]:
@@ -302,16 +305,23 @@ def order_statistics(
     bounds = []
     for j, q in enumerate(quantiles.values()):
         # the slack is less than two places in a group of up to SKETCH rows: all of it is ranked
-        all_ = F.col("_n") <= SKETCH
+        all_ = F.col("_n") <= SKETCH if sketched else F.lit(True)
         low = F.when(all_, float("-inf")).otherwise(F.element_at("_e", 2 * j + 1)) if q > slack else F.lit(float("-inf"))
         high = F.when(all_, float("nan")).otherwise(F.element_at("_e", 2 * j + 2)) if q < 1 - slack else F.lit(float("nan"))
         bounds.append(F.struct(F.lit(j).alias("q"), low.alias("low"), high.alias("high")))
     sketch = cut_lineage(sketch.select(*key, "_n", F.array(*bounds).alias("_b")))
     # the row number spreads equal values over the salts of the join
     bounded = attach_facts(values.withColumn("_row", F.monotonically_increasing_id()), sketch.select(*key, "_b"), key).drop("_row")
-    below = cut_lineage(bounded.groupBy(*key).agg(*[F.sum((F.col("_v") < F.col("_b")[j]["low"]).cast("bigint")).alias(f"_c{j}") for j in range(len(names))]))  # one row per key
-    near = bounded.select(*key, "_v", F.explode("_b").alias("_b")).where((F.col("_v") >= F.col("_b.low")) & (F.col("_v") <= F.col("_b.high")))
-    counted = near.groupBy(*key, F.col("_b.q").alias("_q"), "_v").agg(F.count(F.lit(1)).alias("_m"))
+    # one pass: what lies between the bounds counts by its value, what lies below them under null
+    places = bounded.select(*key, "_v", F.explode("_b").alias("_b")).where(F.col("_v") <= F.col("_b.high"))
+    places = places.select(*key, F.col("_b.q").alias("_q"), F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"))
+    places = cut_lineage(places.groupBy(*key, "_q", "_v").agg(F.count(F.lit(1)).alias("_m")))
+    inside = F.sum(F.when(F.col("_v").isNotNull(), F.col("_m")))
+    found = places.groupBy(*key, "_q").agg(F.sum(F.when(F.col("_v").isNull(), F.col("_m"))).alias("_c"), inside.alias("_k"))
+    counts = [[F.sum(F.when(F.col("_q") == j, F.col(c))) for c in ("_c", "_k")] for j in range(len(names))]
+    below = found.groupBy(*key).agg(*[F.coalesce(x, F.lit(0)).alias(f"{n}{j}") for j, both in enumerate(counts) for n, x in zip(("_c", "_k"), both, strict=True)])
+    below = join_facts(sketch.select(*key, "_n"), below, key, "inner")  # one row per key
+    counted = places.where("_v IS NOT NULL")
     ranks = cumulative(counted, [*key, "_q"], ["_v"], "_m", "_to")
     wanted = []
     for j, q in enumerate(quantiles.values()):
@@ -321,7 +331,11 @@ def order_statistics(
         else:
             points = [(F.least(F.floor(F.col("_n") * F.lit(float(q))), F.col("_n") - 1), F.lit(1.0))]
         wanted += [F.struct(F.lit(j).alias("q"), (r - F.col(f"_c{j}")).cast("bigint").alias("r"), w.alias("w")) for r, w in points]
-    points = join_facts(sketch.select(*key, "_n"), below, key, "inner").select(*key, F.explode(F.array(*wanted)).alias("_p")).where("_p.w > 0")
+    # a rank outside its bounds would be lost; the sketch's guarantee excludes it, and this makes sure
+    known = F.array(*[F.col(f"_k{j}") for j in range(len(names))])
+    inside = [(s["w"] <= 0) | ((s["r"] >= 0) & (s["r"] < F.element_at(known, s["q"] + 1))) for s in wanted]
+    below = below.where(F.assert_true(reduce(operator.and_, inside), "a rank lies outside the sketch's bounds; use sketched=False").isNull())
+    points = below.select(*key, F.explode(F.array(*wanted)).alias("_p")).where("_p.w > 0")
     points = points.groupBy(*key, F.col("_p.q").alias("_q")).agg(F.collect_list(F.struct("_p.r", "_p.w")).alias("_p"))
     hit = join_facts(ranks, points, [*key, "_q"], "inner").select(*key, "_q", "_v", "_m", "_to", F.explode("_p").alias("_p"))
     hit = hit.where((F.col("_p.r") < F.col("_to")) & (F.col("_p.r") >= F.col("_to") - F.col("_m")))
