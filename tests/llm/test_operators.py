@@ -141,6 +141,12 @@ def test_simhash_refines_dense_nodes():
     assert len(half) and roots(len(v), [(at[a], at[b]) for a, b in links]) == want
 
 
+def test_empty_tables(none):
+    assert simhash.near_duplicates(none).collect() == [] and mixing.mix(none).collect() == []
+    for rest in (simhash.one_of_each(none), mixing.mixed(none)):
+        assert rest.columns == none.columns and rest.collect() == []
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(5)).collect()
