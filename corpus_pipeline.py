@@ -18,22 +18,27 @@ NEAR_ERRORS = 6
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier rejects go; null and empty texts, repeated rows and null ids are judged like any other."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked fingerprints stays, the smallest id; null and empty texts are one group."""
     return simhash.one_of_each(docs, words=NEAR_WORDS, errors=NEAR_ERRORS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a benchmark window stay; null and empty texts have no words and stay."""
     return winnowing.without_benchmark(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them; null sources are a source of their own, empty texts weigh nothing."""
     return mixing.mixed(docs)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row of the mix from the written files, in ascending id order; null texts count as empty."""
     import public_tokenizers
 
     return tokens.token_files(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -46,7 +51,7 @@ STAGES = [
     ("mix", mix_sources),
     ("tokens", write_ids),
 ]
-ORACLE_SQL = None  # the stages are tested against brute force
+ORACLE_SQL = None  # no SQL for classifier, fingerprints and draws; the tests check columns, rows kept and counts
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
