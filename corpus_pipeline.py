@@ -9,13 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import mixing, simhash, tokens, toxicity, winnowing
+from tracewell.llm import mixing, nearcopies, tokens, toxicity, winnowing
 from tracewell.llm.common import cut_lineage, read
 
-# near copies keep most pairs of words; see the README for what was measured
-NEAR_WORDS = 2
-NEAR_ERRORS = 6
-
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go; null and empty texts, repeated rows and null ids are judged like any other."""
@@ -23,8 +19,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked fingerprints stays, the smallest id; null and empty texts are one group."""
-    return simhash.one_of_each(docs, words=NEAR_WORDS, errors=NEAR_ERRORS)
+    """Rows that share 0.8 of their 5-word shingles with an earlier row that stays go; null and empty texts are copies of each other."""
+    return nearcopies.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
