@@ -145,3 +145,16 @@ def test_sessions(spark, traces):
     limit = 239 - 2  # sessions that the watermark has not passed stay open
     want = [w for w in want if w[2] <= limit]
     assert sorted((r.t, (r.t_on - START).total_seconds(), (r.t_off - START).total_seconds(), r.n) for r in got) == sorted(want)
+
+
+def test_stream_of_a_table_in_part_files(spark, tmp_path):
+    """A table may be one file, or a folder of part files; both forms and later tables are read, other tables are not."""
+    rows = spark.range(100).select("id")
+    rows.repartition(3).write.parquet(str(tmp_path / "in/a.parquet"))
+    rows.select((F.col("id") + 100).alias("id")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    shutil.copy(next((tmp_path / "one").glob("part-*.parquet")), tmp_path / "in/a-2.parquet")
+    rows.write.parquet(str(tmp_path / "in/b.parquet"))
+    read = lambda: features.run_to_table(features.stream_table(spark, str(tmp_path / "in"), "a", "id long"), str(tmp_path / "out"))
+    assert sorted(r.id for r in read().collect()) == list(range(200))
+    rows.select((F.col("id") + 200).alias("id")).write.parquet(str(tmp_path / "in/a-3.parquet"))
+    assert sorted(r.id for r in read().collect()) == list(range(300))

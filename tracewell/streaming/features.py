@@ -19,10 +19,11 @@ from tracewell.session import ensure_checkpoint_dir
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """Rows of the tables ``name*.parquet`` in a folder, each a file or a folder of part files, also of those that come later."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}*.parquet")
 
 
 def stream_windows(sdf: DataFrame, key: Sequence[str], length: str, slide: str, watermark: str, value: str = "v",
