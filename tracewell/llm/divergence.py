@@ -204,7 +204,7 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     facts = groups.join(totals, ["lang", "source"], "left").join(sizes.join(whole, "lang", "left"), "lang")
     facts = facts.na.fill(0, ["total", "terms", "all"]).withColumn("z", price(F.lit(0), F.col("total"), F.col("terms")))
     facts = cut_lineage(facts)  # one row per source
-    priced = attach_facts(used, facts, ["lang", "source"])
+    priced = attach_facts(used, facts, ["lang", "source"], few=True)
     priced = priced.withColumns({"p": price(F.col("n"), F.col("total"), F.col("terms")), "q": price(F.col("whole"), F.col("all"), F.col("terms"))})
     priced = cut_lineage(priced.select("lang", "source", "term", "p", "q", "z", "parts"))
 

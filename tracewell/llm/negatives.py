@@ -200,8 +200,8 @@ def _meetings(rows: DataFrame, anchors: DataFrame, by: list[str]) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("n"), F.col(n)).cast("int")
     columns = list(dict.fromkeys([*by, "dim", "rb", "ab", "side", "n", "id", "label", "vector", "limits"]))
-    right = attach_facts(rows, facts, by).withColumns({"rb": own("rbs"), "side": F.lit(1), "limits": F.lit(None).cast("array<long>")}).withColumn("ab", every("abs"))
-    left = attach_facts(anchors, facts, by).withColumns({"ab": own("abs"), "side": F.lit(0)}).withColumn("rb", every("rbs"))
+    right = attach_facts(rows, facts, by, few=True).withColumns({"rb": own("rbs"), "side": F.lit(1), "limits": F.lit(None).cast("array<long>")}).withColumn("ab", every("abs"))
+    left = attach_facts(anchors, facts, by, few=True).withColumns({"ab": own("abs"), "side": F.lit(0)}).withColumn("rb", every("rbs"))
     return left.select(*columns).unionByName(right.select(*columns))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.ordered import attach_facts, with_salt, with_salt_copies
+from tracewell.operators.ordered import attach_facts, spread_hot
 
 
 def attach_station(traces: DataFrame, stations: DataFrame, on: Sequence[str] = ("net", "sta")) -> DataFrame:
@@ -23,9 +23,7 @@ def without_station(traces: DataFrame, stations: DataFrame, on: Sequence[str] =
 def attach_epoch(traces: DataFrame, epochs: DataFrame, on: Sequence[str], at: str = "t0", start: str = "start",
                  end: str = "end") -> DataFrame:
     """Metadata valid at the time of the trace: start <= t < end, open end allowed."""
-    traces = with_salt(traces)
-    epochs = with_salt_copies(epochs)
-    on = [*on, "_salt"]
+    traces, epochs, on = spread_hot(traces, epochs, on)
     renamed = epochs.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in epochs.columns])
     condition = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     for c in on:

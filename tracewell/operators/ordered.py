@@ -60,14 +60,50 @@ def with_salt_copies(facts: DataFrame, salts: int = SALTS) -> DataFrame:
     return facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def attach_facts(df: DataFrame, facts: DataFrame, on: Sequence[str], salts: int = SALTS, how: str = "inner") -> DataFrame:
+HOT_ROWS = 1 << 10  # a key with fewer rows is never hot
+HOT_KEYS = 1 << 10  # so many keys are hot at most
+
+
+def hot_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame | None:
+    """Keys of ``counts`` (on, _rows) that hold more than 1/``HOT_KEYS`` of the rows of all keys
+    with over ``HOT_ROWS``; None without such a key.  Counts at once."""
+    large = cut_lineage(counts.select(*on, "_rows").where(F.col("_rows") > HOT_ROWS))
+    total = large.agg(F.sum("_rows")).first()[0]
+    return large.where(F.col("_rows") * HOT_KEYS > total).select(*on) if total else None
+
+
+def spread_hot(df: DataFrame, facts: DataFrame, on: Sequence[str], salts: int = SALTS,
+               counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join and its key, with ``_salt`` where a key is hot.
+
+    Rows of a hot key choose one of ``salts`` sub-keys by hash, and only the facts of
+    hot keys are copied to all of them.  ``counts`` (on, _rows) saves counting the rows.
+    """
+    if counts is None:
+        counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = hot_keys(counts, on)
+    if hot is None:
+        return df, facts, list(on)
+    # fixed size: at most HOT_KEYS keys
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    rows = join_facts(with_salt(df, salts), hot, on).withColumn("_salt", F.when(F.col("_hot"), F.col("_salt")).otherwise(0))
+    last = F.when(F.col("_hot"), salts - 1).otherwise(0)
+    copies = join_facts(facts, hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    return rows.drop("_hot"), copies.drop("_hot"), [*on, "_salt"]
+
+
+def attach_facts(df: DataFrame, facts: DataFrame, on: Sequence[str], salts: int = SALTS, how: str = "inner",
+                 counts: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Join group facts to rows when a group may be most of the table.
 
-    Each fact is copied to ``salts`` sub-keys and rows choose one by hash, so a
-    hot group (or, with ``on`` empty, the whole table) is spread over ``salts``
-    tasks even where the facts are too many to broadcast.
+    A hot group is spread over ``salts`` tasks, see ``spread_hot``; other facts
+    travel once, however many they are.  With ``few`` facts (or one, with ``on``
+    empty) all are copied and no row is counted.
     """
-    return join_facts(with_salt(df, salts), with_salt_copies(facts, salts), [*on, "_salt"], how).drop("_salt")
+    if few or not on:
+        return join_facts(with_salt(df, salts), with_salt_copies(facts, salts), [*on, "_salt"], how).drop("_salt")
+    rows, copies, key = spread_hot(df, facts, on, salts, counts)
+    return join_facts(rows, copies, key, how).drop("_salt")
 
 
 def side_by_side(frames: Sequence[DataFrame], key: Sequence[str] = ()) -> DataFrame:
@@ -311,7 +347,9 @@ def order_statistics(
         bounds.append(F.struct(F.lit(j).alias("q"), low.alias("low"), high.alias("high")))
     sketch = cut_lineage(sketch.select(*key, "_n", F.array(*bounds).alias("_b")))
     # the row number spreads equal values over the salts of the join
-    bounded = attach_facts(values.withColumn("_row", F.monotonically_increasing_id()), sketch.select(*key, "_b"), key).drop("_row")
+    bounded = attach_facts(
+        values.withColumn("_row", F.monotonically_increasing_id()), sketch.select(*key, "_b"), key, counts=sketch.select(*key, F.col("_n").alias("_rows"))
+    ).drop("_row")
     # one pass: what lies between the bounds counts by its value, what lies below them under null
     places = bounded.select(*key, "_v", F.explode("_b").alias("_b")).where(F.col("_v") <= F.col("_b.high"))
     places = places.select(*key, F.col("_b.q").alias("_q"), F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"))

@@ -31,7 +31,7 @@ def split_ordered(df: DataFrame, order: Sequence[str], fractions: Sequence[float
         placed = placed.withColumn("_g", F.lit(0))
     key = list(by) or ["_g"]
     sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_total"))
-    out = attach_facts(placed, sizes, key)
+    out = attach_facts(placed, sizes, key, counts=sizes.withColumnRenamed("_total", "_rows"))
     return out.withColumn("split", _cut(F.col("_pos"), F.col("_total"), fractions, names)).drop("_pos", "_total", "_g")
 
 

@@ -100,7 +100,8 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
     width = (F.col("_hi") - F.col("_lo")) / bins
     # rows meet their limits where they are and are counted by bin before any exchange
     numbered = values.withColumn("_row", F.monotonically_increasing_id())
-    joined = attach_facts(numbered, limits, list(by)).withColumn("_w", width)
+    counts = limits.select(*by, F.col("_n").alias("_rows"))
+    joined = attach_facts(numbered, limits, list(by), counts=counts).withColumn("_w", width)
     at = F.when(F.col("_w") > 0, F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_w"), F.lit(0.0)))).otherwise(0)
     placed = joined.withColumn("bin", F.least(at, F.lit(bins - 1)).cast("int"))
     out = placed.groupBy(*by, "bin").agg(
