@@ -64,15 +64,18 @@ def build_dataset(samples: DataFrame, stations: DataFrame, key: Sequence[str], s
         samples = _first_traces(samples, key, one_of, ts)
     known = joins.attach_station(samples, stations.select(station), [station])
     clean = conditioning.condition(known, key, sr, target or sr, band=band, chunk=chunk)
-    marks = known.groupBy(*key).agg(F.max(anomalous.cast("int")).alias("label"), F.first(station).alias("net_sta"), F.min(ts).alias("t0"))
-    labelled = attach_facts(clean, marks.select(*key, "label"), key)
+    marks = cut_lineage(known.groupBy(*key).agg(
+        F.max(anomalous.cast("int")).alias("label"), F.first(station).alias("net_sta"), F.min(ts).alias("t0"), F.count(F.lit(1)).alias("_rows")
+    ))
+    counts, marks = marks.select(*key, "_rows"), marks.drop("_rows")
+    labelled = attach_facts(clean, marks.select(*key, "label"), key, counts=counts)
     loud, quiet = (labelled.where(F.col("label") == mark).drop("label") for mark in (1, 0))
     middle = windows.central_samples(loud, key, n, chunk=chunk).groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("x")
     ).withColumn("k", F.lit(0).cast("bigint"))
     everything = windows.collect_windows(quiet, key, n, step)
     both = windows.zscore(everything.unionByName(middle.select(*everything.columns)))
-    both = cut_lineage(attach_facts(both, marks, key))
+    both = cut_lineage(attach_facts(both, marks, key, counts=counts))
     if sample is not None:
         normal = select.sample_n(both.where("label = 0"), sample, [*key, "k"], seed)
         both = normal.unionByName(both.where("label = 1"))
