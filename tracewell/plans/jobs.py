@@ -34,7 +34,8 @@ def file_inventory(samples: DataFrame, file: str, sr: float, stations: DataFrame
     trace = [net, sta, cha]
     known = samples.groupBy(file, *trace).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in order if c not in trace])
     chosen = select.first_match(known, [file], list(order) or trace, prefer).select(file, F.struct(*trace).alias("_trace"))
-    samples = attach_facts(samples, chosen, [file]).where(F.struct(*trace).eqNullSafe(F.col("_trace"))).drop("_trace")
+    counts = known.groupBy(file).agg(F.sum("_n").alias("_rows"))
+    samples = attach_facts(samples, chosen, [file], counts=counts).where(F.struct(*trace).eqNullSafe(F.col("_trace"))).drop("_trace")
     base = samples.groupBy(file).agg(
         F.min(net).alias("rede"), F.min(sta).alias("estacao"), F.min(cha).alias("canal"), F.lit(float(sr)).alias("taxa_hz"),
         F.count(F.lit(1)).alias("n_amostras"), (F.count(F.lit(1)) / F.lit(float(sr))).alias("duracao_s"),
