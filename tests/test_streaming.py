@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.trigger import sta_lta, trigger
 from tracewell.streaming import features
+from tracewell.streaming import trigger as online
 from tracewell.streaming.trigger import ratio_from_ring, stream_trigger
 
 SCHEMA = "t string, ts timestamp, i long, v double"
@@ -158,3 +159,89 @@ def test_stream_of_a_table_in_part_files(spark, tmp_path):
     assert sorted(r.id for r in read().collect()) == list(range(200))
     rows.select((F.col("id") + 200).alias("id")).write.parquet(str(tmp_path / "in/a-3.parquet"))
     assert sorted(r.id for r in read().collect()) == list(range(300))
+
+
+class Held:
+    """The state of one trace in memory; counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.asked, self.longest = None, {}, set(), 0, 0
+
+    def getValueState(self, *args):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.map[key] = value
+        self.longest = max(self.longest, len(value[0]))
+
+    def removeKey(self, key):
+        self.asked += 1
+        del self.map[key]
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.add(at)
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def run_held(v, arrive, delay_s, span, monkeypatch):
+    """One trace, a row a second in buckets of 2 s; ``arrive`` has the micro-batch of each row."""
+    monkeypatch.setattr(online, "SPAN", span)
+    monkeypatch.setattr(online, "GATHERED", 50)
+    held, us = Held(), np.arange(len(v)) * 1_000_000
+    trace = online._Trigger(["t"], 3, 10, 1.8, 0.8, 2, 1e-20, "v", "ts", 60_000, 2_000)
+    trace.init(held)
+    found, rng, newest = [], np.random.default_rng(3), 0
+    for batch in [*sorted(set(arrive)), None]:
+        if batch is not None:
+            mine = rng.permutation(np.flatnonzero(arrive == batch))
+            chunks = [pd.DataFrame({"ts": pd.to_datetime(us[c], unit="us"), "v": v[c]}) for c in np.array_split(mine, 3) if len(c)]
+            assert not list(trace.handleInputRows(("a",), iter(chunks), None))
+            newest = max(newest, us[mine].max() // 1000)
+        until = Watermark(int(newest) - 1000 * delay_s if batch is not None else 10**9)
+        while any(t <= until.at for t in held.timers):
+            held.timers = {t for t in held.timers if t > until.at}
+            for part in trace.handleExpiredTimer(("a",), until, None):
+                found += part[["on_i", "off_i"]].to_numpy().tolist()
+    assert not held.map
+    return sorted(map(tuple, found)), held
+
+
+@pytest.mark.parametrize("span", [1, 7, 40, 1 << 12])
+@pytest.mark.parametrize("delay_s", [30, 3_000])
+def test_waiting_rows_in_spans(spark, span, delay_s, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=1500) * (1 + 4 * (np.arange(1500) % 60 > 48))
+    arrive = rng.integers(0, 12, len(v))
+    if delay_s == 30:  # up to 20 s late; else in any order, and all waits to the end
+        arrive = np.sort(arrive)[np.minimum(len(v) - 1, np.arange(len(v)) + rng.integers(0, 20, len(v)))]
+    got, held = run_held(v, arrive, delay_s, span, monkeypatch)
+    batch = spark.createDataFrame(pd.DataFrame({"t": "a", "i": range(len(v)), "v": v}))
+    want = trigger(sta_lta(batch, ["t"], 3, 10), ["t"], 1.8, 0.8, 2).collect()
+    assert len(want) > 10 and got == sorted((r.on_i, r.off_i) for r in want)
+    assert held.longest <= max(span, 2)
+    if span == 1 << 12:
+        # a row or bucket of its own would take at least one call
+        assert held.asked < 250

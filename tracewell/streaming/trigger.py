@@ -1,11 +1,16 @@
 """Online STA/LTA with a hysteresis trigger, one state per trace.
 
-Rows wait in the state, in buckets of event time, until the watermark has passed
-their bucket; then the bucket is put in time order and used.  So rows may arrive
-in any order within the watermark, and positions are those of the whole trace.
-Rows of a bucket that was used are behind the watermark and are dropped; they are
-the only ones.  The state holds the waiting buckets, the energies of the last
-n_lta rows, the position and the open event.
+Rows wait in the state until the watermark has passed their bucket of event time;
+then they are put in time order and used.  So rows may arrive in any order within
+the watermark, and positions are those of the whole trace.  Rows of a bucket that
+was used are behind the watermark and are dropped; they are the only ones.  The
+state holds the waiting rows, the energies of the last n_lta rows, the position and
+the open event.
+
+Waiting rows lie in spans of whole buckets that follow each other in time.  A span
+of over ``SPAN`` rows is split, so a trace with few rows is read and written once,
+and of a long one a task holds a span, or a bucket that has more rows.  One timer, for
+the earliest bucket, stands for all.
 
 An open event ends where the ratio falls below ``off``, or after its last row when
 the next row is ``silence_ms`` or more later, or when the watermark says that no
@@ -25,7 +30,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STATE = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("ring", T.ArrayType(T.DoubleType())), T.StructField("open_i", T.LongType()),
     T.StructField("open_us", T.LongType()), T.StructField("last_us", T.LongType()), T.StructField("used_ms", T.LongType()),
+    T.StructField("due_ms", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())),
 ])
+NEW = (0, [], None, None, None, None, None, [])
+SPAN = 1 << 12  # rows of several buckets that wait together
+GATHERED = 1 << 16  # new rows that a task collects before it puts them into spans
 BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
 WAITING = T.StructType([T.StructField("us", T.ArrayType(T.LongType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
 
@@ -69,30 +78,90 @@ class _Trigger(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        used = self.state.get()[5] if self.state.exists() else None
+        state = self.state.get() or NEW
+        used, due, spans = state[5], state[6], list(state[7])
+        us, v, size = [], [], 0
+
+        def put() -> None:
+            nonlocal due, size
+            if size:
+                first = (self._wait(spans, np.concatenate(us), np.concatenate(v)) + 1) * self.bucket_ms
+                if due is None or first < due:
+                    due = first
+                    self.handle.registerTimer(due)
+            us.clear(), v.clear()
+            size = 0
+
         for chunk in rows:
-            us = pd.to_datetime(chunk[self.ts], utc=True).astype("datetime64[us, UTC]").astype("int64").to_numpy()
-            v = chunk[self.value].to_numpy(dtype=float)
-            bucket = us // (1000 * self.bucket_ms)
-            for b in np.unique(bucket).tolist():
-                if used is not None and (b + 1) * self.bucket_ms <= used:
-                    continue  # behind the watermark
-                own = bucket == b
-                old = self.waiting.getValue((b,)) if self.waiting.containsKey((b,)) else None
-                have = ([], []) if old is None else (list(old[0]), list(old[1]))
-                self.waiting.updateValue((b,), (have[0] + us[own].tolist(), have[1] + v[own].tolist()))
-                if old is None:
-                    self.handle.registerTimer((b + 1) * self.bucket_ms)
-        yield self._frame(key, [])
+            at = pd.to_datetime(chunk[self.ts], utc=True).astype("datetime64[us, UTC]").astype("int64").to_numpy()
+            # what the watermark has passed is left out
+            fresh = np.ones(len(at), bool) if used is None else (at // (1000 * self.bucket_ms) + 1) * self.bucket_ms > used
+            us.append(at[fresh])
+            v.append(chunk[self.value].to_numpy(dtype=float)[fresh])
+            size += int(fresh.sum())
+            if size >= GATHERED:
+                put()
+        put()
+        if (due, spans) != (state[6], list(state[7])):
+            self.state.update((*state[:6], due, spans))
+        yield from ()
+
+    def _wait(self, spans: list[int], us: np.ndarray, v: np.ndarray) -> int:
+        """Put rows into their spans, split what has grown too long, and return the earliest bucket.
+
+        A span is named after its first bucket or an earlier one and ends before the name of the next; the first also takes what is earlier.
+        """
+        order = np.argsort(us, kind="stable")
+        us, v = us[order], v[order]
+        bucket = us // (1000 * self.bucket_ms)
+        names = spans or [int(bucket[0])]
+        cuts = np.concatenate([[0], np.searchsorted(bucket, names[1:]), [len(us)]])
+        fresh = []
+        for name, lo, hi in zip(names, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            fresh.append(name)
+            if lo == hi:
+                continue
+            old = self.waiting.getValue((name,)) if spans else ([], [])
+            all_us, all_v = np.concatenate([np.array(old[0], np.int64), us[lo:hi]]), np.concatenate([np.array(old[1], float), v[lo:hi]])
+            order = np.argsort(all_us, kind="stable")
+            all_us, all_v = all_us[order], all_v[order]
+            own, at = all_us // (1000 * self.bucket_ms), 0
+            if own[0] < name:  # only in the first span: a later piece of it may need its name
+                if spans:
+                    self.waiting.removeKey((name,))
+                fresh[-1] = int(own[0])
+            while at < len(own):
+                to = len(own)
+                if to - at > SPAN:
+                    # before the bucket of the row that is too many, or after it if nothing is before
+                    to = int(np.searchsorted(own, own[at + SPAN]))
+                    to = to if to > at else int(np.searchsorted(own, own[at], "right"))
+                if at:
+                    fresh.append(int(own[at]))
+                self.waiting.updateValue((fresh[-1],), (all_us[at:to].tolist(), all_v[at:to].tolist()))
+                at = to
+        spans[:] = fresh
+        return int(bucket[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() // self.bucket_ms * self.bucket_ms
-        n, ring, open_i, open_us, last_us, used = self.state.get() if self.state.exists() else (0, [], None, None, None, None)
+        n, ring, open_i, open_us, last_us, used, due, spans = self.state.get() or NEW
         if used is not None and until <= used:
             return
-        ring, found = np.asarray(ring, float), []
-        for b in sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.bucket_ms <= until):
-            us, v = map(np.array, self.waiting.getValue((b,)))
+        ring, spans, found, due = np.asarray(ring, float), list(spans), [], None
+        while spans:
+            us, v = (np.array(x, kind) for x, kind in zip(self.waiting.getValue((spans[0],)), (np.int64, float), strict=True))
+            end = (us // (1000 * self.bucket_ms) + 1) * self.bucket_ms
+            late = end > until
+            if late.any():  # the rest of the span waits on
+                due = int(end[late].min())
+                if not late.all():
+                    self.waiting.updateValue((spans[0],), (us[late].tolist(), v[late].tolist()))
+            else:
+                self.waiting.removeKey((spans.pop(0),))
+            us, v = us[~late], v[~late]
+            if not len(us):
+                break
             order = np.lexsort((v, us))
             us, v = us[order], v[order]
             cf = ratio_from_ring(ring, v * v, self.n_sta, self.n_lta, self.floor)
@@ -115,7 +184,10 @@ class _Trigger(StatefulProcessor):
                     open_i = open_us = None
             n, last_us = n + len(us), int(us[-1])
             ring = np.concatenate([ring, v * v])[-max(1, self.n_lta - 1):]
-            self.waiting.removeKey((b,))
+            if due is not None:
+                break
+        if due is not None:
+            self.handle.registerTimer(due)
         if open_i is not None:
             quiet = last_us // 1000 + self.silence_ms
             if until > quiet:
@@ -124,8 +196,9 @@ class _Trigger(StatefulProcessor):
                 open_i = open_us = None
             else:
                 self.handle.registerTimer((quiet // self.bucket_ms + 1) * self.bucket_ms)
-        self.state.update((n, ring.tolist(), open_i, open_us, last_us, until))
-        yield self._frame(key, found)
+        self.state.update((n, ring.tolist(), open_i, open_us, last_us, until, due, spans))
+        if found:
+            yield self._frame(key, found)
 
     def close(self) -> None:
         pass
@@ -136,8 +209,8 @@ def stream_trigger(sdf: DataFrame, key: Sequence[str], n_sta: int, n_lta: int, o
                    ts: str = "ts", bucket_ms: int = 60_000) -> DataFrame:
     """Detections (key, on_i, off_i, t_on, t_off, closed_by) as they end.
 
-    ``bucket_ms``: rows of a trace that are put in order together, so also what a
-    task holds of a trace.  Needs ``spark.sql.streaming.stateStore.providerClass``
+    ``bucket_ms``: rows of a trace that become due together; a task holds a bucket of a
+    trace, or up to ``SPAN`` rows of several.  Needs ``spark.sql.streaming.stateStore.providerClass``
     set to the RocksDB provider.
     """
     fields = [sdf.schema[k] for k in key]
