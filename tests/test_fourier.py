@@ -66,3 +66,11 @@ def test_odd_keys(spark):
     got = W.fourier_resample(df, ["t"], 1.0, 2.0, cells=2, chunk=2).orderBy("i").collect()
     assert [r.t for r in got] == [None] * 6 and np.allclose([r.v for r in got], plain_resample(np.array([1.0, 0.0, 3.0]), 6))
     assert W.fourier_resample(df.limit(0), ["t"], 1.0, 2.0).count() == 0
+
+
+def test_small_blocks_share_a_group(spark):
+    """A group for every block of 16 numbers would take far longer than its transform; large blocks stay apart."""
+    pieces = spark.range(4000).selectExpr("id div 8 AS t", "id % 8 AS _b", "CAST(128 AS BIGINT) AS _size")
+    assert W._bundled(pieces, ["t"], 16, 500 * 128).count().count() == 1
+    assert W._bundled(pieces, ["t"], 16, 3 * W.BUNDLE).count().count() == 3
+    assert W._bundled(pieces, ["t"], W.CELLS, 500 * 128).count().count() == 4000

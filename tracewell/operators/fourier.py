@@ -12,6 +12,9 @@ Lengths other than powers of two, as Fourier resampling needs them, are chirp
 transforms: a transform of N points is a convolution with a chirp, and that is a
 product of two transforms of at least twice the length.
 
+Blocks that are small beside ``BUNDLE`` are transformed in bundles of about so many
+numbers, those of one size side by side in one array.
+
 Traces that fit a task take one group and NumPy's transform.
 """
 
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,7 @@ from tracewell.operators.recurrence import pack
 from tracewell.session import cut_lineage
 
 CELLS = 1 << 20  # complex numbers that a task holds; a power of two
+BUNDLE = 1 << 16  # numbers of small blocks that a task takes at once
 Gain = Callable[[np.ndarray, dict], np.ndarray]
 
 
@@ -56,16 +61,16 @@ class Grid:
     def high(self) -> int:
         return max(1, min(self.rows, self.cells // self.cols))
 
-    def points(self, first: int) -> np.ndarray:
-        """Positions in the trace of the block of columns that starts at ``first``."""
-        return np.arange(self.rows, dtype=np.int64)[:, None] * self.cols + first + np.arange(self.wide, dtype=np.int64)
+    def points(self, first: np.ndarray) -> np.ndarray:
+        """Positions in the trace of the blocks of columns that start at ``first``."""
+        return first[:, None, None] + np.arange(self.rows, dtype=np.int64)[:, None] * self.cols + np.arange(self.wide, dtype=np.int64)
 
     def frequencies(self, first: int) -> np.ndarray:
         """Positions in the spectrum of the block of rows that starts at ``first``."""
         return first + np.arange(self.high, dtype=np.int64)[:, None] + self.rows * np.arange(self.cols, dtype=np.int64)
 
     def twiddle(self, rows: np.ndarray, cols: np.ndarray, sign: int) -> np.ndarray:
-        return np.exp(sign * 2j * np.pi / self.size * (rows[:, None] * cols[None, :]))
+        return np.exp(sign * 2j * np.pi / self.size * (rows * cols))
 
 
 def size_for(points: Column) -> Column:
@@ -82,10 +87,10 @@ def chirp(at: np.ndarray, period: int, sign: int) -> np.ndarray:
 class Chirp:
     """The transform sum x[n] exp(sign 2 pi i n k / period) for n < taken and k < given."""
 
-    period: int
+    period: int | np.ndarray
     sign: int
-    taken: int
-    given: int
+    taken: int | np.ndarray
+    given: int | np.ndarray
 
     def enter(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.where(at < self.taken, x * chirp(at, self.period, self.sign), 0)
@@ -101,100 +106,150 @@ class Chirp:
 PIECE = "_b long, _r long, _h long, _c long, _w long, _re array<double>, _im array<double>, _kre array<double>, _kim array<double>"
 
 
-def _piece(block: int, r: int, c: int, x: np.ndarray, k: np.ndarray | None = None) -> tuple:
-    flat = lambda m: None if m is None else np.ascontiguousarray(m).ravel()
-    imag = lambda m: flat(m.imag) if m is not None and np.iscomplexobj(m) else None
-    return (block, r, x.shape[0], c, x.shape[1], flat(x.real), imag(x), flat(None if k is None else k.real), imag(k))
+def _lists(x: np.ndarray | None, sizes: np.ndarray) -> pa.Array:
+    """Consecutive parts of ``x`` as lists, or nulls."""
+    if x is None:
+        return pa.nulls(len(sizes), pa.list_(pa.float64()))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x, dtype=float).ravel()))
 
 
-def _batch(pieces: list[tuple], same: dict[str, pa.Array]) -> pa.RecordBatch:
-    """Pieces of one trace as rows; ``same`` holds the trace's own columns, one value each."""
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.float64())] * 4
-    columns = [pa.array([p[j] for p in pieces], kind) for j, kind in enumerate(kinds)]
-    own = [pa.concat_arrays([x] * len(pieces)) if pieces else x.slice(0, 0) for x in same.values()]
-    return pa.RecordBatch.from_arrays([*own, *columns], [*same, *[c.split()[0] for c in PIECE.split(", ")]])
+def _pieces(same: pa.Table, b, r, h, c, w, x: np.ndarray, k: np.ndarray | None = None) -> pa.Table:
+    """Pieces as rows; ``same`` holds the columns of the trace of each, ``x`` and ``k`` their numbers one after the other."""
+    n = same.num_rows
+    places = [np.broadcast_to(np.asarray(v, np.int64), n) for v in (b, r, h, c, w)]
+    imag = lambda m: m.imag if m is not None and np.iscomplexobj(m) else None
+    lists = [_lists(m, places[2] * places[4]) for m in (x.real, imag(x), None if k is None else k.real, imag(k))]
+    return pa.table([*same.columns, *map(pa.array, places), *lists], names=[*same.column_names, *[v.split()[0] for v in PIECE.split(", ")]])
 
 
-def _gather(table: pa.Table, shape: tuple[int, int], r: int, c: int, re: str = "_re", im: str = "_im") -> np.ndarray:
-    """The block that a group's pieces make up; points that no piece has are zero."""
+def _gather(table: pa.Table, at: np.ndarray, shape: tuple[int, int, int], r0: np.ndarray, c0: np.ndarray, re: str = "_re", im: str = "_im") -> np.ndarray:
+    """The blocks that pieces make up, piece j in block ``at[j]``; points that no piece has are zero."""
     out = np.zeros(shape, complex)
-    for j in range(table.num_rows):
-        row = {n: table.column(n)[j] for n in ("_r", "_h", "_c", "_w", re, im)}
-        r0, h, c0, w = (row[n].as_py() for n in ("_r", "_h", "_c", "_w"))
-        part = row[re].values.to_numpy().astype(complex)
-        if row[im].is_valid:
-            part += 1j * row[im].values.to_numpy()
-        out[r0 - r : r0 - r + h, c0 - c : c0 - c + w] = part.reshape(h, w)
+    r, c, w = (table.column(n).to_numpy() for n in ("_r", "_c", "_w"))
+    for name, part in ((re, out.real), (im, out.imag)):
+        lists = table.column(name)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        values = pc.list_flatten(lists).to_numpy()
+        if len(values):
+            j = np.repeat(np.arange(len(sizes)), sizes)
+            y, x = np.divmod(np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes), w[j])
+            part[at[j], (r - r0)[j] + y, (c - c0)[j] + x] = values
     return out
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """Blocks of one size side by side: a row of ``same`` and a place ``first`` each, and the numbers."""
+
+    same: pa.Table
+    grid: Grid
+    first: np.ndarray
+    x: np.ndarray
+    k: np.ndarray | None = None
+
+    def own(self, name: str) -> np.ndarray:
+        """A number of each block's trace, to go with the blocks."""
+        return self.same.column(name).to_numpy()[:, None, None]
+
+    def repeated(self, times: int) -> pa.Table:
+        return self.same.take(pa.array(np.repeat(np.arange(len(self.first)), times)))
+
+
 class Steps:
     """The kernels of one pass, for the traces whose facts are in every row of a group."""
 
-    def __init__(self, names: Sequence[str], cells: int, chunk: int):
-        self.names, self.cells, self.chunk = list(names), cells, chunk
-
-    def own(self, table) -> tuple[dict[str, pa.Array], dict, Grid]:
-        first = {n: table.column(n).slice(0, 1) for n in self.names}
-        first = {n: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for n, x in first.items()}
-        facts = {n: x[0].as_py() for n, x in first.items()}
-        return first, facts, Grid(facts["_size"], self.cells)
+    def __init__(self, names: Sequence[str], key: Sequence[str], cells: int, chunk: int):
+        self.names, self.key, self.cells, self.chunk = list(names), list(key), cells, chunk
 
     def deal(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks of samples as pieces of blocks of columns."""
         for batch in batches:
-            for j in range(batch.num_rows):
-                row = batch.slice(j, 1)
-                same, _, grid = self.own(row)
-                v = row.column("_v").flatten().to_numpy()
-                at = row.column("_chunk")[0].as_py() * self.chunk
-                pieces = []
-                if grid.cols <= self.chunk:
-                    v = np.pad(v, (0, -len(v) % grid.cols)).reshape(-1, grid.cols)
-                    pieces = [_piece(c // grid.wide, at // grid.cols, c, v[:, c : c + grid.wide]) for c in range(0, grid.cols, grid.wide)]
-                else:
-                    r, c = divmod(at, grid.cols)
-                    if not at:  # blocks behind the end of a short trace have no samples, but a part in the chirp
-                        pieces = [_piece(b, 0, b * grid.wide, np.zeros((0, 0))) for b in range(grid.cols // grid.wide)]
-                    while len(v):
-                        n = min(len(v), grid.wide - c % grid.wide)
-                        pieces.append(_piece(c // grid.wide, r, c, v[None, :n]))
-                        v, c = v[n:], c + n
-                yield _batch(pieces, same)
-
-    def columns(self, table: pa.Table) -> tuple[dict[str, pa.Array], dict, Grid, int, np.ndarray]:
-        same, facts, grid = self.own(table)
-        first = table.column("_b")[0].as_py() * grid.wide
-        return same, facts, grid, first, _gather(table, (grid.rows, grid.wide), 0, first)
-
-    def out_of_columns(self, same, grid: Grid, first: int, x: np.ndarray, k: np.ndarray | None = None) -> pa.Table:
+            table, step = pa.Table.from_batches([batch]), max(1, BUNDLE // self.chunk)
+            for lo in range(0, table.num_rows, step):
+                part = table.slice(lo, step)
+                sizes = part.column("_size").to_numpy()
+                for size in np.unique(sizes).tolist():
+                    yield from self._dealt(part.filter(pa.array(sizes == size)), Grid(size, self.cells)).to_batches()
+
+    def _dealt(self, table: pa.Table, grid: Grid) -> pa.Table:
+        n, chunks, lengths = pc.list_value_length(table.column("_v")).to_numpy(), table.column("_chunk").to_numpy(), table.column("_len").to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        r, c = np.divmod(chunks[row] * self.chunk + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), grid.cols)
+        # a piece is what follows each other in one row of a block
+        new = np.ones(len(row), bool)
+        new[1:] = (np.diff(row) != 0) | (np.diff(r) != 0) | (np.diff(c // grid.wide) != 0)
+        head = np.flatnonzero(new)
+        sizes = np.diff(np.append(head, len(row)))
+        # blocks behind the end of a short trace have no samples, but a part in the chirp
+        first = -(-lengths // grid.wide)
+        empty = np.where(chunks == 0, np.maximum(0, grid.cols // grid.wide - first), 0)
+        behind = np.repeat(np.arange(len(n)), empty)
+        b = first[behind] + np.arange(len(behind)) - np.repeat(np.cumsum(empty) - empty, empty)
+        none = np.zeros(len(behind), np.int64)
+        both = lambda x, y: np.concatenate([x, y])
+        same = table.select(self.names).take(pa.array(both(row[head], behind)))
+        v = pc.list_flatten(table.column("_v")).to_numpy()
+        return _pieces(same, both(c[head] // grid.wide, b), both(r[head], none), both(np.ones(len(head), np.int64), none), both(c[head], b * grid.wide), both(sizes, none), v)
+
+    def blocks(self, table: pa.Table, of_rows: bool = False, kernels: bool = False) -> Iterator[Blocks]:
+        """The blocks of columns (or of rows) in a group, those of one size together."""
+        b = table.column("_b").to_numpy()
+        codes = [table.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy() for c in self.key]
+        _, head, which = np.unique(np.stack([b, *codes], axis=1), axis=0, return_index=True, return_inverse=True)
+        which, sizes = which.ravel(), table.column("_size").to_numpy()[head]
+        for size in np.unique(sizes).tolist():
+            grid, mine = Grid(size, self.cells), np.flatnonzero(sizes == size)
+            place = np.full(len(head), -1)
+            place[mine] = np.arange(len(mine))
+            rows = np.flatnonzero(place[which] >= 0)
+            part, at = table.take(pa.array(rows)), place[which[rows]]
+            step, shape = (grid.high, (grid.high, grid.cols)) if of_rows else (grid.wide, (grid.rows, grid.wide))
+            r0, c0 = (b[rows] * step, 0) if of_rows else (0, b[rows] * step)
+            numbers = [_gather(part, at, (len(mine), *shape), r0, c0, *f) for f in (("_re", "_im"), ("_kre", "_kim"))[: 1 + kernels]]
+            yield Blocks(table.select(self.names).take(pa.array(head[mine])), grid, b[head[mine]] * step, *numbers)
+
+    def out_of_columns(self, blocks: Blocks, x: np.ndarray, k: np.ndarray | None = None) -> pa.Table:
         """Columns transformed and turned, as pieces of blocks of rows."""
-        turn = grid.twiddle(np.arange(grid.rows), first + np.arange(grid.wide), -1)
-        both = [np.fft.fft(m, axis=0) * turn for m in (x, k) if m is not None]
-        pieces = [_piece(r // grid.high, r, first, *[m[r : r + grid.high] for m in both]) for r in range(0, grid.rows, grid.high)]
-        return pa.Table.from_batches([_batch(pieces, same)])
+        grid, first = blocks.grid, blocks.first
+        turn = grid.twiddle(np.arange(grid.rows)[:, None], first[:, None, None] + np.arange(grid.wide), -1)
+        both = [np.fft.fft(m, axis=1) * turn for m in (x, k) if m is not None]
+        r, n = np.arange(0, grid.rows, grid.high), grid.rows // grid.high
+        return _pieces(blocks.repeated(n), np.tile(r // grid.high, len(first)), np.tile(r, len(first)), grid.high, np.repeat(first, n), grid.wide, *both)
 
     def through_rows(self, table: pa.Table, gain: Gain | None) -> pa.Table:
         """Rows transformed, multiplied by the gain or by the chirp's own transform, and back to blocks of columns."""
-        same, facts, grid = self.own(table)
-        first = table.column("_b")[0].as_py() * grid.high
-        x = np.fft.fft(_gather(table, (grid.high, grid.cols), first, 0), axis=1)
-        if gain is None:
-            x *= np.fft.fft(_gather(table, (grid.high, grid.cols), first, 0, "_kre", "_kim"), axis=1)
-        else:
-            x *= two_sided(gain, grid.frequencies(first), grid.size, facts)
-        x = np.fft.ifft(x, axis=1) * grid.twiddle(first + np.arange(grid.high), np.arange(grid.cols), 1)
-        pieces = [_piece(c // grid.wide, first, c, x[:, c : c + grid.wide]) for c in range(0, grid.cols, grid.wide)]
-        return pa.Table.from_batches([_batch(pieces, same)])
-
-    def samples(self, same, grid: Grid, first: int, x: np.ndarray, given: int) -> pa.Table:
-        """Rows (first position, values) of one block of columns."""
-        at = np.arange(grid.rows, dtype=np.int64) * grid.cols + first
-        at = at[at < given]
-        values = [x[j, : given - a] for j, a in enumerate(at.tolist())]
-        columns = [pa.array(at), pa.array(values, pa.list_(pa.float64()))]
-        own = [pa.concat_arrays([v] * len(at)) if len(at) else v.slice(0, 0) for v in same.values()]
-        return pa.Table.from_arrays([*own, *columns], [*same, "_at", "_v"])
+        out = []
+        for blocks in self.blocks(table, of_rows=True, kernels=gain is None):
+            grid, first = blocks.grid, blocks.first
+            x = np.fft.fft(blocks.x, axis=2)
+            if gain is None:
+                x *= np.fft.fft(blocks.k, axis=2)
+            else:
+                for j, facts in enumerate(blocks.same.to_pylist()):
+                    x[j] *= two_sided(gain, grid.frequencies(int(first[j])), grid.size, facts)
+            x = np.fft.ifft(x, axis=2) * grid.twiddle(first[:, None, None] + np.arange(grid.high)[:, None], np.arange(grid.cols), 1)
+            c, n = np.arange(0, grid.cols, grid.wide), grid.cols // grid.wide
+            x = x.reshape(len(first), grid.high, n, grid.wide).transpose(0, 2, 1, 3)
+            out.append(_pieces(blocks.repeated(n), np.tile(c // grid.wide, len(first)), np.repeat(first, n), grid.high, np.tile(c, len(first)), grid.wide, x))
+        return pa.concat_tables(out)
+
+    def samples(self, blocks: Blocks, x: np.ndarray, given: np.ndarray) -> pa.Table:
+        """Rows (first position, values) of blocks of columns."""
+        at = blocks.grid.points(blocks.first)
+        inside = at < given
+        sizes = inside.sum(axis=2).ravel()
+        kept = np.flatnonzero(sizes)
+        same = blocks.same.take(pa.array(kept // blocks.grid.rows))
+        return pa.table([*same.columns, pa.array(at[:, :, 0].ravel()[kept]), _lists(x[inside], sizes[kept])], names=[*same.column_names, "_at", "_v"])
+
+
+def _bundled(pieces: DataFrame, key: Sequence[str], cells: int, points: int):
+    """Groups of whole blocks: large ones apart, small ones in bundles of about ``BUNDLE`` numbers."""
+    block = F.xxhash64(*key, "_b")
+    bundles = max(1, -(-points // BUNDLE))
+    small = F.greatest(F.lit(float(cells)), F.sqrt("_size")) * 16 <= BUNDLE
+    return pieces.withColumn("_bundle", F.when(small, F.pmod(block, F.lit(bundles))).otherwise(block)).groupBy("_bundle")
 
 
 def two_sided(gain: Gain, k: np.ndarray, size: int, facts: dict) -> np.ndarray:
@@ -215,6 +270,11 @@ def _laid_out(samples: DataFrame, facts: DataFrame, key: Sequence[str], value: s
     return cut_lineage(join_facts(pack(samples, key, value, index, chunk), spread_facts(facts, "_len", chunk), [*key, "_chunk"], "inner"))
 
 
+def _points(rows: DataFrame) -> int:
+    """Points of all padded traces."""
+    return rows.where("_chunk = 0").agg(F.sum("_size")).first()[0] or 0
+
+
 def _whole(rows: DataFrame, names: Sequence[str], key: Sequence[str], each: Callable[[np.ndarray, dict], np.ndarray]) -> DataFrame:
     """(names, _at, _v) of traces that fit a task."""
 
@@ -244,7 +304,7 @@ def fourier_filter(samples: DataFrame, key: Sequence[str], gain: Gain, facts: Da
     facts = facts.withColumn("_size", size_for(2 * F.col("_len")))
     names = facts.columns
     chunk = 1 << (chunk.bit_length() - 1)  # so that chunks and rows of the matrix fit each other
-    steps = Steps(names, cells, chunk)
+    steps = Steps(names, key, cells, chunk)
     rows = _laid_out(samples, facts, key, value, index, chunk)
 
     def short(v: np.ndarray, own: dict) -> np.ndarray:
@@ -254,21 +314,20 @@ def fourier_filter(samples: DataFrame, key: Sequence[str], gain: Gain, facts: Da
 
     out = _whole(rows.where(F.col("_size") <= cells), names, key, short)
     large = rows.where(F.col("_size") > cells)
-    if large.head(1):
+    points = _points(large)
+    if points:
         schema = f"{_fields(rows, names)}, {PIECE}"
 
         def enter(table: pa.Table) -> pa.Table:
-            same, _, grid, first, x = steps.columns(table)
-            return steps.out_of_columns(same, grid, first, x)
+            return pa.concat_tables([steps.out_of_columns(b, b.x) for b in steps.blocks(table)])
 
         def leave(table: pa.Table) -> pa.Table:
-            same, own, grid, first, x = steps.columns(table)
-            return steps.samples(same, grid, first, np.fft.ifft(x, axis=0).real, own["_len"])
+            return pa.concat_tables([steps.samples(b, np.fft.ifft(b.x, axis=1).real, b.own("_len")) for b in steps.blocks(table)])
 
         pieces = large.mapInArrow(steps.deal, schema)
-        pieces = pieces.groupBy(*key, "_b").applyInArrow(enter, schema)
-        pieces = pieces.groupBy(*key, "_b").applyInArrow(lambda t: steps.through_rows(t, gain), schema)
-        out = out.unionByName(pieces.groupBy(*key, "_b").applyInArrow(leave, f"{_fields(rows, names)}, _at long, _v array<double>"))
+        pieces = _bundled(pieces, key, cells, points).applyInArrow(enter, schema)
+        pieces = _bundled(pieces, key, cells, points).applyInArrow(lambda t: steps.through_rows(t, gain), schema)
+        out = out.unionByName(_bundled(pieces, key, cells, points).applyInArrow(leave, f"{_fields(rows, names)}, _at long, _v array<double>"))
     return _samples(out, key, value, index)
 
 
@@ -288,7 +347,7 @@ def resampled(v: np.ndarray, num: int) -> np.ndarray:
 
 def _weights(k: np.ndarray, n: int, num: int) -> np.ndarray:
     """What a place of the lower half of the spectrum counts for both halves; beyond the new middle nothing."""
-    last = min(n, num) // 2
+    last = np.minimum(n, num) // 2
     middle = (2 * k == n) & (num >= n)
     return np.where(k > last, 0.0, np.where((k == 0) | middle, 1.0, 2.0))
 
@@ -311,37 +370,36 @@ def fourier_resample(samples: DataFrame, key: Sequence[str], sr: float, target:
     facts = facts.withColumn("_size", size_for(need))
     names = facts.columns
     chunk = 1 << (chunk.bit_length() - 1)  # so that chunks and rows of the matrix fit each other
-    steps = Steps(names, cells, chunk)
+    steps = Steps(names, key, cells, chunk)
     rows = _laid_out(samples, facts, key, value, index, chunk)
     out = _whole(rows.where(F.col("_size") <= cells), names, key, lambda v, own: resampled(v, own["_num"]))
     large = rows.where(F.col("_size") > cells)
-    if large.head(1):
+    points = _points(large)
+    if points:
         schema = f"{_fields(rows, names)}, {PIECE}"
 
-        def chirps(own: dict) -> tuple[Chirp, Chirp]:
-            n, num = own["_len"], own["_num"]
-            half = min(n, num) // 2 + 1
+        def chirps(b: Blocks) -> tuple[Chirp, Chirp]:
+            n, num = b.own("_len"), b.own("_num")
+            half = np.minimum(n, num) // 2 + 1
             return Chirp(n, -1, n, half), Chirp(num, 1, half, num)
 
-        def enter(table: pa.Table) -> pa.Table:
-            same, own, grid, first, x = steps.columns(table)
-            at, there = grid.points(first), chirps(own)[0]
-            return steps.out_of_columns(same, grid, first, there.enter(x, at), there.kernel(at, grid.size))
+        def entered(b: Blocks) -> pa.Table:
+            at, there = b.grid.points(b.first), chirps(b)[0]
+            return steps.out_of_columns(b, there.enter(b.x, at), there.kernel(at, b.grid.size))
 
-        def turn(table: pa.Table) -> pa.Table:
-            same, own, grid, first, x = steps.columns(table)
-            at, (there, back) = grid.points(first), chirps(own)
-            x = there.leave(np.fft.ifft(x, axis=0), at) * _weights(at, own["_len"], own["_num"]) / own["_len"]
-            return steps.out_of_columns(same, grid, first, back.enter(x, at), back.kernel(at, grid.size))
+        def turned(b: Blocks) -> pa.Table:
+            at, (there, back) = b.grid.points(b.first), chirps(b)
+            x = there.leave(np.fft.ifft(b.x, axis=1), at) * _weights(at, b.own("_len"), b.own("_num")) / b.own("_len")
+            return steps.out_of_columns(b, back.enter(x, at), back.kernel(at, b.grid.size))
 
-        def leave(table: pa.Table) -> pa.Table:
-            same, own, grid, first, x = steps.columns(table)
-            x = chirps(own)[1].leave(np.fft.ifft(x, axis=0), grid.points(first))
-            return steps.samples(same, grid, first, x.real, own["_num"])
+        def left(b: Blocks) -> pa.Table:
+            x = chirps(b)[1].leave(np.fft.ifft(b.x, axis=1), b.grid.points(b.first))
+            return steps.samples(b, x.real, b.own("_num"))
 
+        each = lambda step: lambda table: pa.concat_tables([step(b) for b in steps.blocks(table)])
         pieces = large.mapInArrow(steps.deal, schema)
-        for step in (enter, turn):
-            pieces = pieces.groupBy(*key, "_b").applyInArrow(step, schema)
-            pieces = pieces.groupBy(*key, "_b").applyInArrow(lambda t: steps.through_rows(t, None), schema)
-        out = out.unionByName(pieces.groupBy(*key, "_b").applyInArrow(leave, f"{_fields(rows, names)}, _at long, _v array<double>"))
+        for step in (entered, turned):
+            pieces = _bundled(pieces, key, cells, points).applyInArrow(each(step), schema)
+            pieces = _bundled(pieces, key, cells, points).applyInArrow(lambda t: steps.through_rows(t, None), schema)
+        out = out.unionByName(_bundled(pieces, key, cells, points).applyInArrow(each(left), f"{_fields(rows, names)}, _at long, _v array<double>"))
     return _samples(out, key, value, index)
