@@ -88,6 +88,30 @@ def test_steps_do_not_depend_on_partitions(spark, windows, monkeypatch):
         np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-9)
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.2])
+def test_many_small_steps_share_jobs(spark, windows, monkeypatch, dropout):
+    """The weights are those of one job a step, whether a step is small, empty or larger than a task takes."""
+    train = windows.where("label = 0").select("window_id", "x")
+    copies = windows.where("window_id = 7").select("window_id", "x").withColumn("x", F.explode(F.array_repeat("x", 60)))
+    train = train.unionByName(copies)  # one step with 60 equal rows
+
+    def fit(group):
+        spark.sparkContext.setJobGroup(group, group)
+        model = M.fit_dense_ae(train, windows, (16, 8, 3), epochs=2, lr=0.02, steps=40, dropout=dropout)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return model, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    monkeypatch.setattr(M, "FILE_ROWS", 50)
+    shared, few = fit(f"shared {dropout}")
+    monkeypatch.setattr(M, "EPOCH_JOBS", 40)
+    alone, many = fit(f"alone {dropout}")
+    assert few < 40 < 80 <= many
+    if not dropout:  # the masks of a step lie on its rows in any order
+        for a, b in zip([*shared.weights, *shared.biases], [*alone.weights, *alone.biases]):
+            np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-9)
+    assert [h["val_loss"] for h in shared.history] == pytest.approx([h["val_loss"] for h in alone.history], rel=0.2 if dropout else 1e-9)
+
+
 def test_search_with_pruning(spark, windows, monkeypatch):
     """Fifty trials take the jobs of one fit, the survivor is what it would be alone, failures are null."""
     calls, real = [], M._summed_gradients

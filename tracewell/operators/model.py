@@ -7,12 +7,14 @@ weight arrays whose size depends on the window length, never on the data.
 
 from __future__ import annotations
 
+import copy
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector
@@ -27,7 +29,9 @@ from tracewell.operators.ordered import attach_facts, order_statistics
 from tracewell.operators.windows import pinned
 from tracewell.session import cut_lineage
 
-FILE_ROWS = 1 << 14  # rows of a step that one task reads
+FILE_ROWS = 1 << 14  # rows of a step, or of a run of steps, that one task reads
+RUN_STEPS = 1 << 8  # steps of a run at most
+EPOCH_JOBS = 1 << 4  # an epoch of so few steps takes a job for each of them
 SLOT = 4096  # gradient entries per row when partitions hand in their sums
 
 
@@ -198,12 +202,16 @@ def fit_dense_ae(train: DataFrame, val: DataFrame, layers: Sequence[int] = (400,
     """Data-parallel training with Adam.
 
     An epoch has ``steps`` optimizer steps, or as many as give ``batch`` rows a step;
-    neither depends on the size of the cluster.  With many rows give ``steps``: every
-    step is a Spark job over its share of all rows.  The rows are hashed once into
+    neither depends on the size of the cluster.  The rows are hashed once into
     steps and written by step, so that a step reads only its own rows and an epoch
-    reads each row once.  In each step the weights go out, partitions return
-    gradient sums in slots of ``SLOT`` numbers, and Spark adds the slots up.  What
-    reaches the driver is one gradient, whatever the number of rows.
+    reads each row once.  A step of more than ``FILE_ROWS`` rows, or of a short epoch,
+    is a job: the weights go out, partitions return gradient sums in slots of ``SLOT``
+    numbers, and Spark adds the slots up.  Where an epoch has many small steps, they
+    follow one another in a task that reads up to ``FILE_ROWS`` rows, and the weights
+    come back after the last.  A step needs the weights of the one before, so many
+    small steps gain nothing from more machines;
+    with many rows give ``steps``.  What reaches the driver is one gradient or one
+    set of weights, whatever the number of rows.
 
     Training stops early after ``patience`` epochs without a better validation loss,
     the rate is halved every ``plateau`` such epochs, and the best weights are kept.
@@ -251,6 +259,12 @@ class Trial:
             if self.since >= self.patience:
                 self.status = "done"
 
+    def state(self) -> Trial:
+        """A copy with what a step needs."""
+        t = copy.copy(self)
+        t.best, t.history = None, []
+        return t
+
     def model(self) -> DenseModel:
         return DenseModel(*_unflatten(self.best, self.shapes), self.out, self.history)
 
@@ -258,24 +272,38 @@ class Trial:
 TOGETHER = 1 << 24  # weights that travel in one broadcast
 
 
-def _parties(trials: Sequence[Trial]) -> list[list[Trial]]:
-    """Live trials in groups whose weights fit one broadcast."""
+def _parties(trials: Sequence[Trial], numbers: int = 1) -> list[list[Trial]]:
+    """Live trials in groups whose weights, with ``numbers`` sent for each, fit one broadcast."""
     out, size = [[]], 0
     for t in trials:
-        if out[-1] and size + t.flat.size > TOGETHER:
+        if out[-1] and size + numbers * t.flat.size > TOGETHER:
             out.append([])
             size = 0
         out[-1].append(t)
-        size += t.flat.size
+        size += numbers * t.flat.size
     return out
 
 
+def _runs(steps: Iterable[int], sizes: dict[int, int]) -> Iterator[list[int]]:
+    """The steps in order, those that follow one another together while one task can read them."""
+    run, rows = [], 0
+    for step in steps:
+        if run and (rows + sizes.get(step, 0) > FILE_ROWS or len(run) == RUN_STEPS):
+            yield run
+            run, rows = [], 0
+        run.append(step)
+        rows += sizes.get(step, 0)
+    if run:
+        yield run
+
+
 def train_trials(trials: Sequence[Trial], train: DataFrame, val: DataFrame, epochs: int, batch: int = 512, steps: int | None = None,
                  seed: int = 42, x: str = "x", rungs: Sequence[int] = (), keep: float = 0.5) -> None:
-    """Train several networks side by side: each step is one job for all that are live.
+    """Train several networks side by side: each step, or run of small steps, is one job for all that are live.
 
     Their weights travel in one broadcast, a task computes the gradients of all of
-    them from the rows it has read once, and Spark adds the slots up by trial.  After
+    them from the rows it has read once, and Spark adds the slots up by trial; the
+    task of a run takes the steps itself.  After
     the epochs in ``rungs`` only the best ``keep`` of the live trials, by their best
     validation loss, go on; the others are pruned.  A trial whose loss is no longer
     finite has failed.  A trial takes the same course as it would alone.
@@ -291,11 +319,18 @@ def train_trials(trials: Sequence[Trial], train: DataFrame, val: DataFrame, epoc
     files = max(1, -(-n // (steps * FILE_ROWS)))
     spread = hashed.withColumn("_file", F.pmod(F.shiftright("_h", 20), F.lit(files)))
     table = cut_lineage(spread.repartition("_step", "_file").drop("_h", "_file"), partition_by=["_step"])
+    # one small row per step
+    sizes = {r["_step"]: r["count"] for r in table.groupBy("_step").count().collect()}
     for epoch in range(1, epochs + 1):
-        for step in order.permutation(steps):
-            rows_now = table.where(F.col("_step") == int(step))
+        turns = order.permutation(steps).tolist()
+        for run in _runs(turns, sizes) if steps > EPOCH_JOBS else ([step] for step in turns):
+            rows_now = table.where(F.col("_step").isin(run))
+            if steps > EPOCH_JOBS and sum(sizes.get(step, 0) for step in run) <= FILE_ROWS:
+                for party in _parties([t for t in trials if t.status == "live"], 3):
+                    _take_steps(rows_now, party, epoch, run)
+                continue
             for party in _parties([t for t in trials if t.status == "live"]):
-                for t, (g, loss, count) in zip(party, _summed_gradients(rows_now, party, epoch * 1000 + int(step)), strict=True):
+                for t, (g, loss, count) in zip(party, _summed_gradients(rows_now, party, _turn(epoch, run[0])), strict=True):
                     if count:
                         t.step(g, loss, count)
         for party in _parties([t for t in trials if t.status == "live"]):
@@ -312,8 +347,85 @@ def train_trials(trials: Sequence[Trial], train: DataFrame, val: DataFrame, epoc
             t.status = "done"
 
 
+def _turn(epoch: int, step: int) -> int:
+    return epoch * 1000 + step
+
+
+def _network(t: Trial) -> tuple:
+    return t.flat, t.shapes, t.out, t.dropout, t.seed
+
+
 def _sent(rows: DataFrame, party: Sequence[Trial]):
-    return rows.sparkSession.sparkContext.broadcast([(t.flat, t.shapes, t.out, t.dropout, t.seed) for t in party])
+    return rows.sparkSession.sparkContext.broadcast([_network(t) for t in party])
+
+
+class _Gradients:
+    """What one task adds up of a step: for every network the gradient and the loss of its rows."""
+
+    def __init__(self, networks: Sequence[tuple], turn: int):
+        self.networks = [(*_unflatten(flat, shapes), shapes, out, dropout) for flat, shapes, out, dropout, _ in networks]
+        # other masks in every partition
+        self.draws = [np.random.default_rng([seed + turn, TaskContext.get().partitionId()]) for *_, seed in networks]
+        self.sums, self.count = [None] * len(networks), 0
+
+    def add(self, m: np.ndarray) -> None:
+        self.count += len(m)
+        for k, (weights, biases, shapes, out, dropout) in enumerate(self.networks):
+            masks = [(self.draws[k].random((len(m), b)) >= dropout) / (1 - dropout) for _, b in shapes[:-1]] if dropout else None
+            with np.errstate(all="ignore"):
+                g, loss = _gradient(weights, biases, m, out, masks)
+            self.sums[k] = (g, loss) if self.sums[k] is None else (self.sums[k][0] + g, self.sums[k][1] + loss)
+
+
+def _slots(trial: int, head: Sequence[float], flat: np.ndarray) -> pd.DataFrame:
+    cut = [flat[i:i + SLOT] for i in range(0, len(flat), SLOT)]
+    return pd.DataFrame({"trial": trial, "slot": range(-1, len(cut)), "g": [np.array(head), *cut]})
+
+
+SLOTS = "trial int, slot int, g array<double>"
+
+
+def _take_steps(rows: DataFrame, party: Sequence[Trial], epoch: int, steps: Sequence[int]) -> None:
+    """Let the trials take small steps one after the other, in one task that reads the rows of all of them.
+
+    The task sorts the rows by the place of their step and holds the gradient sums of
+    one step.  The trials' weights and Adam's state go out and come back once.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast([t.state() for t in party])
+
+    def run(batches):
+        trials, place, sums = [t.state() for t in sent.value], None, None
+
+        def take():
+            for t, (g, loss) in zip(trials, sums.sums, strict=True):
+                t.step(g, loss, sums.count)
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            at, m = pdf["_at"].to_numpy(), np.stack(pdf["x"].to_numpy()).astype(float)
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+                if at[part[0]] != place:
+                    if sums:
+                        take()
+                    place = at[part[0]]
+                    sums = _Gradients([_network(t) for t in trials], _turn(epoch, steps[place - 1]))
+                sums.add(m[part])
+        if sums:
+            take()
+            for k, t in enumerate(trials):
+                yield _slots(k, [t.loss, float(t.t)], np.concatenate([t.flat, t.m1, t.m2]))
+
+    place = F.array_position(F.array(*[F.lit(s) for s in steps]), F.col("_step")).cast("int")
+    ordered = rows.select("x", place.alias("_at")).coalesce(1).sortWithinPartitions("_at")
+    found = ordered.mapInPandas(run, SLOTS).toArrow().sort_by([("trial", "ascending"), ("slot", "ascending")])
+    sent.unpersist()
+    for k, t in enumerate(party):
+        g = found.filter(pc.field("trial") == k).column("g").combine_chunks()
+        if len(g):
+            values = g.flatten().to_numpy(zero_copy_only=False)  # null is NaN again
+            t.loss, t.t = float(values[0]), int(values[1])
+            t.flat, t.m1, t.m2 = (v.copy() for v in np.split(values[2:], 3))
 
 
 def _mean_errors(held: DataFrame, party: Sequence[Trial]) -> list[float]:
@@ -339,30 +451,19 @@ def _summed_gradients(rows: DataFrame, party: Sequence[Trial], turn: int) -> lis
     sent = _sent(rows, party)
 
     def partial(batches):
-        trials = [(*_unflatten(flat, shapes), shapes, out, dropout) for flat, shapes, out, dropout, _ in sent.value]
-        draws = [np.random.default_rng([seed + turn, TaskContext.get().partitionId()]) for *_, seed in sent.value]  # other masks in every partition
-        sums, count = [None] * len(trials), 0
+        sums = _Gradients(sent.value, turn)
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            m = np.stack(pdf["x"].to_numpy()).astype(float)
-            count += len(m)
-            for k, (weights, biases, shapes, out, dropout) in enumerate(trials):
-                masks = [(draws[k].random((len(m), b)) >= dropout) / (1 - dropout) for _, b in shapes[:-1]] if dropout else None
-                with np.errstate(all="ignore"):
-                    g, loss = _gradient(weights, biases, m, out, masks)
-                sums[k] = (g, loss) if sums[k] is None else (sums[k][0] + g, sums[k][1] + loss)
-        for k, both in enumerate(sums):
+            if len(pdf):
+                sums.add(np.stack(pdf["x"].to_numpy()).astype(float))
+        for k, both in enumerate(sums.sums):
             if both is not None:
-                cut = [both[0][i:i + SLOT] for i in range(0, len(both[0]), SLOT)]
-                yield pd.DataFrame({"trial": k, "slot": range(-1, len(cut)), "g": [np.array([both[1], float(count)]), *cut]})
+                yield _slots(k, [both[1], float(sums.count)], both[0])
 
     def add(pdf):
         return pd.DataFrame({"trial": [pdf["trial"].iloc[0]], "slot": [pdf["slot"].iloc[0]], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)]})
 
-    schema = "trial int, slot int, g array<double>"
     # one row per partition and slot meets here: partitions * SLOT numbers at most
-    summed = rows.select("x").mapInPandas(partial, schema).groupBy("trial", "slot").applyInPandas(add, schema).orderBy("trial", "slot").collect()
+    summed = rows.select("x").mapInPandas(partial, SLOTS).groupBy("trial", "slot").applyInPandas(add, SLOTS).orderBy("trial", "slot").collect()
     sent.unpersist()
     found = {k: [r["g"] for r in summed if r["trial"] == k] for k in range(len(party))}
     return [(np.concatenate([np.asarray(g, float) for g in f[1:]]), float("nan") if f[0][0] is None else f[0][0], int(f[0][1])) if f else (None, 0.0, 0) for f in found.values()]
