@@ -3,13 +3,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell import session
 from tracewell.operators import evaluate as E
 from tracewell.operators import splits as S
 from tracewell.operators.drift import ks_two_sample
 from tracewell.operators.intervals import label_overlap, match_detections
 from tracewell.operators.ordered import order_statistics
 from tracewell.operators.stats import box_stats, histogram
-from tracewell.operators.trigger import sta_lta, trigger
+from tracewell.operators.trigger import sta_lta, to_seconds, trigger
 
 
 def frame(spark, scores, labels):
@@ -147,6 +148,29 @@ def test_sweep_grid_and_best_axis(spark):
     assert E.best_per_axis(out).count() == 3
 
 
+@pytest.mark.parametrize("chunk", [16, 64, 1 << 16])
+def test_sweep_sends_on_few_changes(spark, chunk):
+    """Counts are those of trigger and interval join; a chunk sends on three changes of the mark at most, a whole trace none."""
+    rng = np.random.default_rng(13)
+    traces = {k: rng.normal(size=n) * np.where(np.arange(n) // 23 % 3 == 0, 3, 1) for k, n in (("a", 500), ("b", 64), ("c", 7), ("d", 130))}
+    s = spark.createDataFrame([(k, i, float(v)) for k, x in traces.items() for i, v in enumerate(x)], "k string, i long, v double")
+    truth = spark.createDataFrame([("a", 24.0), ("b", 2.0), ("c", 1.0), ("none", 1.0)], "k string, t double")
+    settings = [{"setting": j, "axis": "all", "varied": float(j), "n_sta": a, "n_lta": b, "on": on} for j, (a, b, on) in enumerate([(2, 10, 1.2), (3, 30, 1.5), (1, 5, 2.0), (3, 10, 99.0)])]
+    seen = []
+    session.WATCHERS.append(lambda df: "_mark" in df.columns and seen.append(df))
+    try:
+        got = {r.setting: r for r in E.sweep(s, truth, ["k"], 10.0, settings, min_dur=0.2, tol=1.0, with_auc=False, chunk=chunk).collect()}
+    finally:
+        session.WATCHERS.pop()
+    largest = seen[0].agg(F.max(F.size("_i"))).first()[0]
+    assert largest <= (3 if chunk < 500 else 0)
+    for one in settings:
+        det = trigger(sta_lta(s, ["k"], one["n_sta"], one["n_lta"]), ["k"], one["on"], one["on"] / 2, 2)
+        hit, found = match_detections(to_seconds(det, 10.0), truth, ["k"], 1.0)
+        want, r = E.trigger_quality(hit, found).first(), got[one["setting"]]
+        assert [r[c] for c in ("n_alarms", "n_hits", "n_truth", "n_found")] == [want[c] for c in ("n_alarms", "n_hits", "n_truth", "n_found")]
+
+
 def test_split_arithmetic(spark):
     for n, fractions, names, want in ((489, S.FRACTIONS, S.NAMES, [342, 73, 74]), (1590, (0.2, 0.8), ("val", "test"), [318, 1272]),
                                       (2, S.FRACTIONS, S.NAMES, [1, 0, 1]), (30, (0.2, 0.8), ("val", "test"), [6, 24])):
