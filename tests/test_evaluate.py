@@ -111,6 +111,19 @@ def test_trigger_scores(spark, chunk):
         assert got[(k, 1)] == pytest.approx(event) and got[(k, 0)] == pytest.approx(noise)
 
 
+def test_trigger_scores_of_short_traces_rank_no_rows(spark, monkeypatch):
+    """Traces of one chunk need no table of ranked values, also where the norm is negative."""
+    rng = np.random.default_rng(16)
+    traces = {k: rng.normal(size=n) - off for k, n, off in (("up", 300, 0), ("down", 200, 9), ("one", 1, 0))}
+    cf = spark.createDataFrame([(k, i, float(v)) for k, x in traces.items() for i, v in enumerate(x)], "t string, i long, cf double")
+    truth = spark.createDataFrame([(k, 10.0) for k in traces], "t string, at double")
+    monkeypatch.setattr(E, "order_statistics", lambda *a, **k: pytest.fail("ranked"))
+    got = {(r.t, r.label): r.score for r in E.score_trigger(cf, truth, ["t"], 10.0, tol=2.0, guard=5, at="at").collect()}
+    assert len(got) == 6
+    for k, x in traces.items():
+        assert (got[k, 1], got[k, 0]) == pytest.approx(loop_scores(x, 10.0, 10.0, 2.0, 5))
+
+
 def test_quantiles_with_and_without_the_sketch(spark):
     """A group above the sketch's size, a small one, ties and nulls: both ways agree with NumPy."""
     rng = np.random.default_rng(8)

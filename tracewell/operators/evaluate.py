@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.ordered import (
     CHUNK,
     DIRECT_FRAME,
-    attach_trace_facts,
+    chunk_of,
     chunk_window,
     join_facts,
     lay_out_chunks,
@@ -26,6 +26,7 @@ from tracewell.operators.ordered import (
 )
 from tracewell.operators.select import argmax_row
 from tracewell.operators.trigger import events_from_edges, to_seconds
+from tracewell.operators.windows import let
 from tracewell.session import cut_lineage
 
 NORM_FLOOR = 1e-10  # fixed value added to the normalising percentile
@@ -154,29 +155,53 @@ def _quality(counts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     })
 
 
+def _quantile(v: Column, q: float) -> Column:
+    """Linear quantile of a sorted array without nulls; null if it is empty."""
+    at = F.lit(float(q)) * (F.size(v) - 1)
+    rest = at - F.floor(at)
+    low = F.get(v, F.floor(at).cast("int"))
+    return F.when(rest > 0, low * (1 - rest) + F.get(v, F.floor(at).cast("int") + 1) * rest).otherwise(low)
+
+
 def score_trigger(cf: DataFrame, truth: DataFrame, key: Sequence[str], sr: float, tol: float = TOLERANCE_S,
                   guard: int = GUARD_ROWS, normalise: bool = True, at: str = "t", index: str = "i",
                   chunk: int = CHUNK) -> DataFrame:
     """Two scored rows per trace: the largest cf near the truth (label 1) and the
-    largest one outside that zone widened by ``guard`` rows (label 0); 0 if empty."""
+    largest one outside that zone widened by ``guard`` rows (label 0); 0 if empty.
+
+    A chunk is one array, so a trace that is one chunk needs no sort or join of its
+    rows; only the quantile of longer ones is counted.  A ``_chunk`` column from
+    ``sta_lta(keep_chunk=True)``, with the same ``chunk``, saves a shuffle.
+    """
     lengths = cf.groupBy(*key).agg((F.max(index) + 1).alias("_len"))
     zone = lengths.join(truth.select(*key, at), list(key), "inner").withColumns({
         "_i0": F.greatest(F.lit(0), ((F.col(at) - tol) * sr).cast("bigint")),
         "_i1": F.least(F.col("_len"), ((F.col(at) + tol) * sr).cast("bigint")),
     })
+    zone = cut_lineage(zone.select(*key, "_len", "_i0", "_i1"))  # one row per truth
+    row = F.struct(F.col(index).alias("i"), F.col("cf").cast("double").alias("cf"))
+    where = F.col("_chunk") if "_chunk" in cf.columns else chunk_of(index, chunk)
+    packed = cf.where(F.col("cf").isNotNull()).select(*key, where.alias("_chunk"), row.alias("_row")).groupBy(*key, "_chunk").agg(F.collect_list("_row").alias("_rows"))
+    joined = join_facts(packed, spread_facts(zone, "_len", chunk), [*key, "_chunk"], "inner")
+    near = lambda i: (i >= F.col("_i0")) & (i < F.col("_i1"))
+    # the widened zone keeps the slice rule of its bounds even when the zone itself is empty
+    wide = lambda i: (i >= F.greatest(F.lit(0), F.col("_i0") - guard)) & (i < F.least(F.col("_len"), F.col("_i1") + guard))
+    rows_near, rows_far = F.filter("_rows", lambda r: near(r["i"])), F.filter("_rows", lambda r: ~wide(r["i"]))
+    whole = F.when(F.col("_len") <= chunk, let(F.array_sort(F.col("_rows")["cf"]), lambda v: _quantile(v, 0.95)))
+    parts = joined.select(*key, whole.alias("_p95"), rows_near["cf"].alias("_near"), rows_far["cf"].alias("_far"))
+    best = parts.groupBy(*key).agg(F.max("_p95").alias("_p95"), *[f(g(c)).alias(f"{c}_{n}") for c in ("_near", "_far") for n, f, g in (("max", F.max, F.array_max), ("min", F.min, F.array_min))])
     if normalise:
-        zone = zone.join(order_statistics(cf, key, "cf", {"_p95": 0.95}), list(key), "inner")
+        long = zone.where(F.col("_len") > chunk).select(*key).distinct()
+        if long.head(1):
+            counted = order_statistics(cf.join(long, list(key), "left_semi"), key, "cf", {"_counted": 0.95})
+            best = join_facts(best, counted, key, "left").withColumn("_p95", F.coalesce("_p95", "_counted"))
+        best = best.where(F.col("_p95").isNotNull())
     else:
-        zone = zone.withColumn("_p95", F.lit(1.0) - NORM_FLOOR)
-    joined = attach_trace_facts(cf.select(*key, index, "cf"), zone, key, "_len", index, chunk)
-    i, value = F.col(index), F.col("cf") / (F.col("_p95") + NORM_FLOOR)
-    near = (i >= F.col("_i0")) & (i < F.col("_i1"))
-    # the widened zone keeps the slice rule of its bounds even when the zone itself is empty
-    wide = (i >= F.greatest(F.lit(0), F.col("_i0") - guard)) & (i < F.least(F.col("_len"), F.col("_i1") + guard))
-    best = joined.groupBy(*key).agg(
-        F.coalesce(F.max(F.when(near, value)), F.lit(0.0)).alias("_event"),
-        F.coalesce(F.max(F.when(~wide, value)), F.lit(0.0)).alias("_noise"),
-    )
+        best = best.withColumn("_p95", F.lit(1.0) - NORM_FLOOR)
+    norm = F.col("_p95") + NORM_FLOOR
+    # a negative norm turns the order round
+    largest = lambda c: F.coalesce(F.when(norm < 0, F.col(f"{c}_min")).otherwise(F.col(f"{c}_max")) / norm, F.lit(0.0))
+    best = best.select(*key, largest("_near").alias("_event"), largest("_far").alias("_noise"))
     pair = F.array(
         F.struct(F.lit(1).alias("label"), F.col("_event").alias("score")),
         F.struct(F.lit(0).alias("label"), F.col("_noise").alias("score")),

@@ -139,7 +139,7 @@ ts AS (SELECT user_id, 1 AS label, ev AS score FROM b UNION ALL SELECT user_id,
 @query("G20_trigger_scores", f"WITH {TRIGGER_SCORES} SELECT user_id, label, round(score, 6) AS score FROM ts")
 def g20(spark, d):
     s = event_samples(spark, d, extra=("event_type",))
-    out = E.score_trigger(sta_lta(s, U, 3, 10), first_errors(s), U, 2.0, tol=4.0, guard=5)
+    out = E.score_trigger(sta_lta(s, U, 3, 10, keep_chunk=True), first_errors(s), U, 2.0, tol=4.0, guard=5)
     return out.withColumn("score", F.round("score", 6))
 
 
