@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plans import initial_plan
 from tracewell.operators import conditioning as C
 from tracewell.operators import spectra as S
 from tracewell.operators import windows as W
+from tracewell.operators.model import DenseModel
 from tracewell.operators.variance import event_estimate, moving_variance
 from tracewell.plans import jobs
 
@@ -202,3 +204,15 @@ def test_file_inventory(spark, samples):
     inv = {r.t: r for r in jobs.file_inventory(df, "t", 40.0, st, chunk=777).collect()}
     assert inv["a"].n_amostras == 9000 and inv["a"].xml_disponivel and not inv["b"].xml_disponivel
     assert inv["s"].status == "short" and inv["s"].var_max is None
+
+
+def test_spectra_call_their_function_once(spark):
+    """The filter that Spark adds before an explode doesn't call it again, nor does one on the result."""
+    s = spark.createDataFrame([("a", i, float(i % 7)) for i in range(100)], "t string, i long, v double")
+    out = S.welch(s, ["t"], 32, 16, 40.0)
+    assert initial_plan(out).count("ArrowEvalPython") == 1 and out.count() == 17
+    model = DenseModel([np.eye(4)], [np.zeros(4)])
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0])], "id int, x array<double>")
+    assert initial_plan(model.reconstruct(rows).select(F.posexplode("recon"))).count("ArrowEvalPython") == 1
+    flagged = model.errors(rows).where("err < 1")
+    assert initial_plan(flagged).count("ArrowEvalPython") == 1 and flagged.first().err == 0.0

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tracewell.operators.evaluate import average_precision, curve, flag, prf, confusion
 from tracewell.operators.ordered import attach_facts, order_statistics
-from tracewell.operators.windows import pinned
+from tracewell.operators.windows import evaluated
 from tracewell.session import cut_lineage
 
 FILE_ROWS = 1 << 14  # rows of a step, or of a run of steps, that one task reads
@@ -85,7 +85,7 @@ class LinearModel:
 
 
 def _applied(windows, name, udf, x):
-    return pinned(windows, "_in", F.col(x).cast("array<double>")).withColumn(name, udf("_in")).drop("_in")
+    return evaluated(windows, name, udf, F.col(x).cast("array<double>"))
 
 
 def _rows(fn):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.operators.windows import collect_windows, pinned
+from tracewell.operators.windows import collect_windows, evaluated
 
 DB_FLOOR = 1e-12  # fixed value added before the logarithm
 
@@ -34,7 +34,7 @@ def power_spectrum(windows: DataFrame, x: str = "x", name: str = "power") -> Dat
 
     One vectorised FFT per Arrow batch; nothing is multiplied out into rows.
     """
-    return pinned(windows, "_in", F.col(x).cast("array<double>")).withColumn(name, _power("_in")).drop("_in")
+    return evaluated(windows, name, _power, F.col(x).cast("array<double>"))
 
 
 def decibel(power: Column, floor: float = DB_FLOOR) -> Column:

@@ -88,6 +88,16 @@ def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def evaluated(df: DataFrame, name: str, udf: Callable[[str], Column], value: Column) -> DataFrame:
+    """``df`` with ``udf(value)``, called once for a row.
+
+    The result is pinned too: a filter on it, and the one that Spark adds before an
+    array is exploded, would otherwise call the function again, in workers of its own.
+    """
+    called = pinned(df, "_in", value).withColumn("_out", udf("_in"))
+    return pinned(called, name, F.col("_out")).drop("_in", "_out")
+
+
 def array_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, e: a + e)
 
