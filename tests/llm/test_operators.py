@@ -285,6 +285,23 @@ def test_words_equal_the_tokenizer():
     assert known.encode(texts) == want
 
 
+def test_cuts_equal_the_pretokenizer():
+    known, r = tokens.Words(PATH), random.Random(4)
+    parts = ["a", "B", "é", "ж", "ώ", "ԯ", "ʰ", "ª", " ", "  ", "\n", "\t", "\r", "\v", "\f", ".", "!", "~", "_", "'", "'s", "'S", "'ll", "'tis", "1", "23"]
+    for x in ("".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)):
+        assert tokens.CUT.findall(x) == [x[a:b] for _, (a, b) in known.tokenizer.pre_tokenizer.pre_tokenize_str(x)] and not tokens.OTHER.search(x)
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    known, r = tokens.Words(PATH), random.Random(5)
+    texts = ["".join(r.choice([" of", " the", " no\u0301", " x" + str(r.random()), ".", "\n", " " + "ab" * 40]) for _ in range(20)) for _ in range(300)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [known.encode([x])[0] for x in texts] == want and known.encode(texts) == want
+    assert 0 < len(known.known) + len(known.before) <= 100
+    assert known.before and max(map(len, [*known.known, *known.before])) <= tokens.LONGEST
+
+
 def test_added_tokens_equal_the_plain_tokenizer():
     from tokenizers import Tokenizer
 

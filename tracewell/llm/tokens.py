@@ -11,7 +11,9 @@ follows from the sizes of the segments before its own.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,37 +27,24 @@ from tracewell.llm.common import cut_lineage, slices, text_of
 
 END = 0
 SEGMENT = 1 << 18
-CHUNKS = 1 << 19
-PIECES = 1 << 20
+KEPT = 1 << 18
 LONGEST = 48
-MARKS = ".,;:!?%&$#*|"
 _WORDS: dict[str, "Words"] = {}
 
 
-def letters(text: str) -> bool:
-    """Only letters of Latin, Greek or Cyrillic: what every edition of the letter class agrees on."""
-    return text.isalpha() and max(text) < "\u0530"
-
-
-def pieces(chunk: str) -> list[str]:
-    """``chunk`` cut where the pre-tokeniser always cuts: around a lone line end, and between letters and marks behind them."""
-    if chunk[1:].isalpha():
-        return [chunk]
-    if chunk[-1:] in MARKS and letters(chunk[1:-1]):
-        return [chunk[:-1], chunk[-1]] if chunk[0] == " " or letters(chunk[0]) else [chunk]
-    out = []
-    lines = chunk.split("\n")
-    if len(lines) > 1 and (any(not x or x[-1].isspace() for x in lines[:-1]) or any(not x or x[0].isspace() for x in lines[1:])):
-        return [chunk]
-    for i, line in enumerate(lines):
-        if i:
-            out.append("\n")
-        stem = line.rstrip(MARKS)
-        if len(stem) < len(line) and letters(stem.removeprefix(" ")):
-            out += (stem, line[len(stem) :])
-        else:
-            out.append(line)
-    return out
+def _ranges(codes: list[int]) -> str:
+    """The inside of a character class."""
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+# letters of Latin, Greek and Cyrillic are what every edition of the letter class agrees on
+_LETTER = _ranges([c for c in range(0x530) if chr(c).isalpha()])
+_SPACE = " \t\n\v\f\r"
+WORD = re.compile(f" ?[{_LETTER}]+")
+OTHER = re.compile(f"[^{_SPACE}!-~{_LETTER}]")
+CUT = re.compile(f" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -65,14 +54,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Words(dict):
-    """Ids (32-bit little-endian bytes) of chunks of text that were met before in this process.
+class Words:
+    """Ids (32-bit little-endian bytes) of pieces of text that were met before in this process.
 
-    The pre-tokeniser splits before any single space, so a text can be encoded
-    chunk by chunk when no space in it follows another.  Chunks not met before
-    are put together from their pieces, which are fewer; only pieces not met
-    before go to the tokeniser.  A text that holds an added token of the file
-    (<|endoftext|>) goes to the tokeniser whole.
+    A text of ASCII and Latin, Greek or Cyrillic letters is cut by the
+    pre-tokeniser's own rule.  Any other is cut before single spaces, where the
+    pre-tokeniser splits too, when no space in it follows another.  Only pieces not
+    met before go to the tokeniser; up to twice ``KEPT`` of those met last are
+    kept.  A text that holds an added token of the file (<|endoftext|>) goes to
+    the tokeniser whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -81,47 +71,52 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.pieces: dict[str, bytes] = {}
+        self.inside = [x for x in self.added if x == " " or WORD.fullmatch(x)]  # what a word can hold
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
         self.merge, self.bytes = self.tokenizer.model.tokenize, _byte_letters()
 
     def marked(self, text: str) -> bool:
         return any(x in text for x in self.added)
 
+    def cut(self, text: str) -> list[str]:
+        if self.marked(text):
+            return [text]
+        if not OTHER.search(text):
+            return CUT.findall(text)
+        return text.replace(" ", "\0 ").split("\0") if "  " not in text and "\0" not in text else [text]
+
     def ids(self, texts: list[str]) -> dict[str, bytes]:
         """Ids of each text; one word goes to the tokeniser's merges at once, anything else through all its steps."""
-        out, other = {}, []
-        for x in texts:
-            if letters(x.removeprefix(" ")) and not self.marked(x):
-                out[x] = np.array([t.id for t in self.merge(x.encode().decode("latin1").translate(self.bytes))], "<u4").tobytes()
-            else:
-                other.append(x)
+        single = [x for x in texts if WORD.fullmatch(x) and not (self.inside and self.marked(x))]
+        spelt = "\n".join(single).encode().decode("latin1").translate(self.bytes).split(self.bytes[10])
+        out = {x: array("I", [t.id for t in self.merge(y)]).tobytes() for x, y in zip(single, spelt)}
+        other = [x for x in texts if x not in out]
         found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        return out | {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(other, found, strict=True)}
+        return out | {x: array("I", e.ids).tobytes() for x, e in zip(other, found, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CHUNKS:
-            self.clear()
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
         flat: list[str] = []
         ends = []
         for x in texts:
-            flat += x.replace(" ", "\0 ").split("\0") if "  " not in x and "\0" not in x and not self.marked(x) else (x,)
+            flat += self.cut(x)
             ends.append(len(flat))
-        found = list(map(self.get, flat))
+        found = list(map(self.known.get, flat))
         lost = [i for i, x in enumerate(found) if x is None]
-        new = {w: pieces(w) if len(w) <= LONGEST and not self.marked(w) else [w] for w in {flat[i] for i in lost}}
-        parts = list({p for cut in new.values() for p in cut if p not in self.pieces})
-        long: dict[str, bytes] = {}  # is not kept
-        for i in range(0, len(parts), 4096):
-            for p, x in self.ids(parts[i : i + 4096]).items():
-                (self.pieces if len(p) <= LONGEST else long)[p] = x
-        for w, cut in new.items():
-            if len(w) <= LONGEST:
-                self[w] = self.pieces[cut[0]] if len(cut) == 1 else b"".join([self.pieces[p] for p in cut])
+        new = {flat[i]: b"" for i in lost}
+        for x in new:
+            new[x] = self.before.get(x)
+        unmet = [x for x, ids in new.items() if ids is None]
+        for i in range(0, len(unmet), 4096):
+            new |= self.ids(unmet[i : i + 4096])
         for i in lost:
-            found[i] = self[flat[i]] if len(flat[i]) <= LONGEST else long[flat[i]]
+            found[i] = new[flat[i]]
+        for x, ids in new.items():
+            if len(self.known) >= KEPT:
+                self.before, self.known = self.known, {}
+            if len(x) <= LONGEST:
+                self.known[x] = ids
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
@@ -165,7 +160,7 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             seg, held, owners, total = seg + 1, [], [], 0
             return pa.RecordBatch.from_arrays(row, names)
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 16):
             for x in known.encode(batch.column("text").to_pylist()):
                 held.append(x + end)
                 total += len(held[-1]) // 4
