@@ -476,6 +476,18 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert done.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and done.count() == now.count()
 
 
+def test_sums_by_row():
+    """Rows met once, a few times, often and in every token of a batch."""
+    assert maxent.ROWS <= 1 << 16
+    r = np.random.default_rng(0)
+    for own in (r.zipf(1.3, 2048) % maxent.ROWS, r.integers(0, maxent.ROWS, 2048), r.integers(0, 200, 2048), np.full(2048, maxent.ROWS - 1), np.array([5])):
+        g = r.normal(size=(len(own), maxent.CLASSES)).astype(np.float32)
+        want, wanted = np.zeros((maxent.ROWS, maxent.CLASSES)), np.bincount(own, minlength=maxent.ROWS)
+        np.add.at(want, own, g.astype(np.float64))
+        ids, n, total = maxent.sums_by_row(own, g)
+        assert (ids == np.unique(own)).all() and (n == wanted[ids]).all() and np.abs(total - want[ids]).max() < 1e-3
+
+
 def test_model_size():
     """64 classes, 24 of one word; the word three back is a feature even where the classes are the same."""
     assert (maxent.CLASSES, maxent.SINGLES) == (64, 24)

@@ -117,22 +117,38 @@ def log_classes(rows: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.n
     return z
 
 
+def sums_by_row(own: np.ndarray, g: np.ndarray, often: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, its number, sum of its gradients) for the rows of the weight table in ``own``.
+
+    Most rows occur once or a few times in a batch: their k-th gradients are added
+    at once for all of them, and only rows met more than ``often`` are summed alone.
+    """
+    order = own.astype(np.uint16).argsort(kind="stable")  # ROWS is below 2**16, which is sorted by radix
+    ids = own[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    n = np.diff(first, append=len(order))
+    total = g.take(order[first], 0)
+    k, left = 1, np.flatnonzero((n > 1) & (n <= often))
+    while len(left):
+        total[left] += g.take(order[first[left] + k], 0)
+        k += 1
+        left = left[n[left] > k]
+    for i in np.flatnonzero(n > often).tolist():
+        g.take(order[first[i] : first[i] + n[i]], 0).sum(0, out=total[i])
+    return ids[first], n, total
+
+
 def learn(rows: np.ndarray, classes: np.ndarray, bias: np.ndarray, weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, rate: float) -> None:
     """One batch of gradient descent, in place; ``squares`` slows down rows that have moved much."""
     g = log_classes(rows, bias, weights)
     np.exp(g, g)
     g[np.arange(len(g)), classes] -= 1
-    sorted_ = np.empty_like(g)
     for own in rows:  # one feature after the other, on the same gradient
-        order = own.argsort(kind="stable")
-        ids = own[order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        move = np.add.reduceat(g.take(order, 0, sorted_, "clip"), first, 0)
-        ids, n = ids[first], np.diff(first, append=len(order))
+        ids, n, move = sums_by_row(own, g)
         squares[ids] += np.einsum("ij,ij->i", move, move) / CLASSES
         touched[ids] += n
         move *= (rate / np.sqrt(squares[ids]))[:, None]
-        weights[ids] -= move
+        weights[ids] = np.subtract(weights.take(ids, 0), move, move)
     bias -= rate * 0.1 * g.mean(0)
 
 
