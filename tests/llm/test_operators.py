@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -252,6 +253,17 @@ def test_toxicity(spark):
     assert {x.predicted for x in toxicity.score(docs, nothing).collect()} == {0} and toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_table_of_a_model_is_built_in_place():
+    model = toxicity.Model()
+    model.embed[:] = np.random.default_rng(0).normal(size=model.embed.shape)
+    tracemalloc.start()
+    table = model.table()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * table.nbytes
+    assert (table == np.concatenate([model.embed @ f[j] for f in model.filters for j in range(len(f))], 1)).all()
+
+
 def test_long_texts_score_alike_in_blocks():
     model = toxicity.Model()
     model.embed[:] = np.random.default_rng(1).normal(0, 1, model.embed.shape)

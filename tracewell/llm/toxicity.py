@@ -72,7 +72,10 @@ class Model:
 
     def table(self) -> np.ndarray:
         """embedding x filter for every width and place side by side, so that a convolution is a sum of rows."""
-        return np.concatenate([self.embed @ f[j] for f in self.filters for j in range(len(f))], 1)
+        out = np.empty((BUCKETS, sum(WIDTHS) * FILTERS), np.float32)
+        for k, own in enumerate(f[j] for f in self.filters for j in range(len(f))):
+            out[:, k * FILTERS : (k + 1) * FILTERS] = self.embed @ own
+        return out
 
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The highest answer of every filter, and where it was."""
@@ -210,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in slices(batches, "text"):
             hashed = pa.array([words(x).astype(np.int32).tobytes() for x in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h", "y", "lang")), hashed], ["id", "h", "y", "lang", "words"])
+        _HASHED.clear()
 
     got = chosen.mapInArrow(kernel, f"id {dict(chosen.dtypes)['id']}, h long, y int, lang string, words binary").collect()
     got.sort(key=lambda r: (r["h"], zlib.crc32(r["words"])))
